@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BLOCK = 2 << 20
 #: Salts of an exact rank. Tables of (class, salt) offsets have classes x SALTS rows at most.
 SALTS = 128
+#: Rows that are worth a task of their own where rows are narrow.
+ROWS_A_TASK = 50_000
 
 _OWN_SCRATCH: list[str] = []
 
@@ -50,14 +52,15 @@ def with_rank(df: DataFrame, classes: list[str], order: list[str], name: str, sa
 
     A class may hold a third of all rows, so it is dealt over SALTS windows, and each window starts
     at the sum of the counts before it. `classes` must take a bounded number of values, as the table of
-    starts is broadcast. `df` is read twice: pass a stored table.
+    starts is broadcast. `df` is read more than once: pass a stored table.
     """
+    tasks = max(1, min(partitions(df.sparkSession), df.count() // ROWS_A_TASK))
     df = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     keys = [*classes, "_salt"]
     before = Window.partitionBy(*classes).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(within)).join(F.broadcast(starts), keys).withColumn(name, F.col("_start") + F.col("_k") - 1).drop("_salt", "_k", "_start")
+    return df.withColumn("_k", F.row_number().over(within)).join(F.broadcast(starts), keys).withColumn(name, F.col("_start") + F.col("_k") - 1).drop("_salt", "_k", "_start").coalesce(tasks)
 
 
 # --- words ------------------------------------------------------------------------------------
