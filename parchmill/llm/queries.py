@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import decontamination, lm, media, packing, sharding, tokencount
+from parchmill.llm import decontamination, jaccard, lm, media, packing, sharding, tokencount
 
 BYTE_BPE = {"json_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
@@ -28,6 +28,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.texts_as_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op4_lm_score, op5_token_counts, op8_sharding, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_jaccard_join, op4_lm_score, op5_token_counts, op8_sharding, op10_media)}
 ORACLES: dict[str, str] = {}
