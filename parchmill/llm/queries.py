@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmill.llm import decontamination, jaccard, lm, media, packing, sharding, tokencount
+from parchmill.llm import decontamination, jaccard, lm, media, packing, sharding, suffixes, tokencount
 
 BYTE_BPE = {"json_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
@@ -45,9 +45,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.texts_as_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_jaccard_join, op4_lm_score, op5_token_counts, op8_sharding, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_jaccard_join, op4_lm_score, op5_token_counts, op8_sharding, op9_suffix_dedup, op10_media)}
 ORACLES: dict[str, str] = {}
