@@ -299,14 +299,14 @@ def merged(size: int, places: list[np.ndarray], pairs: list[np.ndarray]) -> list
     return list(zip(start[first].tolist(), end[last].tolist(), strict=True))
 
 
-def sole_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(id, text) with ids that order the rows and don't repeat; and, where doc_id isn't such an id, what (id) stands for."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+def sole_ids(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text and `keep`) with ids that order the rows and don't repeat; and, where doc_id isn't such an id, what (id) stands for."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *keep)
     odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null")
     if odd.isEmpty():
         return rows, None
-    made = stored(rows.select(F.col("id").alias("doc_id"), "text").orderBy("doc_id", F.xxhash64("text")).select(F.monotonically_increasing_id().alias("id"), "doc_id", "text"))
-    return made.select("id", "text"), made.select("id", "doc_id")
+    made = stored(rows.withColumnRenamed("id", "doc_id").orderBy("doc_id", F.xxhash64("text")).select(F.monotonically_increasing_id().alias("id"), "doc_id", "text", *keep))
+    return made.select("id", "text", *keep), made.select("id", "doc_id")
 
 
 def find(rows: DataFrame) -> DataFrame:
@@ -411,9 +411,12 @@ def _string_by_string(entries: DataFrame, hot: np.ndarray) -> DataFrame:
     return again.groupBy("id").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.lit(SPAN)))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, make: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id and make(UTF-8 bytes, disjoint repeated spans), of the given schema."""
-    rows, stands_for = sole_ids(docs)
+def remove_repeats(docs: DataFrame, make: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, kinds: list[pa.DataType], keep: list[str] | None = None) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, the columns of `keep`, and make(UTF-8 bytes, disjoint repeated spans), of the given schema."""
+    keep = keep or []
+    full, stands_for = sole_ids(docs, keep)
+    rows = full.select("id", "text")
+    carried = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in full.schema if f.name in keep)
     found = stored(find(rows))
     found = stored(found.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("spans")).alias("spans")))
     names = [x.split()[0] for x in schema.split(", ")]
@@ -426,17 +429,17 @@ def remove_repeats(docs: DataFrame, make: Callable[[bytes, list[tuple[int, int]]
                 text = data[off[d] : off[d + 1]].tobytes()
                 places = [np.array(batch.column(c)[d].as_py() or [], np.int64) for c in ("places", "spans")] if touched else [[], []]
                 got.append(make(text, merged(len(text), [places[0]], [places[1]]) if touched else []))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True))], ["id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True))], ["id", *keep, *names])
 
     if found.count() <= MOST_IDS:
         ids = F.broadcast(found.select("id"))
-        clean = rows.join(ids, "id", "left_anti").mapInArrow(cut, f"id long, {schema}")
-        out = clean.union(rows.join(ids, "id", "left_semi").join(found.hint("merge"), "id").mapInArrow(cut, f"id long, {schema}"))
+        clean = full.join(ids, "id", "left_anti").mapInArrow(cut, f"id long, {carried}{schema}")
+        out = clean.union(full.join(ids, "id", "left_semi").join(found.hint("merge"), "id").mapInArrow(cut, f"id long, {carried}{schema}"))
     else:
-        out = rows.join(found, "id", "left").mapInArrow(cut, f"id long, {schema}")
+        out = full.join(found, "id", "left").mapInArrow(cut, f"id long, {carried}{schema}")
     if stands_for is None:
         return out.withColumnRenamed("id", "doc_id")
-    return out.join(stands_for, "id").select("doc_id", *names)
+    return out.join(stands_for, "id").select("doc_id", *keep, *names)
 
 
 def digest(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
@@ -466,6 +469,6 @@ def kept_text(text: bytes, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return kept, len(text) - len(kept.encode())
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (text) and n_cut (bytes) of each row."""
-    return remove_repeats(docs, kept_text, "kept string, n_cut long", [pa.string(), pa.int64()])
+def without_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns of `keep`, kept (text) and n_cut (bytes) of each row."""
+    return remove_repeats(docs, kept_text, "kept string, n_cut long", [pa.string(), pa.int64()], keep)
