@@ -12,10 +12,12 @@ adjoin. Each band of the smaller set has a scheme of keys, and two sets that lin
 
 The boundary is where enumerating subsets costs more than scanning lists (SCAN: a list's cost in subsets).
 
-Links are confirmed on the texts' sets, and only as many as components need: each list first compares its
-members with its least one. Lists whose members have then not all met in one component compare the members
-of different components in further rounds, with 4, 16, 64 ... members as pivots, until all that differ are
-compared. So a group of thousands of copies costs a comparison each, and no link between components is lost.
+Lists are read in order by one task each. Every set has a parity sketch per scheme, a bit for each hash class of
+elements; two sketches differ in at most as many bits as the sets differ in elements, so a pair over its bound
+can't link and is never made. Of the pairs within their bound a list gives only a spanning forest, which is
+confirmed on the texts' sets; lists whose members have then not met in one component are read again without the
+pairs that failed, until none gives a new pair. So a group of thousands of copies costs about a confirmation for each,
+and no link between components is lost. Lists of over MOST_IN_LIST members are read in pairs of blocks.
 
 Null text and text without words: an empty set, linked with nothing, not even with another empty one. Rows
 that share a doc_id are one node. Equal sets are one class, found by 128 bits of an additive hash.
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmill.llm.common import SPACED, blocks, grams, mix, stored, within, words
+from parchmill.llm.common import SPACED, blocks, grams, mix, partitions, stored, within, words
 from parchmill.llm.components import components
 
 SCAN = 32
@@ -41,7 +43,11 @@ SCAN = 32
 MOST_IDS = 500_000
 #: Digests by which a task knows that it has emitted a set's keys.
 KNOWN = 200_000
-S1, S2, S3 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
+#: Members that a task reads of one list at once; lists up to FEW are compared without arrays.
+MOST_IN_LIST, FEW = 50_000, 24
+#: Low bits of a key that name its scheme.
+SCHEMES = 1024
+S1, S2, S3, S4 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +126,7 @@ class Schemes:
             empty = np.bincount(block, minlength=len(total)) == 0
             some = np.bincount(of, empty, len(d)) >= 2
             place = np.arange(len(total)) - base[of]
-            key = mix(total + mix((i[of].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + S1))
+            key = mix(total + mix((i[of].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + S1)) & ~np.uint64(SCHEMES - 1) | (i[of] % SCHEMES).astype(np.uint64)
             use = ~empty | some[of]
             out.append(key[use])
             owner.append(d[of][use])
@@ -129,10 +135,27 @@ class Schemes:
                 e = element[first[d] : first[d + 1]]
                 total = np.full(1, e.sum(dtype=np.uint64))
                 left = total - np.array([e[list(c)].sum(dtype=np.uint64) for c in combinations(range(len(e)), len(e) - shared)], np.uint64)
-                out.append(mix(left + mix(np.array([i], np.uint64) + S2)))
+                out.append(mix(left + mix(np.array([i], np.uint64) + S2)) & ~np.uint64(SCHEMES - 1) | np.uint64(i % SCHEMES))
                 owner.append(np.full(len(left), d))
         return np.concatenate(out), np.concatenate(owner)
 
+    def differ(self, a: int | np.ndarray, b: int) -> int | np.ndarray:
+        """The most elements in which linked sets of these sizes differ."""
+        n = a + b
+        return n - 2 * -(-self.num * n // (self.num + self.den))
+
+    def sketches(self, values: np.ndarray, first: np.ndarray) -> list[list[dict]]:
+        """For each set and each scheme of it, the parity of each hash class of its elements."""
+        out: list[list[dict]] = [[] for _ in range(len(first) - 1)]
+        element = mix(values ^ S4)
+        for d, n in enumerate(np.diff(first).tolist()):
+            for i in (self.band(n), self.band(n) - 1) if n else ():
+                if i >= 0 and n <= self.of(i)[0]:
+                    width = 1 << max(8, (4 * self.differ(self.of(i)[0], self.of(i)[0])).bit_length())
+                    odd = np.bincount((element[first[d] : first[d + 1]] & np.uint64(width - 1)).view(np.int64), minlength=width) & 1
+                    out[d].append({"scheme": i % SCHEMES, "sketch": np.packbits(odd.astype(np.uint8)).tobytes()})
+        return out
+
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     if not len(x) or not len(y):
@@ -141,16 +164,18 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2): size and digest of each row's set."""
+def sets_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, sketches): size, digest and sketches of each row's set."""
+    kind = pa.list_(pa.struct([("scheme", pa.int32()), ("sketch", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schemes = Schemes(num, den)
         for batch, data, off in blocks(batches):
             values, first = shingles(data, off, k)
             d1, d2 = digests(values, first)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(schemes.sketches(values, first), kind)], ["doc_id", "n_shingles", "d1", "d2", "sketches"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketches array<struct<scheme:int,sketch:binary>>")
 
 
 def keys_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -177,7 +202,6 @@ def keys_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) whose texts' sets link."""
-    pairs = stored(pairs)
     ids = stored(pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct())
     few = ids.count() <= MOST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -201,44 +225,113 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return stored(both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct())
 
 
+def forest(x: list[int], n: list[int], root: list[int], sketch: list[bytes], failed: list[frozenset], schemes: Schemes) -> Iterator[tuple[int, int]]:
+    """Pairs of one list, within their bounds and not failed, that span what its members' components can be joined to."""
+    classes: dict[int, list[int]] = {}
+    for i, r in enumerate(root):
+        classes.setdefault(r, []).append(i)
+    if len(classes) < 2:
+        return
+    few = len(x) <= FEW
+    if few:
+        bits = [int.from_bytes(b, "little") for b in sketch]
+    else:
+        bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(x), -1)
+        sizes, roots = np.array(n), np.array(root)
+    waiting = dict.fromkeys(classes)
+    while waiting:
+        r = next(iter(waiting))
+        del waiting[r]
+        reached = list(classes[r])
+        far = None if few else np.flatnonzero(np.isin(roots, np.fromiter(waiting, np.int64, len(waiting))))
+        for i in reached:
+            if not waiting:
+                break
+            if few:
+                near = [j for w in waiting for j in classes[w] if (bits[i] ^ bits[j]).bit_count() <= schemes.differ(n[i], n[j])]
+            else:
+                near = far[np.bitwise_count(bits[far] ^ bits[i]).sum(1) <= schemes.differ(sizes[far], n[i])].tolist()
+            some = False
+            for j in near:
+                if root[j] in waiting and x[j] not in failed[i]:
+                    yield x[i], x[j]
+                    del waiting[root[j]]
+                    reached += classes[root[j]]
+                    some = True
+            if some and not few:
+                far = far[np.isin(roots[far], np.fromiter(waiting, np.int64, len(waiting)))]
+
+
+def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): the pairs to confirm of (key, a, b, x, n, root, sketch, failed); one (key, a, b) is one list or a pair of its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schemes, now, held = Schemes(num, den), None, []
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "x", "n", "root", "sketch", "failed")), strict=True):
+                if row[:3] != now:
+                    if len(held) > 1:
+                        out += forest(*zip(*held, strict=True), schemes)
+                    now, held = row[:3], []
+                held.append((*row[3:7], frozenset(row[7] or ())))
+            if len(out) > 10_000:
+                yield pairs(out)
+                out = []
+        if len(held) > 1:
+            out += forest(*zip(*held, strict=True), schemes)
+        yield pairs(out)
+
+    def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        u, v = np.array([max(p) for p in out], np.int64), np.array([min(p) for p in out], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b", "x")
+    return dealt.select("key", "a", "b", "x", "n", "root", "sketch", "failed").mapInArrow(run, "u long, v long").filter("u > v").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_shingles and component_id, the least doc_id reachable by
     links of sets of k-word shingles with Jaccard similarity num / den or more."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    plain = stored(sets_of(docs, k))
+    plain = stored(sets_of(docs, k, num, den))
     classes = plain.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    sets = stored(plain.join(classes, ["n_shingles", "d1", "d2"], "left"))
-    keyed = keys_of(docs, k, num, den)
+    sets = stored(plain.drop("sketches").join(classes, ["n_shingles", "d1", "d2"], "left"))
     key = Window.partitionBy("key")
-    shared = keyed.withColumn("lo", F.min("doc_id").over(key)).withColumn("hi", F.max("doc_id").over(key)).filter("lo < hi").select("key", "doc_id")
-    nodes = sets.select("doc_id", "rep", "n_shingles").distinct()
-    shared = stored(shared)
-    lists = shared.join(nodes, "doc_id").select("key", F.col("rep").alias("x"), F.col("n_shingles").alias("n")).distinct()
-    lists = stored(lists.withColumn("rank", F.row_number().over(key.orderBy("x", "n"))).withColumn("p", F.first("x").over(key.orderBy("x", "n"))).withColumn("pn", F.first("n").over(key.orderBy("x", "n"))))
-    fits = F.expr(f"{num} * greatest(n, pn) <= {den} * least(n, pn)")
-    tried = stored(lists.filter("rank > 1").filter(fits).filter("x > p").select(F.col("x").alias("u"), F.col("p").alias("v")).distinct())
-    found = confirm(tried, docs, k, num, den)
-    last, most = 1, lists.agg(F.max("rank")).first()[0] or 0
-    roots = components(found)
-    while last < most:
-        root = roots.withColumnRenamed("u", "x").withColumnRenamed("v", "root")
-        apart = lists.join(root, "x", "left").withColumn("root", F.coalesce("root", "x")).withColumn("a", F.min("root").over(key)).withColumn("b", F.max("root").over(key)).filter("a < b").select("key", "x", "n", "rank", "root")
-        apart = stored(apart)
-        most = apart.agg(F.max("rank")).first()[0] or 0
-        if last >= most:
+    shared = keys_of(docs, k, num, den).withColumn("lo", F.min("doc_id").over(key)).withColumn("hi", F.max("doc_id").over(key)).filter("lo < hi").select("key", "doc_id")
+    members = stored(shared).join(sets.select("doc_id", "rep", "n_shingles").distinct(), "doc_id").select("key", F.col("rep").alias("x"), F.col("n_shingles").alias("n")).distinct()
+    members = members.withColumn("block", F.floor((F.row_number().over(key.orderBy("x", "n")) - 1) / MOST_IN_LIST).cast("int"))
+    lists = stored(members.withColumn("last", F.max("block").over(key)).withColumn("lo", F.min("x").over(key)).withColumn("hi", F.max("x").over(key)).filter("lo < hi").drop("lo", "hi"))
+    reps = sets.filter("doc_id = rep").select("doc_id", "n_shingles", "d1", "d2").distinct()
+    sketch = plain.join(reps, ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("x"), F.inline("sketches")).distinct()
+    sketch = stored(sketch)
+    found = failed = roots = None
+    while True:
+        rows = lists.withColumn("root", F.col("x"))
+        if roots is not None:
+            rows = lists.join(roots.select(F.col("u").alias("x"), F.col("v").alias("root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
+            rows = rows.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).filter("lo < hi").drop("lo", "hi")
+        # A long list begins with its blocks by themselves and with the first one; only what is then apart meets block by block.
+        other = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.lit(0), F.col("block"))) if roots is None else F.sequence(F.lit(0), F.col("last"))
+        rows = rows.withColumn("other", F.explode(other)).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
+        rows = rows.withColumn("scheme", F.col("key").bitwiseAND(F.lit(SCHEMES - 1)).cast("int")).join(sketch, ["x", "scheme"])
+        if failed is None:
+            rows = rows.withColumn("failed", F.array().cast("array<long>"))
+        else:
+            each = failed.union(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            rows = rows.join(each.groupBy(F.col("u").alias("x")).agg(F.collect_list("v").alias("failed")), "x", "left")
+        pairs = stored(candidates(rows, num, den))
+        if pairs.isEmpty():
             break
-        pivots = apart.filter(f"rank > {last} and rank <= {4 * last}").select("key", F.col("x").alias("p"), F.col("n").alias("pn"), F.col("rank").alias("at"), F.col("root").alias("proot"))
-        fresh = apart.join(pivots, "key").filter("rank > at and root <> proot").filter(fits).select(F.greatest("x", "p").alias("u"), F.least("x", "p").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        fresh = stored(fresh)
-        last *= 4
-        if fresh.isEmpty():
-            continue
-        tried = stored(tried.union(fresh))
-        found = stored(found.union(confirm(fresh, docs, k, num, den)))
+        ok = confirm(pairs, docs, k, num, den)
+        no = stored(pairs.join(ok, ["u", "v"], "left_anti"))
+        found, failed = (ok, no) if found is None else (stored(found.union(ok)), stored(failed.union(no)))
         roots = components(found)
     twins = _twins(sets)
     if not twins.isEmpty():
-        roots = components(found.union(twins))
+        roots = components(twins if found is None else found.union(twins))
+    if roots is None:
+        return sets.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
     by = roots.withColumnRenamed("u", "rep").withColumnRenamed("v", "root")
     return sets.join(by, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
