@@ -43,8 +43,8 @@ PART_BYTES, PART_ENTRIES = 16 << 20, 20_000
 TOGETHER = 8 << 20
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 20
-#: Rows of which a sample makes splitters.
-SAMPLE_ROWS = 2_000
+#: Rows, and left-over entries, whose keys make splitters.
+SAMPLE_ROWS, SAMPLE_KEYS = 2_000, 50_000
 #: Touched texts whose ids may be broadcast (8 bytes each); beyond, they are joined.
 MOST_IDS = 500_000
 MOST_IN_KEY = 100_000
@@ -361,7 +361,14 @@ def find(rows: DataFrame) -> DataFrame:
     parts = -(-n_left // PART_ENTRIES)
     # The keys of left-over entries are dealt as those of all entries: the splitters of the first sort are refined by their own sample.
     entries = stored(texts.mapInArrow(_reached, "key long, payload binary"))
-    sample = [x for r in entries.sample(min(1.0, 4 * SAMPLE_ROWS / max(1, entries.count())), 42).select("payload").limit(8 * SAMPLE_ROWS).toLocalIterator() for x in left_keys(np.frombuffer(r[0], LEFT)[::8]).tolist()] if parts > 1 else []
+    step = -(-n_left // SAMPLE_KEYS)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = np.concatenate([np.frombuffer(x.as_buffer(), LEFT) for x in batch.column("payload")])
+            yield pa.RecordBatch.from_arrays([pa.array(left_keys(e[::step]).view(np.int64))], ["key"])
+
+    sample = [r[0] & (1 << 64) - 1 for r in entries.mapInArrow(keyed, "key long").collect()] if parts > 1 else []  # about SAMPLE_KEYS rows
     fine = splitters(np.array(sample, np.uint64), parts)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
