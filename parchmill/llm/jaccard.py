@@ -14,10 +14,11 @@ The boundary is where enumerating subsets costs more than scanning lists (SCAN:
 
 Lists are read in order by one task each. Every set has a parity sketch per scheme, a bit for each hash class of
 elements; two sketches differ in at most as many bits as the sets differ in elements, so a pair over its bound
-can't link and is never made. Of the pairs within their bound a list gives only a spanning forest, which is
-confirmed on the texts' sets; lists whose members have then not met in one component are read again without the
-pairs that failed, until none gives a new pair. So a group of thousands of copies costs about a confirmation for each,
-and no link between components is lost. Lists of over MOST_IN_LIST members are read in pairs of blocks.
+can't link and is never made. Of the pairs within their bound a list first gives only a spanning forest, which is
+confirmed on the texts' sets. Lists whose members have then not met in one component are read a second time, and give
+every pair within its bound of members that are apart and weren't confirmed before. So a group of thousands of
+copies costs about a confirmation for each, and no link between components is lost. Lists with equal members are
+one list; those of over MOST_IN_LIST members are read in pairs of blocks.
 
 Null text and text without words: an empty set, linked with nothing, not even with another empty one. Rows
 that share a doc_id are one node. Equal sets are one class, found by 128 bits of an additive hash.
@@ -151,7 +152,7 @@ class Schemes:
         for d, n in enumerate(np.diff(first).tolist()):
             for i in (self.band(n), self.band(n) - 1) if n else ():
                 if i >= 0 and n <= self.of(i)[0]:
-                    width = 1 << max(8, (4 * self.differ(self.of(i)[0], self.of(i)[0])).bit_length())
+                    width = 1 << max(8, (8 * self.differ(self.of(i)[0], self.of(i)[0]) - 1).bit_length())
                     odd = np.bincount((element[first[d] : first[d + 1]] & np.uint64(width - 1)).view(np.int64), minlength=width) & 1
                     out[d].append({"scheme": i % SCHEMES, "sketch": np.packbits(odd.astype(np.uint8)).tobytes()})
         return out
@@ -225,8 +226,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return stored(both.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct())
 
 
-def forest(x: list[int], n: list[int], root: list[int], sketch: list[bytes], failed: list[frozenset], schemes: Schemes) -> Iterator[tuple[int, int]]:
-    """Pairs of one list, within their bounds and not failed, that span what its members' components can be joined to."""
+def forest(x: list[int], n: list[int], root: list[int], sketch: list[bytes], failed: list[frozenset], schemes: Schemes, every: bool = False) -> Iterator[tuple[int, int]]:
+    """Pairs of one list, within their bounds and not failed, that span what its members' components can be joined to; or every such pair."""
     classes: dict[int, list[int]] = {}
     for i, r in enumerate(root):
         classes.setdefault(r, []).append(i)
@@ -238,6 +239,15 @@ def forest(x: list[int], n: list[int], root: list[int], sketch: list[bytes], fai
     else:
         bits = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(x), -1)
         sizes, roots = np.array(n), np.array(root)
+    if every:
+        for i in range(len(x)):
+            if few:
+                near = [j for j in range(i) if root[i] != root[j] and (bits[i] ^ bits[j]).bit_count() <= schemes.differ(n[i], n[j])]
+            else:
+                far = np.flatnonzero(roots[:i] != root[i])
+                near = far[np.bitwise_count(bits[far] ^ bits[i]).sum(1) <= schemes.differ(sizes[far], n[i])].tolist()
+            yield from ((x[i], x[j]) for j in near if x[j] not in failed[i])
+        return
     waiting = dict.fromkeys(classes)
     while waiting:
         r = next(iter(waiting))
@@ -262,24 +272,28 @@ def forest(x: list[int], n: list[int], root: list[int], sketch: list[bytes], fai
                 far = far[np.isin(roots[far], np.fromiter(waiting, np.int64, len(waiting)))]
 
 
-def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+def candidates(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     """(u, v): the pairs to confirm of (key, a, b, x, n, root, sketch, failed); one (key, a, b) is one list or a pair of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, now, held = Schemes(num, den), None, []
         out: list[tuple[int, int]] = []
+
+        def of_list() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                for pair in forest(*zip(*held, strict=True), schemes, every):
+                    out.append(pair)
+                    if len(out) >= 10_000:
+                        yield pairs(out)
+                        out.clear()
+
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "x", "n", "root", "sketch", "failed")), strict=True):
                 if row[:3] != now:
-                    if len(held) > 1:
-                        out += forest(*zip(*held, strict=True), schemes)
+                    yield from of_list()
                     now, held = row[:3], []
                 held.append((*row[3:7], frozenset(row[7] or ())))
-            if len(out) > 10_000:
-                yield pairs(out)
-                out = []
-        if len(held) > 1:
-            out += forest(*zip(*held, strict=True), schemes)
+        yield from of_list()
         yield pairs(out)
 
     def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -300,32 +314,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     key = Window.partitionBy("key")
     shared = keys_of(docs, k, num, den).withColumn("lo", F.min("doc_id").over(key)).withColumn("hi", F.max("doc_id").over(key)).filter("lo < hi").select("key", "doc_id")
     members = stored(shared).join(sets.select("doc_id", "rep", "n_shingles").distinct(), "doc_id").select("key", F.col("rep").alias("x"), F.col("n_shingles").alias("n")).distinct()
-    members = members.withColumn("block", F.floor((F.row_number().over(key.orderBy("x", "n")) - 1) / MOST_IN_LIST).cast("int"))
-    lists = stored(members.withColumn("last", F.max("block").over(key)).withColumn("lo", F.min("x").over(key)).withColumn("hi", F.max("x").over(key)).filter("lo < hi").drop("lo", "hi"))
+    # Lists of equal members are one: its key is a hash of them. Its scheme is told by the old key.
+    members = members.withColumn("of", F.sum(F.xxhash64("x", "n").cast("decimal(20,0)")).over(key)).withColumn("many", F.count(F.lit(1)).over(key)).filter("many > 1")
+    members = members.withColumn("scheme", F.col("key").bitwiseAND(F.lit(SCHEMES - 1)).cast("int")).select(F.xxhash64("of", "many", "scheme").alias("key"), "scheme", "x", "n").distinct()
+    lists = stored(members.withColumn("block", F.floor((F.row_number().over(key.orderBy("x", "n")) - 1) / MOST_IN_LIST).cast("int")).withColumn("last", F.max("block").over(key)))
     reps = sets.filter("doc_id = rep").select("doc_id", "n_shingles", "d1", "d2").distinct()
     sketch = plain.join(reps, ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("x"), F.inline("sketches")).distinct()
     sketch = stored(sketch)
     found = failed = roots = None
-    while True:
+    for every in (False, True):
         rows = lists.withColumn("root", F.col("x"))
         if roots is not None:
             rows = lists.join(roots.select(F.col("u").alias("x"), F.col("v").alias("root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
             rows = rows.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).filter("lo < hi").drop("lo", "hi")
         # A long list begins with its blocks by themselves and with the first one; only what is then apart meets block by block.
-        other = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.lit(0), F.col("block"))) if roots is None else F.sequence(F.lit(0), F.col("last"))
+        other = F.sequence(F.lit(0), F.col("last")) if every else F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.lit(0), F.col("block")))
         rows = rows.withColumn("other", F.explode(other)).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
-        rows = rows.withColumn("scheme", F.col("key").bitwiseAND(F.lit(SCHEMES - 1)).cast("int")).join(sketch, ["x", "scheme"])
+        rows = rows.join(sketch, ["x", "scheme"])
         if failed is None:
             rows = rows.withColumn("failed", F.array().cast("array<long>"))
         else:
             each = failed.union(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
             rows = rows.join(each.groupBy(F.col("u").alias("x")).agg(F.collect_list("v").alias("failed")), "x", "left")
-        pairs = stored(candidates(rows, num, den))
+        pairs = stored(candidates(rows, num, den, every))
         if pairs.isEmpty():
             break
         ok = confirm(pairs, docs, k, num, den)
-        no = stored(pairs.join(ok, ["u", "v"], "left_anti"))
-        found, failed = (ok, no) if found is None else (stored(found.union(ok)), stored(failed.union(no)))
+        failed = stored(pairs.join(ok, ["u", "v"], "left_anti"))
+        found = ok if found is None else stored(found.union(ok))
         roots = components(found)
     twins = _twins(sets)
     if not twins.isEmpty():
