@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from typing import Any
 
 import numpy as np
@@ -51,7 +52,6 @@ def _boxes() -> tuple[np.ndarray, np.ndarray]:
 
 
 BOX, UNBOX = _boxes()
-SHIFT = np.array([(i + 4 * (i % 4)) % 16 for i in range(16)])
 UNSHIFT = np.array([(i - 4 * (i % 4)) % 16 for i in range(16)])
 
 
@@ -99,11 +99,31 @@ def decrypt_blocks(keys: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return UNBOX[s[:, UNSHIFT]] ^ keys[0]
 
 
-def encrypt_block(keys: np.ndarray, block: np.ndarray) -> np.ndarray:
-    s = (block ^ keys[0]).reshape(1, 16)
-    for k in keys[1:-1]:
-        s = _mixed(BOX[s[:, SHIFT]], 2, 3, 1, 1) ^ k
-    return (BOX[s[:, SHIFT]] ^ keys[-1])[0]
+def _rounds_tables() -> list[list[int]]:
+    """For each place in a column, the column that a substituted and mixed byte adds, as a big-endian word."""
+    box = BOX.tolist()
+    two, three = ([int(BY[n][x]) for x in box] for n in (2, 3))
+    first = [two[i] << 24 | box[i] << 16 | box[i] << 8 | three[i] for i in range(256)]
+    return [[x >> 8 * k | (x & (1 << 8 * k) - 1) << 32 - 8 * k for x in first] for k in range(4)]
+
+
+T0, T1, T2, T3 = _rounds_tables()
+BOX_LIST = BOX.tolist()
+
+
+def encrypt_words(keys: list[list[int]], s: list[int]) -> list[int]:
+    """One block as four words; each is encrypted after the one before, so there is nothing to do side by side."""
+    a, b, c, d = (x ^ k for x, k in zip(s, keys[0], strict=True))
+    for k0, k1, k2, k3 in keys[1:-1]:
+        a, b, c, d = (
+            T0[a >> 24] ^ T1[b >> 16 & 255] ^ T2[c >> 8 & 255] ^ T3[d & 255] ^ k0,
+            T0[b >> 24] ^ T1[c >> 16 & 255] ^ T2[d >> 8 & 255] ^ T3[a & 255] ^ k1,
+            T0[c >> 24] ^ T1[d >> 16 & 255] ^ T2[a >> 8 & 255] ^ T3[b & 255] ^ k2,
+            T0[d >> 24] ^ T1[a >> 16 & 255] ^ T2[b >> 8 & 255] ^ T3[c & 255] ^ k3,
+        )
+    box = BOX_LIST
+    rows = ((a, b, c, d), (b, c, d, a), (c, d, a, b), (d, a, b, c))
+    return [(box[w >> 24] << 24 | box[x >> 16 & 255] << 16 | box[y >> 8 & 255] << 8 | box[z & 255]) ^ k for (w, x, y, z), k in zip(rows, keys[-1], strict=True)]
 
 
 def cbc_decrypt(key: bytes, data: bytes, iv: bytes | None = None, padded: bool = True) -> bytes:
@@ -120,11 +140,13 @@ def cbc_decrypt(key: bytes, data: bytes, iv: bytes | None = None, padded: bool =
 
 
 def cbc_encrypt(key: bytes, data: bytes, iv: bytes) -> bytes:
-    keys, last, out = schedule(key), np.frombuffer(iv, np.uint8), []
-    for block in np.frombuffer(data, np.uint8).reshape(-1, 16):
-        last = encrypt_block(keys, block ^ last)
-        out.append(last.tobytes())
-    return b"".join(out)
+    keys = [list(struct.unpack(">4I", k.tobytes())) for k in schedule(key)]
+    last, out = struct.unpack(">4I", iv), []
+    for at in range(0, len(data), 16):
+        block = struct.unpack_from(">4I", data, at)
+        last = encrypt_words(keys, [x ^ y for x, y in zip(block, last, strict=True)])
+        out += last
+    return struct.pack(f">{len(out)}I", *out)
 
 
 def hash_r6(password: bytes, salt: bytes, user: bytes, revision: int) -> bytes:

@@ -43,6 +43,8 @@ EDGES = " \n\r\t\v\0"
 
 
 def clean(text: str, ligatures: bool = True) -> str:
+    if not text.isascii():
+        text = text.encode("utf-8", "ignore").decode()  # halves of pairs aren't text
     if ligatures:
         text = text.translate(str.maketrans(LIGATURES))
     text = re.sub(r"[\x00-\x09\x0b-\x1f\x7f]", " ", text)
@@ -165,7 +167,7 @@ class Document:
             if isinstance(value, bytes):
                 if pdf.cipher is not None and not packed:
                     value = pdf.cipher.string(value, num, gen)
-                out[str(key)] = text_string(value).strip(EDGES)
+                out[str(key).encode("utf-8", "replace").decode()] = text_string(value).strip(EDGES)
         return out
 
 

@@ -226,7 +226,7 @@ class Pdf:
         if len(self.notes) >= 100:
             self.notes.setdefault("more", "More problems were found than are listed here")
         else:
-            self.notes[key] = text
+            self.notes[key] = text.encode("utf-8", "replace").decode()
 
     # --- cross-reference data
 

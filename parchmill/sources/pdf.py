@@ -70,7 +70,7 @@ def extract_pages(df: DataFrame, content: str = "content", page_no: int | None =
 def page_text(content: Column, page_no: int, **opts) -> Column:
     """The text of one page, '' beyond the last."""
     found = _pages_udf(options(**opts), page_no)(content)
-    return F.coalesce(F.element_at(F.transform(found, lambda p: p["text"]), 1), F.lit(""))
+    return F.coalesce(F.get(F.transform(found, lambda p: p["text"]), F.lit(0)), F.lit(""))
 
 
 def extract_runs(df: DataFrame, content: str = "content", **opts) -> DataFrame:
