@@ -62,4 +62,26 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_jaccard_join, op4_lm_score, op5_token_counts, op6_quality, op7_extraction, op8_sharding, op9_suffix_dedup, op10_media)}
-ORACLES: dict[str, str] = {}
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: SQL of the operators that it can express; the others are tested against brute-force versions.
+ORACLES = {
+    "op2_decontamination": f"""with d as (select doc_id, coalesce(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from documents),
+i as (select item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where text is not null),
+s as (select item_id, w, least(10, len(w)) as size from i where len(w) > 0),
+v as (select item_id, size, w, unnest(range(1, len(w) - size + 2)) as a from s),
+windows as (select distinct cast(item_id as varchar) as item, size, array_to_string(w[a:a + size - 1], ' ') as win from v),
+x as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as a from d, (select distinct size from s) where len(w) >= size),
+hits as (select doc_id, a, size, item from (select doc_id, a, size, array_to_string(w[a:a + size - 1], ' ') as win from x) join windows using (size, win)),
+inside as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(a, a + size)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item from hits) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join inside using (doc_id) left join items using (doc_id)""",
+    "op3_jaccard_join": f"""with recursive d as (select doc_id, coalesce(regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+s as (select distinct doc_id, array_to_string(w[a:a + 2], ' ') as shingle from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as a from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.shingle = y.shingle and x.doc_id < y.doc_id group by all),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 90 * (na.n + nb.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on r.other = e.a)
+select r.doc_id, coalesce(max(n), 0) as n_shingles, min(other) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id""",
+}
