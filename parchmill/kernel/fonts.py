@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from typing import Any
 
 from parchmill.kernel import glyphs, programs
@@ -32,6 +33,7 @@ class Font:
         self.wide = programs.Ranges([])
         self.default, self.scale = 0.0, 0.001
         self.memo: dict[bytes, tuple[str, float, int, int, str]] = {}
+        self.known: dict[int, tuple[str, float]] = {}
 
     def decode(self, s: bytes) -> tuple[str, float, int, int, str]:
         got = self.memo.get(s)
@@ -53,7 +55,7 @@ class Font:
         if BLANK in text and not text.strip(BLANK):
             text, letters = "", []
         drawn = text
-        if self.rtl and any(len(x) > 1 for x in letters):
+        if self.rtl and letters and max(map(len, letters)) > 1:
             # The line is turned around later, so the letters of one glyph are turned here to come out right.
             drawn = "".join(x[::-1] if len(x) > 1 and RTL.search(x) else x for x in letters)
         return text, width, n, spaces, drawn
@@ -80,23 +82,32 @@ class Font:
         found = self.wide.find(code)
         return found[2] if found else self.default
 
+    def letter(self, code: int) -> tuple[str, float]:
+        """Text and width of a code, kept."""
+        width = self.width(code)
+        text = glyphs.character(code) if self.unicode else self.map.get(code) if self.map is not None else None
+        if self.unicode and self.map is not None:
+            text = self.map.get(code) or text
+        if not text and self.map is not None and width * self.scale >= BLANK_WIDTH:
+            text = BLANK
+        if len(self.known) > 65_536:
+            self.known.clear()
+        self.known[code] = found = (text or "", width)
+        return found
+
     def _composite(self, s: bytes) -> tuple[str, float, int, int, str]:
         if self.codec:
             text = s.decode(self.codec, "ignore")
             return text, len(text) * self.default * self.scale, len(text), 0, text
-        letters, total, spaces = [], 0.0, 0
-        found = self.codes(s)
-        for code, n in found:
-            width = self.width(code)
-            total += width
-            spaces += code == 32 and n == 1
-            text = glyphs.character(code) if self.unicode else self.map.get(code) if self.map is not None else None
-            if self.unicode and self.map is not None:
-                text = self.map.get(code) or text
-            if not text and width * self.scale >= BLANK_WIDTH and self.map is not None:
-                text = BLANK
-            letters.append(text or "")
-        return self._told(letters, total * self.scale, len(found), spaces)
+        known, spaces = self.known, 0
+        if not self.spaces and not len(s) & 1:
+            codes = struct.unpack(f">{len(s) // 2}H", s)
+        else:
+            pairs = self.codes(s)
+            codes = [c for c, _ in pairs]
+            spaces = sum(1 for c, n in pairs if c == 32 and n == 1)
+        found = [known.get(c) or self.letter(c) for c in codes]
+        return self._told([t for t, _ in found], sum(w for _, w in found) * self.scale, len(found), spaces)
 
 
 class Characters:
