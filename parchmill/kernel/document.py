@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-from parchmill.kernel import glyphs
+from parchmill.kernel import collections, glyphs
 from parchmill.kernel.content import Page, Run, TooMuch
 from parchmill.kernel.crypto import Locked
 from parchmill.kernel.fonts import Fonts
@@ -26,6 +26,7 @@ class Options:
     word_gap: float = 0.11
     memory_budget: int = 256 << 20
     glyph_list: str | None = None
+    cid_tables: str | None = None
 
 
 @dataclass
@@ -69,7 +70,8 @@ class Document:
     def __init__(self, data: bytes, options: Options) -> None:
         self.options = options
         self.pdf = Pdf(data, options.password, options.memory_budget)
-        self.fonts = Fonts(self.pdf, options.glyph_list)
+        tables = options.cid_tables
+        self.fonts = Fonts(self.pdf, options.glyph_list, (lambda ordering: collections.loaded(tables, ordering)) if tables else None)
 
     def root(self) -> dict:
         return self.pdf.dict(self.pdf.trailer.get("Root")) or {}

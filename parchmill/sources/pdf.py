@@ -26,8 +26,8 @@ FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def options(**given) -> Options:
-    """Options by the names of the reader: password, dehyphenate, expandLigatures, annotations, wordGap, memoryBudget, glyphList."""
-    names = {"expandLigatures": "expand_ligatures", "wordGap": "word_gap", "memoryBudget": "memory_budget", "glyphList": "glyph_list"}
+    """Options by the names of the reader: password, dehyphenate, expandLigatures, annotations, wordGap, memoryBudget, glyphList, cidTables (a folder)."""
+    names = {"expandLigatures": "expand_ligatures", "wordGap": "word_gap", "memoryBudget": "memory_budget", "glyphList": "glyph_list", "cidTables": "cid_tables"}
     return Options(**{names.get(k, k): v for k, v in given.items()})
 
 
@@ -67,6 +67,24 @@ def extract_pages(df: DataFrame, content: str = "content", page_no: int | None =
     return df.select(*keep, F.inline(_pages_udf(options(**opts), page_no)(F.col(content))))
 
 
+def extract_pages_spread(df: DataFrame, key: str, content: str = "content", partitions: int | None = None, **opts) -> DataFrame:
+    """(key, page_no, text) with the pages of one file read by many tasks, for files of thousands of pages.
+
+    The first pass counts pages; each task then opens the file and reads its own page. The bytes go to every task, so
+    this pays off only where a page costs far more than the file's transfer.
+    """
+    chosen = options(**opts)
+
+    @F.pandas_udf("string")
+    def one(contents: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([next((t for _, _, t in document.pages(bytes(c), chosen, int(n))), "") for c, n in zip(contents, numbers, strict=True)])
+
+    counted = pdf_info(df.select(key, content, F.col(content).alias("_c")), "_c", **opts).filter("status = 'OK' and page_count > 0")
+    numbered = counted.select(key, content, F.explode(F.sequence(F.lit(1), "page_count")).alias("page_no"))
+    numbered = numbered.repartition(partitions, key, "page_no") if partitions else numbered.repartition(key, "page_no")
+    return numbered.select(key, "page_no", one(content, "page_no").alias("text"))
+
+
 def page_text(content: Column, page_no: int, **opts) -> Column:
     """The text of one page, '' beyond the last."""
     found = _pages_udf(options(**opts), page_no)(content)

@@ -74,3 +74,21 @@ def test_one_page_beyond_the_last(spark):
     df = spark.createDataFrame([(bytearray(writer.from_text("a\nb", lines_a_page=1)),), (None,)], "content binary")
     assert sorted(r.t for r in df.select(pdf.page_text(F.col("content"), 2).alias("t")).collect()) == ["", "b"]
     assert [r.t for r in df.select(pdf.page_text(F.col("content"), 0).alias("t")).collect()] == ["", ""]
+
+
+def test_pages_spread_over_tasks(spark, folder):
+    files = pdf.files(spark, folder)
+    want = sorted(map(tuple, pdf.extract_pages(files).select("path", "page_no", "text").collect()))
+    assert sorted(map(tuple, pdf.extract_pages_spread(files, "path", partitions=4).collect())) == want
+
+
+def test_dimensions(spark, tmp_path):
+    from parchmill.kernel import collections
+    from parchmill.sources import dimensions
+
+    (tmp_path / "KR.bin").write_bytes(collections.written({5000: "꺪"}))
+    assert dimensions.collection(spark, str(tmp_path)).collect() == [("KR", 5000, "꺪")]
+    assert dimensions.encodings(spark).filter("name = 'WinAnsiEncoding' and code = 128").first().text == "€"
+    assert dimensions.standard_widths(spark).filter("font = 'Helvetica' and code = 32").first().width == 278
+    assert dimensions.presentation_forms(spark).filter("form = 'ﻟ'").first().text == "ل"
+    assert dimensions.glyph_names(spark).filter("name = 'Eacute'").first().text == "É"
