@@ -1,16 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 4).
 
 Counts of words and of word pairs are gathered over all training documents: each task counts its blocks,
-deals the counts by ranges of the hash, and one task a range adds them up. A count c is quantised to level
-1 + floor(log(c) / log(base)); its n-gram goes into the filter once for every level up to its own, so the
-level is read back by probing level after level until one is absent. A range of hashes has a segment of
-the filter of its own, and the task that adds up the range also fills the segment. The filters are
-broadcast; they have BITS_EACH bits for each entry, `most_bits` at most: past that, their size stays and
-their rate of false positives grows.
-
-    log10 P(w | v) = log10(WEIGHT * min(1, C(vw) / C(v)) + (1 - WEIGHT) * (C(w) + 0.5) / (N + 0.5 (V + 1)))
-
-C: the counts as the filters return them. The add-half unigram base uses exact counts: the vocabulary is
+deals the counts by ranges of the hash, and one task a range adds them up. A count c is quantised to a level,
+1 + floor(log(c) / log(1.25)) for words and floor(log2(c)) for pairs, so that a pair seen once is no more than an
+unseen one. An n-gram goes into the filter once for every level up to its own, and the level is read back by probing
+level after level until one is absent. A range of hashes has a segment of the filter of its own, filled where the
+range was added up. The filters are broadcast; they have BITS_EACH bits for each entry, `most_bits` at most:
+past that, their size stays and their rate of false positives f grows, of which the model takes account:
+
+    P(w | v) = a * C(vw) / (C(v) + f V C1) + (1 - a) * (C(w) + 0.5) / (N + 0.5 (V + 1))
+
+C: the counts as the filters return them; f V C1: what false positives, of the least level, add to the counts after
+v, so that the probabilities after v sum to one at most. How much a text repeats known pairs differs from text to text, so the weight a
+isn't one number: a text's probability is the mean of its probabilities under each of WEIGHTS. The add-half unigram base uses exact counts: the vocabulary is
 broadcast while it has at most `most_words` entries; beyond, distinct words of documents are joined to it.
 
 A document's tokens are its words and one end. Null text is empty: one end. Null doc_id counts as the empty
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 from parchmill.llm.common import SPACED, blocks, mix, partitions, sequences, stored, words
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x6A09E667F3BCC909)
-WEIGHT = 0.1
-#: Bases of the quantisation of words and pairs; bits for each entry of a filter; probes of an entry.
-BASES = (1.25, 2.0)
-BITS_EACH, PROBES = 8, 3
+WEIGHTS = (0.0, 0.1, 0.5, 0.9)
+#: Base of the quantisation and level of a count of one, for words and for pairs; bits for each entry of a filter.
+SCALES = ((1.25, 1), (2.0, 0))
+BITS_EACH = 24
 MOST_BITS = 1 << 29
 MOST_WORDS = 6_000_000
 #: Tokens that a task counts together before it deals them out.
@@ -133,9 +135,11 @@ def added_up(dealt: DataFrame, parts: int) -> DataFrame:
         h, c = h[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         h, c = h[first], np.add.reduceat(c, first)
-        q = levels(c, BASES[key[0]])
+        q = levels(c, *SCALES[key[0]])
+        n, all_counts = len(h), int(c.sum())
+        h, c, q = h[q > 0], c[q > 0], q[q > 0]
         return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes() if not key[0] else q.astype(np.uint8).tobytes()], pa.binary()), pa.array([len(h)], pa.int64()), pa.array([int(q.sum())], pa.int64()), pa.array([int(c.sum())], pa.int64())],
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes() if not key[0] else q.astype(np.uint8).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([int(q.sum())], pa.int64()), pa.array([all_counts], pa.int64())],
             ["kind", "part", "hashes", "counts", "n", "entries", "total"],
         )
 
@@ -143,74 +147,67 @@ def added_up(dealt: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(add, "kind int, part int, hashes binary, counts binary, n long, entries long, total long")
 
 
-def levels(c: np.ndarray, base: float) -> np.ndarray:
-    return 1 + np.floor(np.log(c) / math.log(base) + 1e-9).astype(np.int64)
+def levels(c: np.ndarray, base: float, first: int) -> np.ndarray:
+    return first + np.floor(np.log(c) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def count_at(level: np.ndarray, base: float) -> np.ndarray:
+def count_at(level: np.ndarray, base: float, first: int) -> np.ndarray:
     """The count that a level stands for: the geometric middle of its range of whole counts; 0 at level 0."""
-    low = np.ceil(base ** (level - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(base ** (level * 1.0) - 1e-9) - 1)
+    low = np.ceil(base ** (np.maximum(level, 1) - float(first)) - 1e-9)
+    high = np.maximum(low, np.ceil(base ** (np.maximum(level, 1) - first + 1.0) - 1e-9) - 1)
     return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
-def bits_of(h: np.ndarray, level: int | np.ndarray, size: np.ndarray | int) -> Iterator[np.ndarray]:
-    """The probes of an entry within a segment of `size` bits."""
-    x = mix(h + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    size = np.asarray(size, np.uint64)
-    for i in range(PROBES):
-        yield ((a + np.uint64(i) * b) % size).astype(np.int64)
+def probe(h: np.ndarray, level: int, i: int, size: np.ndarray | int) -> np.ndarray:
+    """The i-th bit of each n-gram's entry at a level, within a segment of `size` bits."""
+    x = mix(h + np.full(1, level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return (((x >> np.uint64(32)) + np.uint64(i) * ((x & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
 class Filter:
     """Segments of one log-frequency Bloom filter. first: the first bit of each segment, and the end."""
 
-    def __init__(self, first: np.ndarray, bits: np.ndarray, base: float) -> None:
-        self.first, self.bits, self.base = first, bits, base
+    def __init__(self, first: np.ndarray, bits: np.ndarray, probes: int, scale: tuple[float, int]) -> None:
+        self.first, self.bits, self.probes, self.scale = first, bits, probes, scale
+        fill = np.bitwise_count(bits).sum(dtype=np.int64) / max(1, 8 * len(bits))
+        self.false = float(fill) ** probes
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, read by probing 1, 2, ... until an entry is absent."""
         out = np.zeros(len(h), np.int64)
-        if not len(self.first) > 1:
-            return out
         part = part_of(h, len(self.first) - 1)
         at, size = self.first[part], np.diff(self.first)[part]
-        alive = np.flatnonzero(size > 0)
-        level = 1
+        alive, level = np.flatnonzero(size > 0), 1
         while len(alive):
-            here = alive
-            for i in range(PROBES):  # the later probes only where the earlier ones were set
-                x = mix(h[here] + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
-                bit = at[here] + (((x >> np.uint64(32)) + np.uint64(i) * ((x & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % size[here].astype(np.uint64)).astype(np.int64)
-                here = here[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
-            out[here] = level
-            alive = here
+            for i in range(self.probes):  # the later probes only where the earlier ones were set
+                bit = at[alive] + probe(h[alive], level, i, size[alive])
+                alive = alive[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
+            out[alive] = level
             level += 1
         return out
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        return count_at(self.level(h), self.base)
+        return count_at(self.level(h), *self.scale)
 
 
 def filter_of(counted: DataFrame, kind: int, parts: int, most_bits: int) -> Filter:
     """Fills the segments where the counts lie, and fetches them: most_bits bits and a row a part at most."""
-    counted = counted.filter(F.col("kind") == kind)
+    counted = counted.filter((F.col("kind") == kind) & (F.col("entries") > 0))
     entries = dict(counted.select("part", "entries").collect())
-    total = sum(entries.values())
-    each = min(BITS_EACH, most_bits / max(1, total))
+    each = min(BITS_EACH, most_bits / max(1, sum(entries.values())))
+    probes = max(2, int(each / 2))
     sizes = {p: (int(n * each) // 8 + 1) * 8 for p, n in entries.items()}
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, h, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 h, c = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64 if not kind else np.uint8)
-                q = levels(c, BASES[kind]) if not kind else c.astype(np.int64)
-                segment = np.zeros(sizes[part] // 8, np.uint8)
+                q = levels(c, *SCALES[0]) if not kind else c.astype(np.int64)
+                segment = np.zeros(sizes[part], bool)
                 for level in range(1, int(q.max()) + 1):
-                    for bit in bits_of(h[q >= level], level, sizes[part]):
-                        np.bitwise_or.at(segment, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment.tobytes()], pa.binary())], ["part", "segment"])
+                    for i in range(probes):
+                        segment[probe(h[q >= level], level, i, sizes[part])] = True
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())], ["part", "segment"])
 
     first = np.zeros(parts + 1, np.int64)
     for p, n in sizes.items():
@@ -219,7 +216,7 @@ def filter_of(counted: DataFrame, kind: int, parts: int, most_bits: int) -> Filt
     bits = np.zeros(int(first[-1]) // 8, np.uint8)
     for r in counted.select("part", "hashes", "counts").mapInArrow(fill, "part int, segment binary").toLocalIterator():
         bits[first[r["part"]] // 8 : first[r["part"] + 1] // 8] = np.frombuffer(r["segment"], np.uint8)
-    return Filter(first, bits, BASES[kind])
+    return Filter(first, bits, probes, SCALES[kind])
 
 
 def score(docs: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WORDS) -> DataFrame:
@@ -242,13 +239,14 @@ def score(docs: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WO
             at = np.minimum(np.searchsorted(h, t), max(0, len(h) - 1))
             return np.where(h[at] == t, c[at], 0) if len(h) else np.zeros(len(t), np.int64)
 
-        return docs.mapInArrow(_scorer(filters, n, floor, exact), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return _joined(docs, counted, filters, n, floor)
+        return docs.mapInArrow(_scorer(filters, n, v, floor, exact), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _joined(docs, counted, filters, n, v, floor)
 
 
-def _scorer(filters, n: int, floor: float, exact: Callable | None) -> Callable:
+def _scorer(filters, n: int, v: int, floor: float, exact: Callable | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in, pairs_in = filters.value
+        extra = pairs_in.false * v * float(count_at(np.array([1]), *pairs_in.scale)[0])
         for batch, data, off in blocks(batches):
             t, toff = tokens(data, off)
             doc, rows = sequences(toff), len(off) - 1
@@ -259,13 +257,16 @@ def _scorer(filters, n: int, floor: float, exact: Callable | None) -> Callable:
             c_before[1:] = quantised[which[:-1]]
             c_before[toff[:-1]] = quantised[np.minimum(np.searchsorted(distinct, END), len(distinct) - 1)]  # as many starts as ends
             both = pairs_in.count(two)
-            p = WEIGHT * np.minimum(1.0, both / np.maximum(c_before, 1.0)) + (1 - WEIGHT) * (quantised[which] + 0.5) / floor
+            pair, word = np.minimum(1.0, both / np.maximum(c_before + extra, 1.0)), (quantised[which] + 0.5) / floor
+            logs = np.stack([np.bincount(doc, np.log10(a * pair + (1 - a) * word), rows) for a in WEIGHTS])
+            top = logs.max(0)
+            total = top + np.log10((10.0 ** (logs - top)).mean(0))
             held = ~in_training(batch.column("doc_id").to_pylist())
             cols = [batch.column("doc_id"), pa.array(held), pa.array(np.diff(toff))]
             if exact:
                 c = exact(distinct)[which]
                 cols += [pa.array(np.bincount(doc, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, n, np.int64)), pa.array(np.bincount(doc, np.log10((c + 0.5) / floor), rows))]
-            cols.append(pa.array(np.bincount(doc, np.log10(p), rows)))
+            cols.append(pa.array(total))
             if not exact:
                 cols.append(batch.column("_text"))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", *(["n_known", "train_tokens", "base_score"] if exact else []), "score", *([] if exact else ["_text"])])
@@ -273,7 +274,7 @@ def _scorer(filters, n: int, floor: float, exact: Callable | None) -> Callable:
     return run
 
 
-def _joined(docs: DataFrame, counted: DataFrame, filters, n: int, floor: float) -> DataFrame:
+def _joined(docs: DataFrame, counted: DataFrame, filters, n: int, v: int, floor: float) -> DataFrame:
     """The way for a vocabulary of any size: each document's distinct tokens meet their exact counts in a join."""
     docs = docs.withColumn("_text", F.xxhash64("text"))
 
@@ -296,6 +297,6 @@ def _joined(docs: DataFrame, counted: DataFrame, filters, n: int, floor: float)
     each = docs.dropDuplicates(["doc_id", "_text"]).mapInArrow(spread, "doc_id long, _text long, token long, times long")
     c = F.coalesce("c", F.lit(0))
     sums = each.join(exact, "token", "left").groupBy("doc_id", "_text").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((c + 0.5) / floor)).alias("base_score"))
-    scored = docs.mapInArrow(_scorer(filters, n, floor, None), "doc_id long, held_out boolean, n_tokens long, score double, _text long")
+    scored = docs.mapInArrow(_scorer(filters, n, v, floor, None), "doc_id long, held_out boolean, n_tokens long, score double, _text long")
     same = scored["doc_id"].eqNullSafe(sums["doc_id"]) & (scored["_text"] == sums["_text"])
     return scored.join(sums, same).select(scored["doc_id"], "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

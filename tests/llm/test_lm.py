@@ -37,16 +37,45 @@ def test_equal_rows_and_no_rows(spark):
         assert lm.score(docs.limit(0), most_words=most).collect() == []
 
 
-def test_levels_are_read_back():
+def test_levels_stand_for_their_counts():
     rng = np.random.default_rng(1)
     c = np.concatenate([np.arange(1, 300), rng.integers(1, 10**7, 200)])
-    for base in lm.BASES:
-        q = lm.levels(c, base)
-        assert (np.diff(lm.levels(np.arange(1, 5000), base)) >= 0).all()
-        ratio = lm.count_at(q, base) / c
+    for base, first in lm.SCALES:
+        q = lm.levels(c, base, first)
+        assert q[0] == first and (np.diff(lm.levels(np.arange(1, 5000), base, first)) >= 0).all()
+        ratio = lm.count_at(q, base, first)[q > 0] / c[q > 0]
         assert ratio.min() > 1 / base - 1e-9 and ratio.max() < base + 1e-9
 
 
+def test_levels_are_read_back(spark):
+    texts = ["a b " * n for n in (1, 1, 3, 40)] + ["c d", "e f", "e f", "z"] * 3
+    docs = frame(spark, texts, [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][: len(texts)])
+    counted = lm.stored(lm.added_up(lm.gathered(docs, 4), 4))
+    words_in, pairs_in = lm.filter_of(counted, 0, 4, 1 << 20), lm.filter_of(counted, 1, 4, 1 << 20)
+    data = np.frombuffer(b"a b c e q", np.uint8)
+    t, toff = lm.tokens(data, np.array([0, len(data)]))
+    assert words_in.level(t[:5]).tolist() == [*lm.levels(np.array([45, 45, 3, 6]), *lm.SCALES[0]).tolist(), 0]
+    before, two = lm.pairs(t, toff)
+    assert pairs_in.level(two).tolist()[1] == 5 and pairs_in.level(two).tolist()[2] == 0
+
+
+def test_probabilities_after_a_word_sum_to_one_at_most(spark):
+    docs = real(spark, 200)
+    counted = lm.stored(lm.added_up(lm.gathered(docs.select("doc_id", "text"), 8), 8))
+    pairs_in = lm.filter_of(counted, 1, 8, 1 << 16)
+    assert pairs_in.false > 0.001  # a filter far too small
+    vocabulary = sorted({w for r in docs.collect() for w in spaced(r.text)})
+    data = " ".join(vocabulary).encode()
+    t, _ = lm.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    c = Counter(w for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1 for w in spaced(r.text))
+    extra = pairs_in.false * len(vocabulary) * lm.count_at(np.array([1]), *pairs_in.scale)[0]
+    sums = []
+    for word, h in list(zip(vocabulary, t, strict=False))[::97]:
+        mass = pairs_in.count(lm.mix(np.full(1, h) * np.uint64(0x9E3779B97F4A7C15) + t)).sum()
+        sums.append(mass / max(1.0, c[word] + extra))
+    assert np.mean(sums) < 1.2
+
+
 def test_held_out_text_is_likelier_than_under_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = lm.score(docs).filter("held_out").collect()
