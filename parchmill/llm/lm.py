@@ -6,12 +6,12 @@ deals the counts by ranges of the hash, and one task a range adds them up. A cou
 unseen one. An n-gram goes into the filter once for every level up to its own, and the level is read back by probing
 level after level until one is absent. A range of hashes has a segment of the filter of its own, filled where the
 range was added up. The filters are broadcast; they have BITS_EACH bits for each entry, `most_bits` at most:
-past that, their size stays and their rate of false positives f grows, of which the model takes account:
+past that, their size stays and their rate of false positives grows, of which the model takes account:
 
-    P(w | v) = a * C(vw) / (C(v) + f V C1) + (1 - a) * (C(w) + 0.5) / (N + 0.5 (V + 1))
+    P(w | v) = a * C(vw) / (C(v) + f V) + (1 - a) * (C(w) + 0.5) / (N + 0.5 (V + 1))
 
-C: the counts as the filters return them; f V C1: what false positives, of the least level, add to the counts after
-v, so that the probabilities after v sum to one at most. How much a text repeats known pairs differs from text to text, so the weight a
+C: the counts as the filters return them; f: what a pair that isn't in the filter counts on average, so that f V is
+what false positives add after v, and the probabilities after v sum to about one at most. How much a text repeats known pairs differs from text to text, so the weight a
 isn't one number: a text's probability is the mean of its probabilities under each of WEIGHTS. The add-half unigram base uses exact counts: the vocabulary is
 broadcast while it has at most `most_words` entries; beyond, distinct words of documents are joined to it.
 
@@ -38,6 +38,9 @@ WEIGHTS = (0.0, 0.1, 0.5, 0.9)
 #: Base of the quantisation and level of a count of one, for words and for pairs; bits for each entry of a filter.
 SCALES = ((1.25, 1), (2.0, 0))
 BITS_EACH = 24
+#: Entries past the first level take this many times fewer probes: what is in the filter is in it truly, and an error
+#: there only raises a count by one level.
+FEWER = 3
 MOST_BITS = 1 << 29
 MOST_WORDS = 6_000_000
 #: Tokens that a task counts together before it deals them out.
@@ -139,7 +142,7 @@ def added_up(dealt: DataFrame, parts: int) -> DataFrame:
         n, all_counts = len(h), int(c.sum())
         h, c, q = h[q > 0], c[q > 0], q[q > 0]
         return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes() if not key[0] else q.astype(np.uint8).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([int(q.sum())], pa.int64()), pa.array([all_counts], pa.int64())],
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes() if not key[0] else q.astype(np.uint8).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([len(q) + int(q.sum() - len(q)) // FEWER], pa.int64()), pa.array([all_counts], pa.int64())],
             ["kind", "part", "hashes", "counts", "n", "entries", "total"],
         )
 
@@ -164,6 +167,10 @@ def probe(h: np.ndarray, level: int, i: int, size: np.ndarray | int) -> np.ndarr
     return (((x >> np.uint64(32)) + np.uint64(i) * ((x & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
+def probes_at(probes: int, level: int) -> int:
+    return probes if level == 1 else max(2, probes // FEWER)
+
+
 class Filter:
     """Segments of one log-frequency Bloom filter. first: the first bit of each segment, and the end."""
 
@@ -171,6 +178,9 @@ class Filter:
         self.first, self.bits, self.probes, self.scale = first, bits, probes, scale
         fill = np.bitwise_count(bits).sum(dtype=np.int64) / max(1, 8 * len(bits))
         self.false = float(fill) ** probes
+        on, levels_ = float(fill) ** probes_at(probes, 2), np.arange(1, 33)
+        #: What an absent n-gram is expected to count.
+        self.false_count = self.false * float((on ** (levels_ - 1) * (1 - on) * count_at(levels_, *scale)).sum())
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, read by probing 1, 2, ... until an entry is absent."""
@@ -179,7 +189,7 @@ class Filter:
         at, size = self.first[part], np.diff(self.first)[part]
         alive, level = np.flatnonzero(size > 0), 1
         while len(alive):
-            for i in range(self.probes):  # the later probes only where the earlier ones were set
+            for i in range(probes_at(self.probes, level)):  # the later probes only where the earlier ones were set
                 bit = at[alive] + probe(h[alive], level, i, size[alive])
                 alive = alive[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
             out[alive] = level
@@ -205,7 +215,7 @@ def filter_of(counted: DataFrame, kind: int, parts: int, most_bits: int) -> Filt
                 q = levels(c, *SCALES[0]) if not kind else c.astype(np.int64)
                 segment = np.zeros(sizes[part], bool)
                 for level in range(1, int(q.max()) + 1):
-                    for i in range(probes):
+                    for i in range(probes_at(probes, level)):
                         segment[probe(h[q >= level], level, i, sizes[part])] = True
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())], ["part", "segment"])
 
@@ -246,7 +256,7 @@ def score(docs: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WO
 def _scorer(filters, n: int, v: int, floor: float, exact: Callable | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in, pairs_in = filters.value
-        extra = pairs_in.false * v * float(count_at(np.array([1]), *pairs_in.scale)[0])
+        extra = pairs_in.false_count * v
         for batch, data, off in blocks(batches):
             t, toff = tokens(data, off)
             doc, rows = sequences(toff), len(off) - 1
@@ -256,7 +266,8 @@ def _scorer(filters, n: int, v: int, floor: float, exact: Callable | None) -> Ca
             c_before = np.empty(len(t))
             c_before[1:] = quantised[which[:-1]]
             c_before[toff[:-1]] = quantised[np.minimum(np.searchsorted(distinct, END), len(distinct) - 1)]  # as many starts as ends
-            both = pairs_in.count(two)
+            two, again = np.unique(two, return_inverse=True)  # the common pairs are those of many levels
+            both = pairs_in.count(two)[again]
             pair, word = np.minimum(1.0, both / np.maximum(c_before + extra, 1.0)), (quantised[which] + 0.5) / floor
             logs = np.stack([np.bincount(doc, np.log10(a * pair + (1 - a) * word), rows) for a in WEIGHTS])
             top = logs.max(0)
