@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer document is a block of its own.
 BLOCK = 2 << 20
-#: Salts of an exact rank. Tables of (class, salt) offsets have classes x SALTS rows at most.
-SALTS = 128
+#: Windows of an exact rank over all classes, and rows that are worth a window of their own.
+WINDOWS, ROWS_A_WINDOW = 1 << 16, 1_000
 #: Rows that are worth a task of their own where rows are narrow.
 ROWS_A_TASK = 50_000
 
@@ -50,17 +50,22 @@ def partitions(spark: SparkSession) -> int:
 def with_rank(df: DataFrame, classes: list[str], order: list[str], name: str, salt: Column) -> DataFrame:
     """Adds the exact rank (from 0, gapless) of each row within its class.
 
-    A class may hold a third of all rows, so it is dealt over SALTS windows, and each window starts
-    at the sum of the counts before it. `classes` must take a bounded number of values, as the table of
-    starts is broadcast. `df` is read more than once: pass a stored table.
+    A class may hold a third of all rows, so it is dealt by a hash of `salt` over as many windows as it has rows for, and each
+    window starts at the sum of the counts before it. `classes` must take a bounded number of values: the tables of
+    counts and of starts are broadcast, and have a row a class, and at most WINDOWS rows more. `df` is read more than once:
+    pass a stored table.
     """
-    tasks = max(1, min(partitions(df.sparkSession), df.count() // ROWS_A_TASK))
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    total = df.count()
+    tasks = max(1, min(partitions(df.sparkSession), total // ROWS_A_TASK))
+    width = max(ROWS_A_WINDOW, total // WINDOWS)
+    sizes = df.groupBy(*classes).agg(F.ceil(F.count(F.lit(1)) / F.lit(width)).cast("int").alias("_windows"))
+    df = df.join(F.broadcast(sizes), classes).withColumn("_salt", F.pmod(F.xxhash64(salt), F.col("_windows")).cast("int"))
     keys = [*classes, "_salt"]
     before = Window.partitionBy(*classes).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(within)).join(F.broadcast(starts), keys).withColumn(name, F.col("_start") + F.col("_k") - 1).drop("_salt", "_k", "_start").coalesce(tasks)
+    ranked = df.withColumn("_k", F.row_number().over(within)).join(F.broadcast(starts), keys).withColumn(name, F.col("_start") + F.col("_k") - 1)
+    return ranked.drop("_windows", "_salt", "_k", "_start").coalesce(tasks)
 
 
 # --- words ------------------------------------------------------------------------------------
