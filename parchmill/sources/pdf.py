@@ -36,6 +36,11 @@ def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def looks_like_pdf(content: Column) -> Column:
+    """Whether the bytes have a PDF header at their start, or an object anywhere: a built-in filter ahead of the kernel."""
+    return F.contains(F.substring(content, 1, 1024), F.lit(b"%PDF-")) | F.contains(content, F.lit(b" obj"))
+
+
 def stream_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """The same as a stream of the files that arrive."""
     return spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).load(path)

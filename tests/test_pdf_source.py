@@ -92,3 +92,22 @@ def test_dimensions(spark, tmp_path):
     assert dimensions.standard_widths(spark).filter("font = 'Helvetica' and code = 32").first().width == 278
     assert dimensions.presentation_forms(spark).filter("form = 'ﻟ'").first().text == "ل"
     assert dimensions.glyph_names(spark).filter("name = 'Eacute'").first().text == "É"
+
+
+def test_sinks_and_observation(spark, folder, tmp_path):
+    from parchmill.sources import sinks
+
+    pages = name(pdf.extract_pages(pdf.files(spark, folder)))
+    seen, told = sinks.observed(pages)
+    sinks.write_parquet(seen, str(tmp_path / "parquet"), by="page_no")
+    assert told.get["pages"] == 12 and spark.read.parquet(str(tmp_path / "parquet")).filter("page_no = 2").count() == 6
+    sinks.write_text(pages, ["name"], str(tmp_path / "text"))
+    rows = [r.value for r in spark.read.option("lineSep", "\0").text(str(tmp_path / "text")).collect()]
+    assert "Page one of 0\nmore\fPage two of 0\f" in rows and len(rows) == 6
+    sinks.write_json(pages.select("name", "text"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 12
+
+
+def test_sniff(spark, folder):
+    got = {r.name: r.ok for r in name(pdf.files(spark, folder)).select("name", pdf.looks_like_pdf(F.col("content")).alias("ok")).collect()}
+    assert not got["bad.pdf"] and got["0.pdf"] and got["locked.pdf"]
