@@ -47,6 +47,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most about `rows` narrow rows, in no more tasks than they are worth."""
+    return df.coalesce(max(1, min(partitions(df.sparkSession), -(-rows // ROWS_A_TASK))))
+
+
 def with_rank(df: DataFrame, classes: list[str], order: list[str], name: str, salt: Column) -> DataFrame:
     """Adds the exact rank (from 0, gapless) of each row within its class.
 
@@ -56,7 +61,6 @@ def with_rank(df: DataFrame, classes: list[str], order: list[str], name: str, sa
     pass a stored table.
     """
     total = df.count()
-    tasks = max(1, min(partitions(df.sparkSession), total // ROWS_A_TASK))
     width = max(ROWS_A_WINDOW, total // WINDOWS)
     sizes = df.groupBy(*classes).agg(F.ceil(F.count(F.lit(1)) / F.lit(width)).cast("int").alias("_windows"))
     df = df.join(F.broadcast(sizes), classes).withColumn("_salt", F.pmod(F.xxhash64(salt), F.col("_windows")).cast("int"))
@@ -65,7 +69,7 @@ def with_rank(df: DataFrame, classes: list[str], order: list[str], name: str, sa
     starts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*keys).orderBy(*order)
     ranked = df.withColumn("_k", F.row_number().over(within)).join(F.broadcast(starts), keys).withColumn(name, F.col("_start") + F.col("_k") - 1)
-    return ranked.drop("_windows", "_salt", "_k", "_start").coalesce(tasks)
+    return sized(ranked.drop("_windows", "_salt", "_k", "_start"), total)
 
 
 # --- words ------------------------------------------------------------------------------------

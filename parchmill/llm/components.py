@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmill.llm.common import stored
+from parchmill.llm.common import sized, stored
 
 
 def _state(e: DataFrame) -> tuple:
@@ -24,9 +24,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = stored(sized(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), 2 * state[0]))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = stored(large.join(down, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct())
+        e = stored(sized(large.join(down, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct(), 2 * state[0]))
         if (now := _state(e)) == state:
             return e
         state = now

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmill.llm.common import SPACED, blocks, grams, mix, partitions, stored, within, words
+from parchmill.llm.common import SPACED, blocks, grams, mix, partitions, sized, stored, within, words
 from parchmill.llm.components import components
 
 SCAN = 32
@@ -310,7 +310,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = stored(sets_of(docs, k, num, den))
     classes = plain.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    sets = stored(plain.drop("sketches").join(classes, ["n_shingles", "d1", "d2"], "left"))
+    rows = plain.count()
+    sets = stored(sized(plain.drop("sketches").join(classes, ["n_shingles", "d1", "d2"], "left"), rows))
     key = Window.partitionBy("key")
     shared = keys_of(docs, k, num, den).withColumn("lo", F.min("doc_id").over(key)).withColumn("hi", F.max("doc_id").over(key)).filter("lo < hi").select("key", "doc_id")
     members = stored(shared).join(sets.select("doc_id", "rep", "n_shingles").distinct(), "doc_id").select("key", F.col("rep").alias("x"), F.col("n_shingles").alias("n")).distinct()
@@ -320,23 +321,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     lists = stored(members.withColumn("block", F.floor((F.row_number().over(key.orderBy("x", "n")) - 1) / MOST_IN_LIST).cast("int")).withColumn("last", F.max("block").over(key)))
     reps = sets.filter("doc_id = rep").select("doc_id", "n_shingles", "d1", "d2").distinct()
     sketch = plain.join(reps, ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("x"), F.inline("sketches")).distinct()
-    sketch = stored(sketch)
+    sketch = stored(sized(sketch, 2 * rows))
     found = failed = roots = None
     for every in (False, True):
-        rows = lists.withColumn("root", F.col("x"))
+        members = lists.withColumn("root", F.col("x"))
         if roots is not None:
-            rows = lists.join(roots.select(F.col("u").alias("x"), F.col("v").alias("root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
-            rows = rows.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).filter("lo < hi").drop("lo", "hi")
+            members = lists.join(roots.select(F.col("u").alias("x"), F.col("v").alias("root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
+            members = members.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).filter("lo < hi").drop("lo", "hi")
         # A long list begins with its blocks by themselves and with the first one; only what is then apart meets block by block.
         other = F.sequence(F.lit(0), F.col("last")) if every else F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.lit(0), F.col("block")))
-        rows = rows.withColumn("other", F.explode(other)).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
-        rows = rows.join(sketch, ["x", "scheme"])
+        members = members.withColumn("other", F.explode(other)).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
+        members = members.join(sketch, ["x", "scheme"])
         if failed is None:
-            rows = rows.withColumn("failed", F.array().cast("array<long>"))
+            members = members.withColumn("failed", F.array().cast("array<long>"))
         else:
             each = failed.union(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            rows = rows.join(each.groupBy(F.col("u").alias("x")).agg(F.collect_list("v").alias("failed")), "x", "left")
-        pairs = stored(candidates(rows, num, den, every))
+            members = members.join(each.groupBy(F.col("u").alias("x")).agg(F.collect_list("v").alias("failed")), "x", "left")
+        pairs = stored(candidates(members, num, den, every))
         if pairs.isEmpty():
             break
         ok = confirm(pairs, docs, k, num, den)
@@ -349,7 +350,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     if roots is None:
         return sets.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
     by = roots.withColumnRenamed("u", "rep").withColumnRenamed("v", "root")
-    return sets.join(by, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    return sized(sets.join(by, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")), rows)
 
 
 def _twins(sets: DataFrame) -> DataFrame:
