@@ -134,7 +134,7 @@ def pdf_page_n(spark, d):
 
 @query(f"select doc_id, cast(ceil(len(string_split(text, chr(10))) / {LINES}.0) as integer) as page_count, false as is_encrypted, 'Number ' || doc_id as title from documents")
 def pdf_info(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = pdf.spread(table(spark, d, "documents").select("doc_id", "text"))
 
     @F.pandas_udf("binary")
     def write(ids, texts):

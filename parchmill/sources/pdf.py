@@ -158,6 +158,12 @@ def extract_documents(df: DataFrame, content: str = "content", separator: str =
     return _told(df, content, options(**opts), True, separator, mode)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least two tasks a core: reading a PDF costs far more than moving it, and a scan of one small file is one task."""
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def synthetic(docs: DataFrame, text: str = "text", packing: str = "flate", lines_a_page: int = 50, **more) -> DataFrame:
     """docs with its text column turned into a PDF in `content`."""
     @F.pandas_udf("binary")
@@ -166,7 +172,7 @@ def synthetic(docs: DataFrame, text: str = "text", packing: str = "flate", lines
 
         return series.map(lambda t: writer.from_text(t or "", packing, lines_a_page, **more))
 
-    return docs.withColumn("content", write(F.col(text))).drop(text)
+    return spread(docs).withColumn("content", write(F.col(text))).drop(text)
 
 
 def register(spark: SparkSession) -> None:
