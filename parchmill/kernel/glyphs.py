@@ -12,32 +12,28 @@ from functools import lru_cache
 
 #: Names that don't follow from a rule.
 SIGNS = """
-space 20 exclam 21 quotedbl 22 numbersign 23 dollar 24 percent 25 ampersand 26 quotesingle 27 parenleft 28
-parenright 29 asterisk 2A plus 2B comma 2C hyphen 2D period 2E slash 2F zero 30 one 31 two 32 three 33 four 34
-five 35 six 36 seven 37 eight 38 nine 39 colon 3A semicolon 3B less 3C equal 3D greater 3E question 3F at 40
-bracketleft 5B backslash 5C bracketright 5D asciicircum 5E underscore 5F grave 60 braceleft 7B bar 7C
-braceright 7D asciitilde 7E exclamdown A1 cent A2 sterling A3 currency A4 yen A5 brokenbar A6 section A7
-dieresis A8 copyright A9 ordfeminine AA guillemotleft AB logicalnot AC softhyphen AD registered AE macron AF
-degree B0 plusminus B1 twosuperior B2 threesuperior B3 acute B4 mu B5 paragraph B6 periodcentered B7
-cedilla B8 onesuperior B9 ordmasculine BA guillemotright BB onequarter BC onehalf BD threequarters BE
-questiondown BF AE C6 Eth D0 multiply D7 Thorn DE germandbls DF ae E6 eth F0 divide F7 thorn FE dotlessi 131
-OE 152 oe 153 florin 192 circumflex 2C6 caron 2C7 breve 2D8 dotaccent 2D9 ring 2DA ogonek 2DB tilde 2DC
-hungarumlaut 2DD endash 2013 emdash 2014 quoteleft 2018 quoteright 2019 quotesinglbase 201A quotedblleft 201C
-quotedblright 201D quotedblbase 201E dagger 2020 daggerdbl 2021 bullet 2022 ellipsis 2026 perthousand 2030
-guilsinglleft 2039 guilsinglright 203A fraction 2044 Euro 20AC trademark 2122 minus 2212 lozenge 25CA
-partialdiff 2202 summation 2211 product 220F radical 221A infinity 221E integral 222B approxequal 2248
-notequal 2260 lessequal 2264 greaterequal 2265 Delta 2206 Omega 2126 arrowleft 2190 arrowup 2191 arrowright 2192
-arrowdown 2193 arrowboth 2194 universal 2200 existential 2203 emptyset 2205 element 2208 notelement 2209
-suchthat 220B proportional 221D angle 2220 logicaland 2227 logicalor 2228 intersection 2229 union 222A
-therefore 2234 similar 223C congruent 2245 equivalence 2261 propersubset 2282 propersuperset 2283
-reflexsubset 2286 reflexsuperset 2287 circleplus 2295 circlemultiply 2297 perpendicular 22A5 dotmath 22C5
-nbspace 20 visiblespace 20 ellipsismath 22EF prime 2032 Lslash 141 lslash 142 Oslash D8 oslash F8 IJ 49,4A ij 69,6A
+space 20 exclam 21 quotedbl 22 numbersign 23 dollar 24 percent 25 quotesingle 27 parenleft 28 parenright 29 plus 2B
+hyphen 2D period 2E slash 2F less 3C equal 3D greater 3E question 3F at 40 bracketleft 5B backslash 5C bracketright 5D
+asciicircum 5E underscore 5F grave 60 braceleft 7B bar 7C braceright 7D asciitilde 7E exclamdown A1 cent A2
+sterling A3 currency A4 yen A5 brokenbar A6 section A7 dieresis A8 copyright A9 ordfeminine AA guillemotleft AB
+logicalnot AC softhyphen AD registered AE degree B0 plusminus B1 twosuperior B2 threesuperior B3 acute B4 mu B5
+paragraph B6 periodcentered B7 onesuperior B9 ordmasculine BA guillemotright BB onequarter BC onehalf BD
+threequarters BE questiondown BF AE C6 Eth D0 multiply D7 Thorn DE germandbls DF ae E6 eth F0 divide F7 thorn FE
+dotlessi 131 OE 152 oe 153 florin 192 circumflex 2C6 dotaccent 2D9 ring 2DA tilde 2DC hungarumlaut 2DD endash 2013
+emdash 2014 quoteleft 2018 quoteright 2019 quotesinglbase 201A quotedblleft 201C quotedblright 201D quotedblbase 201E
+daggerdbl 2021 ellipsis 2026 perthousand 2030 guilsinglleft 2039 guilsinglright 203A fraction 2044 Euro 20AC
+trademark 2122 minus 2212 partialdiff 2202 summation 2211 product 220F radical 221A approxequal 2248 notequal 2260
+lessequal 2264 greaterequal 2265 Delta 2206 Omega 2126 arrowleft 2190 arrowup 2191 arrowright 2192 arrowdown 2193
+arrowboth 2194 universal 2200 existential 2203 emptyset 2205 element 2208 notelement 2209 suchthat 220B
+proportional 221D logicaland 2227 logicalor 2228 similar 223C congruent 2245 equivalence 2261 propersubset 2282
+propersuperset 2283 reflexsubset 2286 reflexsuperset 2287 circleplus 2295 circlemultiply 2297 perpendicular 22A5
+dotmath 22C5 nbspace 20 visiblespace 20 ellipsismath 22EF Lslash 141 lslash 142 Oslash D8 oslash F8 IJ 49,4A ij 69,6A
 ff 66,66 fi 66,69 fl 66,6C ffi 66,66,69 ffl 66,66,6C sfthyphen 2D hyphenchar 2D dotlessj 237 ng 14B Ng 14A
-circlecopyrt A9 bulletmath 2219 minusplus 2213 negationslash 2F mapsto 21A6 owner 220B triangle 25B3
-ceilingleft 2308 ceilingright 2309 floorleft 230A floorright 230B bardbl 2016 latticetop 22A4 turnstileleft 22A2
-turnstileright 22A3 similarequal 2243 lessmuch 226A greatermuch 226B precedes 227A follows 227B arrowdblboth 21D4
-epsilon1 3F5 theta1 3D1 pi1 3D6 rho1 3F1 sigma1 3C2 phi1 3D5 vector 20D7 tie 2040 star 22C6 diamondmath 22C4
-openbullet 25E6 angbracketleft 27E8 angbracketright 27E9 nabla 2207 natural 266E sharp 266F flat 266D
+circlecopyrt A9 bulletmath 2219 minusplus 2213 negationslash 2F mapsto 21A6 owner 220B triangle 25B3 ceilingleft 2308
+ceilingright 2309 floorleft 230A floorright 230B bardbl 2016 latticetop 22A4 turnstileleft 22A2 turnstileright 22A3
+similarequal 2243 lessmuch 226A greatermuch 226B follows 227B arrowdblboth 21D4 epsilon1 3F5 theta1 3D1 pi1 3D6
+rho1 3F1 sigma1 3C2 phi1 3D5 vector 20D7 tie 2040 star 22C6 diamondmath 22C4 openbullet 25E6 angbracketleft 27E8
+angbracketright 27E9 natural 266E sharp 266F flat 266D
 """
 EMPTY = frozenset(["compwordmark", "cwm", "perthousandzero", ".notdef", ""])
 ACCENTS = {"ACUTE": "acute", "GRAVE": "grave", "CIRCUMFLEX": "circumflex", "TILDE": "tilde", "DIAERESIS": "dieresis", "RING ABOVE": "ring", "CARON": "caron", "CEDILLA": "cedilla", "OGONEK": "ogonek", "MACRON": "macron", "BREVE": "breve", "DOT ABOVE": "dotaccent", "DOUBLE ACUTE": "hungarumlaut", "STROKE": "slash", "DOT BELOW": "dotbelow", "HOOK ABOVE": "hookabove", "HORN": "horn", "TONOS": "tonos", "DIALYTIKA": "dieresis", "COMMA BELOW": "commaaccent"}
@@ -49,6 +45,10 @@ def names(list_file: str | None = None) -> dict[str, str]:
     out: dict[str, str] = {}
     for cp in (*range(0x41, 0x5B), *range(0x61, 0x7B)):
         out[chr(cp)] = chr(cp)
+    for cp in (*range(0x21, 0x100), *range(0x2C6, 0x2DE), *range(0x2020, 0x2040), *range(0x2200, 0x2300)):
+        said = unicodedata.name(chr(cp), "").removeprefix("DIGIT ").lower()
+        if said.isalpha():  # zero, comma, dagger, infinity
+            out.setdefault(said, chr(cp))
     for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x370, 0x400), *range(0x5D0, 0x5EB)):
         said = unicodedata.name(chr(cp), "")
         if m := re.fullmatch(r"LATIN (CAPITAL|SMALL) LETTER ([A-Z]{1,2})(?: WITH (.+))?", said):
