@@ -44,7 +44,7 @@ FEWER = 3
 MOST_BITS = 1 << 29
 MOST_WORDS = 6_000_000
 #: Tokens that a task counts together before it deals them out.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
