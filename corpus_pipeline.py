@@ -13,17 +13,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
-    kept = quality.select(docs, table(spark, sf_dir, "labels")).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """Documents that importance resampling rejects go; of rows that share a doc_id all go, or none."""
+    found = quality.select(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = stored(found.filter("not kept").select("doc_id"))
+    return without(docs, gone)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose ids aren't in `gone`; texts are only moved where the ids are too many to send around."""
+    ids = F.broadcast(gone) if gone.count() <= jaccard.MOST_IDS else gone
+    return docs.join(ids, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document of the least id stays."""
     found = jaccard.near_duplicates(docs, k=5, num=80, den=100)
-    gone = stored(found.filter("doc_id > component_id").select("doc_id").distinct())
-    few = gone.count() <= jaccard.MOST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, stored(found.filter("doc_id > component_id").select("doc_id").distinct()))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
