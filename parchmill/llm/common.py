@@ -35,9 +35,19 @@ def scratch(spark: SparkSession) -> str:
     return "file://" + _OWN_SCRATCH[0]
 
 
+#: Bytes of a batch between the JVM and Python. Both sides hold a few at a time, outside the heap.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text go to Python by bytes, not by the session's 10,000 rows, which may be any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch(spark)}/parchmill/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
