@@ -5,15 +5,17 @@ deals the counts by ranges of the hash, and one task a range adds them up. A cou
 1 + floor(log(c) / log(1.25)) for words and floor(log2(c)) for pairs, so that a pair seen once is no more than an
 unseen one. An n-gram goes into the filter once for every level up to its own, and the level is read back by probing
 level after level until one is absent. A range of hashes has a segment of the filter of its own, filled where the
-range was added up. The filters are broadcast; they have BITS_EACH bits for each entry, `most_bits` at most:
-past that, their size stays and their rate of false positives grows, of which the model takes account:
+range was added up. A filter has BITS_EACH bits for each entry at any size. Filters of `most_bits` at most are broadcast (a quarter
+of it for words); larger ones stay where their segments are: the distinct n-grams of each block of documents are sent to
+the segments of their ranges, and their levels come back. The rate of false positives is the same either way, and the
+model takes account of it:
 
     P(w | v) = a * C(vw) / (C(v) + f V) + (1 - a) * (C(w) + 0.5) / (N + 0.5 (V + 1))
 
 C: the counts as the filters return them; f: what a pair that isn't in the filter counts on average, so that f V is
 what false positives add after v, and the probabilities after v sum to about one at most. How much a text repeats known pairs differs from text to text, so the weight a
 isn't one number: a text's probability is the mean of its probabilities under each of WEIGHTS. The add-half unigram base uses exact counts: the vocabulary is
-broadcast while it has at most `most_words` entries; beyond, distinct words of documents are joined to it.
+broadcast while it has at most `most_words` entries; beyond, exact counts come back together with the levels.
 
 A document's tokens are its words and one end. Null text is empty: one end. Null doc_id counts as the empty
 string in the choice of training rows. Equal doc_ids are separate rows. Without training rows, the only
@@ -23,8 +25,9 @@ mass is that of unknown words.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,7 @@ BITS_EACH = 24
 #: Entries past the first level take this many times fewer probes: what is in the filter is in it truly, and an error
 #: there only raises a count by one level.
 FEWER = 3
+#: Bits of a filter that is broadcast.
 MOST_BITS = 1 << 29
 MOST_WORDS = 6_000_000
 #: Tokens that a task counts together before it deals them out.
@@ -171,16 +175,33 @@ def probes_at(probes: int, level: int) -> int:
     return probes if level == 1 else max(2, probes // FEWER)
 
 
+def false_count(fill: float, probes: int, scale: tuple[float, int]) -> float:
+    """What an absent n-gram is expected to count in a filter of which a share `fill` is set."""
+    on, levels_ = fill ** probes_at(probes, 2), np.arange(1, 33)
+    return fill**probes * float((on ** (levels_ - 1) * (1 - on) * count_at(levels_, *scale)).sum())
+
+
+def bits_for(entries: int, each: float) -> int:
+    return (int(entries * each) // 8 + 1) * 8
+
+
+def segment_of(kind: int, h: np.ndarray, c: np.ndarray, size: int, probes: int) -> np.ndarray:
+    """The filled segment of one part; c: counts of words, levels of pairs."""
+    q = levels(c, *SCALES[0]) if not kind else c.astype(np.int64)
+    segment = np.zeros(size, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        for i in range(probes_at(probes, level)):
+            segment[probe(h[q >= level], level, i, size)] = True
+    return np.packbits(segment, bitorder="little")
+
+
 class Filter:
     """Segments of one log-frequency Bloom filter. first: the first bit of each segment, and the end."""
 
     def __init__(self, first: np.ndarray, bits: np.ndarray, probes: int, scale: tuple[float, int]) -> None:
         self.first, self.bits, self.probes, self.scale = first, bits, probes, scale
-        fill = np.bitwise_count(bits).sum(dtype=np.int64) / max(1, 8 * len(bits))
-        self.false = float(fill) ** probes
-        on, levels_ = float(fill) ** probes_at(probes, 2), np.arange(1, 33)
-        #: What an absent n-gram is expected to count.
-        self.false_count = self.false * float((on ** (levels_ - 1) * (1 - on) * count_at(levels_, *scale)).sum())
+        fill = float(np.bitwise_count(bits).sum(dtype=np.int64) / max(1, 8 * len(bits)))
+        self.false, self.false_count = fill**probes, false_count(fill, probes, scale)
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram, read by probing 1, 2, ... until an entry is absent."""
@@ -206,18 +227,13 @@ def filter_of(counted: DataFrame, kind: int, parts: int, most_bits: int) -> Filt
     entries = dict(counted.select("part", "entries").collect())
     each = min(BITS_EACH, most_bits / max(1, sum(entries.values())))
     probes = max(2, int(each / 2))
-    sizes = {p: (int(n * each) // 8 + 1) * 8 for p, n in entries.items()}
+    sizes = {p: bits_for(n, each) for p, n in entries.items()}
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, h, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 h, c = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64 if not kind else np.uint8)
-                q = levels(c, *SCALES[0]) if not kind else c.astype(np.int64)
-                segment = np.zeros(sizes[part], bool)
-                for level in range(1, int(q.max()) + 1):
-                    for i in range(probes_at(probes, level)):
-                        segment[probe(h[q >= level], level, i, sizes[part])] = True
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())], ["part", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment_of(kind, h, c, sizes[part], probes).tobytes()], pa.binary())], ["part", "segment"])
 
     first = np.zeros(parts + 1, np.int64)
     for p, n in sizes.items():
@@ -235,79 +251,121 @@ def score(docs: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WO
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = 4 * partitions(spark)
     counted = stored(added_up(gathered(docs, parts), parts))
-    kinds = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    kinds = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("entries").alias("entries")).collect()}
     v, n = (kinds[0]["n"], kinds[0]["total"]) if kinds else (0, 0)
     floor = n + 0.5 * (v + 1)
+    if v > most_words or any(BITS_EACH * r["entries"] > (most_bits if kind else most_bits // 4) for kind, r in kinds.items()):
+        return _dealt(docs, counted, parts, n, v, floor)
     filters = spark.sparkContext.broadcast((filter_of(counted, 0, parts, most_bits // 4), filter_of(counted, 1, parts, most_bits)))
-    if v <= most_words:
-        rows = sorted(((r["part"], bytes(r["hashes"]), bytes(r["counts"])) for r in counted.filter("kind = 0").select("part", "hashes", "counts").toLocalIterator()))
-        known = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x[1], np.uint64) for x in rows)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[2], np.int64) for x in rows)])))
-        del rows
-
-        def exact(t: np.ndarray) -> np.ndarray:
-            h, c = known.value
-            at = np.minimum(np.searchsorted(h, t), max(0, len(h) - 1))
-            return np.where(h[at] == t, c[at], 0) if len(h) else np.zeros(len(t), np.int64)
+    rows = sorted(((r["part"], bytes(r["hashes"]), bytes(r["counts"])) for r in counted.filter("kind = 0").select("part", "hashes", "counts").toLocalIterator()))
+    known = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x[1], np.uint64) for x in rows)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[2], np.int64) for x in rows)])))
+    del rows
 
-        return docs.mapInArrow(_scorer(filters, n, v, floor, exact), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return _joined(docs, counted, filters, n, v, floor)
-
-
-def _scorer(filters, n: int, v: int, floor: float, exact: Callable | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in, pairs_in = filters.value
-        extra = pairs_in.false_count * v
-        for batch, data, off in blocks(batches):
-            t, toff = tokens(data, off)
-            doc, rows = sequences(toff), len(off) - 1
-            distinct, which = np.unique(t, return_inverse=True)
-            quantised = words_in.count(distinct)
-            before, two = pairs(t, toff)
-            c_before = np.empty(len(t))
-            c_before[1:] = quantised[which[:-1]]
-            c_before[toff[:-1]] = quantised[np.minimum(np.searchsorted(distinct, END), len(distinct) - 1)]  # as many starts as ends
-            two, again = np.unique(two, return_inverse=True)  # the common pairs are those of many levels
-            both = pairs_in.count(two)[again]
-            pair, word = np.minimum(1.0, both / np.maximum(c_before + extra, 1.0)), (quantised[which] + 0.5) / floor
-            logs = np.stack([np.bincount(doc, np.log10(a * pair + (1 - a) * word), rows) for a in WEIGHTS])
-            top = logs.max(0)
-            total = top + np.log10((10.0 ** (logs - top)).mean(0))
-            held = ~in_training(batch.column("doc_id").to_pylist())
-            cols = [batch.column("doc_id"), pa.array(held), pa.array(np.diff(toff))]
-            if exact:
-                c = exact(distinct)[which]
-                cols += [pa.array(np.bincount(doc, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, n, np.int64)), pa.array(np.bincount(doc, np.log10((c + 0.5) / floor), rows))]
-            cols.append(pa.array(total))
-            if not exact:
-                cols.append(batch.column("_text"))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", *(["n_known", "train_tokens", "base_score"] if exact else []), "score", *([] if exact else ["_text"])])
-
-    return run
-
-
-def _joined(docs: DataFrame, counted: DataFrame, filters, n: int, v: int, floor: float) -> DataFrame:
-    """The way for a vocabulary of any size: each document's distinct tokens meet their exact counts in a join."""
-    docs = docs.withColumn("_text", F.xxhash64("text"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in blocks(batches):
             t, toff = tokens(data, off)
-            order = np.lexsort((t, sequences(toff)))
-            t, doc = t[order], sequences(toff)[order]
-            first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])]))
-            times = np.diff(np.append(first, len(t)))
-            owner = pa.array(doc[first])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("_text").take(owner), pa.array(t[first].view(np.int64)), pa.array(times)], ["doc_id", "_text", "token", "times"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one, two = np.unique(t, return_inverse=True), np.unique(pairs(t, toff)[1], return_inverse=True)  # the common pairs are those of many levels
+            yield scored(batch.column("doc_id"), toff, one, two[1], words_in.count(one[0]), pairs_in.count(two[0]), found(*known.value, one[0]), pairs_in.false_count * v, n, floor)
+
+    return docs.mapInArrow(run, SCORED)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def found(h: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The exact count of each token, from sorted hashes and their counts."""
+    at = np.minimum(np.searchsorted(h, t), max(0, len(h) - 1))
+    return np.where(h[at] == t, c[at], 0) if len(h) else np.zeros(len(t), np.int64)
+
+
+def scored(ids: pa.Array, toff: np.ndarray, one: tuple[np.ndarray, np.ndarray], again: np.ndarray, quantised: np.ndarray, both: np.ndarray, exact: np.ndarray, extra: float, n: int, floor: float) -> pa.RecordBatch:
+    """The rows of a block. one, again: its distinct tokens, and the places of tokens and pairs among the distinct ones;
+    quantised, both, exact: counts of the distinct tokens and pairs in the filters, and of the tokens exactly."""
+    (distinct, which), doc, rows = one, sequences(toff), len(toff) - 1
+    c_before = np.empty(len(which))
+    c_before[1:] = quantised[which[:-1]]
+    c_before[toff[:-1]] = quantised[np.minimum(np.searchsorted(distinct, END), len(distinct) - 1)]  # as many starts as ends
+    pair, word = np.minimum(1.0, both[again] / np.maximum(c_before + extra, 1.0)), (quantised[which] + 0.5) / floor
+    logs = np.stack([np.bincount(doc, np.log10(a * pair + (1 - a) * word), rows) for a in WEIGHTS])
+    top = logs.max(0)
+    total = top + np.log10((10.0 ** (logs - top)).mean(0))
+    c = exact[which]
+    cols = [ids, pa.array(~in_training(ids.to_pylist())), pa.array(np.diff(toff)), pa.array(np.bincount(doc, c > 0, rows).astype(np.int64)), pa.array(np.full(rows, n, np.int64)), pa.array(np.bincount(doc, np.log10((c + 0.5) / floor), rows)), pa.array(total)]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floor: float) -> DataFrame:
+    """The way for filters and vocabularies of any size: the distinct n-grams of each block are sent to the parts that hold
+    their segments and counts, and what is read there is sent back to the block."""
+    probes = max(2, BITS_EACH // 2)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, part, h, c, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                segment = segment_of(kind, np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint8 if kind else np.int64), bits_for(entries, BITS_EACH), probes)
+                cols = [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([None if kind else h.as_py()], pa.binary()), pa.array([None if kind else c.as_py()], pa.binary())]
+                cols += [pa.array([segment.tobytes()], pa.binary()), pa.array([int(np.bitwise_count(segment).sum(dtype=np.int64))], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["kind", "part", "block", "hashes", "counts", "segment", "n_set"])
+
+    fields = "kind int, part int, block long, hashes binary, counts binary, segment binary"
+    held = stored(counted.select("kind", "part", "hashes", "counts", "entries").mapInArrow(fill, f"{fields}, n_set long"))
+    set_bits, bytes_ = held.filter("kind = 1").agg(F.sum("n_set"), F.sum(F.octet_length("segment"))).first()
+    extra = false_count(set_bits / (8 * bytes_), probes, SCALES[1]) * v
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in blocks(batches):
+            ends = pa.array([0, batch.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, batch.column("doc_id")), pa.ListArray.from_arrays(ends, batch.column("text").cast(pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists], ["block", "ids", "texts"])
+
+    def tokens_of(texts: pa.Array) -> tuple[np.ndarray, tuple, tuple]:
+        ((_, data, off),) = blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))  # a block again
+        t, toff = tokens(data, off)
+        return toff, np.unique(t, return_inverse=True), np.unique(pairs(t, toff)[1], return_inverse=True)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
+                for kind, (h, _) in enumerate(tokens_of(texts.values)[1:]):
+                    cuts = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
+                    some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+                    none = pa.nulls(len(some), pa.binary())
+                    cols = [pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([h[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()), none, none]
+                    yield pa.RecordBatch.from_arrays(cols, ["kind", "part", "block", "hashes", "counts", "segment"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, segment, known = None, None, None
+        for batch in batches:
+            out = []
+            for kind, part, block, h, c, bits in zip(*(batch.column(i).to_pylist() for i in range(3)), *(batch.column(i) for i in range(3, 6)), strict=True):
+                if block is None:  # a part comes before what is asked of it
+                    bits = np.frombuffer(bits.as_buffer(), np.uint8)
+                    key, segment = (kind, part), Filter(np.array([0, 8 * len(bits)]), bits, probes, SCALES[kind])
+                    known = None if kind else (np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64))
+                    continue
+                h = np.frombuffer(h.as_buffer(), np.uint64)
+                here = key == (kind, part)
+                counts = segment.level(h) if here else np.zeros(len(h), np.int64)
+                exact = None if kind else (found(*known, h) if here else np.zeros(len(h), np.int64)).tobytes()
+                out.append((block, kind, part, counts.astype(np.int8).tobytes(), exact))
+            if out:
+                cols = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "part", "levels", "exact"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h.as_buffer(), np.int64)), pa.array(np.frombuffer(c.as_buffer(), np.int64))], ["token", "c"])
-
-    exact = counted.filter("kind = 0").select("hashes", "counts").mapInArrow(unpack, "token long, c long")
-    each = docs.dropDuplicates(["doc_id", "_text"]).mapInArrow(spread, "doc_id long, _text long, token long, times long")
-    c = F.coalesce("c", F.lit(0))
-    sums = each.join(exact, "token", "left").groupBy("doc_id", "_text").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((c + 0.5) / floor)).alias("base_score"))
-    scored = docs.mapInArrow(_scorer(filters, n, v, floor, None), "doc_id long, held_out boolean, n_tokens long, score double, _text long")
-    same = scored["doc_id"].eqNullSafe(sums["doc_id"]) & (scored["_text"] == sums["_text"])
-    return scored.join(sums, same).select(scored["doc_id"], "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+            for ids, texts, answers in zip(batch.column("ids"), batch.column("texts"), batch.column("answers"), strict=True):
+                toff, one, two = tokens_of(texts.values)
+                answers = sorted(answers.as_py(), key=lambda x: (x["kind"], x["part"]))  # the order of sorted hashes
+                of = [count_at(np.frombuffer(b"".join(x["levels"] for x in answers if x["kind"] == kind), np.int8).astype(np.int64), *SCALES[kind]) for kind in (0, 1)]
+                exact = np.frombuffer(b"".join(x["exact"] for x in answers if not x["kind"]), np.int64)
+                yield scored(ids.values, toff, one, two[1], *of, exact, extra, n, floor)
+
+    texts = stored(docs.mapInArrow(blocked, "block long, ids array<long>, texts array<string>"))
+    asked = texts.select("block", "texts").mapInArrow(ask, fields).union(held.drop("n_set"))
+    asked = asked.repartition(partitions(docs.sparkSession), "kind", "part").sortWithinPartitions("kind", "part", F.col("block").asc_nulls_first())
+    answers = asked.mapInArrow(answer, "block long, kind int, part int, levels binary, exact binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "levels", "exact")).alias("answers"))
+    return texts.join(answers, "block").select("ids", "texts", "answers").mapInArrow(run, SCORED)

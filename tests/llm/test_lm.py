@@ -80,3 +80,13 @@ def test_held_out_text_is_likelier_than_under_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = lm.score(docs).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_filters_that_are_not_broadcast_score_alike(spark):
+    docs = real(spark, 300).select("doc_id", "text").union(spark.createDataFrame([(None, "a b"), (None, None), (1, "zzz yyy")], "doc_id long, text string"))
+
+    def rows(**most):
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, **most).collect())
+
+    want = rows()
+    assert rows(most_bits=1 << 16) == want and rows(most_words=0) == want
