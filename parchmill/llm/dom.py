@@ -11,7 +11,9 @@ BLOCK = frozenset(
 )
 #: Elements whose content is no markup, and those whose content is never text of a page.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head template svg math select button object audio video canvas noscript datalist".split())
+UNSEEN = frozenset("head template svg annotation annotation-xml select button object audio video canvas noscript datalist".split())
+#: Tags that leave a head open, besides those with content of their own.
+IN_HEAD = frozenset("base basefont bgsound link meta head html".split())
 #: Fixed values of the HTML standard's tree rules: what an opening tag closes, and how far up it looks.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -47,19 +49,29 @@ class Node:
 
 
 def parse(html: str) -> list[Node]:
-    """Nodes in page order, each after its parent; the first is the root. Leaves have the tag '#'."""
+    """Nodes in page order, each after its parent; the first is the root. Leaves have the tag '#'.
+    An html element whose body tag is left out has a body all the same."""
     nodes = [Node("#root", "", -1, 0)]
     stack = [(0, "#root")]  # open blocks
     held: list[str] = []  # text since the last border
     linked = 0
     links = 0  # open <a>
     at, n = 0, len(html)
+    bodied = False
+
+    def imply_body() -> None:
+        nonlocal bodied
+        if stack[-1][1] == "html" and not bodied:
+            bodied = True
+            nodes.append(Node("body", "", stack[-1][0], len(stack)))
+            stack.append((len(nodes) - 1, "body"))
 
     def flush() -> None:
         nonlocal held, linked
         if held:
             text = " ".join("".join(held).split())
             if text:
+                imply_body()
                 leaf = Node("#", "", stack[-1][0], len(stack))
                 leaf.text, leaf.linked = text, min(linked, len(text))
                 nodes.append(leaf)
@@ -104,7 +116,7 @@ def parse(html: str) -> list[Node]:
                 found = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 at = found.end() if found else n
             else:
-                at = _after(html, at, name)
+                at = _after_head(html, at) if name == "head" else _after(html, at, name)
             continue
         if name == "br" or name == "wbr":
             if name == "br":
@@ -117,6 +129,12 @@ def parse(html: str) -> list[Node]:
             continue
         flush()
         links = 0
+        if name == "body":
+            if bodied:
+                continue
+            bodied = True
+        elif name not in ("html", "frameset"):
+            imply_body()
         rule = CLOSES.get(name)
         if rule:
             for i in range(len(stack) - 1, 0, -1):
@@ -141,6 +159,30 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
+def _after_head(html: str, at: int) -> int:
+    """The end of a head that begins before `at`: its closing tag, or the first tag or text that can't be in a head."""
+    while m := TAG.search(html, at):
+        if html[at : m.start()].strip():
+            return at
+        name = (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            if name == "head":
+                return m.end()
+            if name in ("body", "html", "br"):
+                return m.start()
+        elif name in ("script", "style", "title", "noframes"):
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, m.end())
+            at = close.end() if close else len(html)
+            continue
+        elif name in ("noscript", "template"):
+            at = _after(html, m.end(), name)
+            continue
+        elif name and name not in IN_HEAD:
+            return m.start()
+        at = m.end()
+    return at
+
+
 def _after(html: str, at: int, name: str) -> int:
     """The end of an unseen element that begins before `at`: its closing tag at its own level, or, for one never closed, the next block."""
     depth = 1
@@ -150,7 +192,7 @@ def _after(html: str, at: int, name: str) -> int:
         depth += -1 if m[1] else 1
         if not depth:
             return m.end()
-    return len(html) if name == "head" else at
+    return at
 
 
 def attributes(raw: str) -> dict[str, str]:

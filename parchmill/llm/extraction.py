@@ -238,7 +238,7 @@ class Pages:
     """Writes pages whose content is marked. Words are random; what tells are structure and names."""
 
     def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
+        self.r, self.made = random.Random(seed), 0
 
     def words(self, lo: int, hi: int, stop: bool = True) -> str:
         n = self.r.randint(lo, hi)
@@ -347,8 +347,11 @@ class Pages:
         after = "".join(self.pick(self.comments(), self.sidebar(), self.advert(), self.notice(), self.share(), self.form(), self.footer()) for _ in range(self.r.randint(0, 3))) + (self.footer() if self.r.random() < 0.8 else "")
         if self.r.random() < 0.3:
             main = f"{self.named('div', 'wrapper', 'container', 'page', 'layout', 'row')}{main}{self.pick('', self.sidebar())}</div>"
-        head = f"<head><title>{self.words(2, 9)}</title><style>p{{}}</style></head>"
-        return f"<!DOCTYPE html><html>{head}<body>{before}{main}{after}" + self.pick("</body></html>", "</body></html>", "")
+        head = f"<head><title>{self.words(2, 9)}</title><style>p{{}}</style>"
+        # Both tags are optional; a page without them has the same tree, whatever comes first.
+        head += ("</head><body>", "</head><body>", "<body>", "</head>", "")[self.made % 5]
+        self.made += 1
+        return f"<!DOCTYPE html><html>{head}{before}{main}{after}" + self.pick("</body></html>", "</body></html>", "")
 
 
 @lru_cache(maxsize=1)

@@ -88,3 +88,26 @@ def test_odd_pages(spark):
     by = {r.page_id: r.text for r in got}
     assert by[1] == by[2] == "" and by[None] == "bare <text>"
     assert extraction.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<!DOCTYPE html><html><head><title>t</title><article><p>one<p>two</article>", ["one", "two"]),
+        ("<head><meta charset=x><style>p{}</style><script>'<p>no</p>'</script><noscript><p>no</p></noscript> <p>x", ["x"]),
+        ("<head><title>t</title>text first<p>x", ["text first", "x"]),
+        ("<head><!-- c --><title>t</title></head><p>x", ["x"]),
+        ("<head><title>t</title><body><p>x", ["x"]),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then", ["if x=2 then"]),
+    ],
+)
+def test_open_heads_and_formulas(page, want):
+    assert texts(page) == want
+
+
+def test_pages_without_head_and_body_tags(model):
+    pages = extraction.Pages(815)
+    for _ in range(50):
+        page = pages.page()
+        bare = page.replace("</head>", "").replace("<body>", "")
+        assert texts(bare) == texts(page) and model.text(bare) == model.text(page)
