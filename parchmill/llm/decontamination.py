@@ -10,7 +10,8 @@ The index of the benchmark is broadcast only while it has at most `most_indexed`
 fingerprints of both sides are joined, and each document is compared with the items that it met.
 
 Null and empty texts have no words: no hits. Equal doc_ids are separate documents. Items without words
-have no windows; repeated items each count, under their own ids. Other columns are ignored.
+have no windows; repeated items each count, under their own ids. Null ids are ids like others, a null item_id
+the first of a document's items. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<star
 def _verdicts(results: list[tuple[int, int, list, list]]) -> list[pa.Array]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     n, hit, items, spans = zip(*results, strict=True)
-    return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span)]
+    return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x, key=lambda i: (i is not None, i or "")) for x in items], pa.list_(pa.string())), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, most_indexed: int = MOST_INDEXED, keep: list[str] | None = None) -> DataFrame:
@@ -174,7 +175,8 @@ def _marks(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
 
 def _joined(docs: DataFrame, items: DataFrame, keep: list[str], fields: str) -> DataFrame:
     """The way for a benchmark of any size. A document is compared with the items it shares a fingerprint with."""
-    docs, items = stored(docs), stored(items)
+    # Ids may be null or shared, so rows are joined by numbers of their own.
+    docs, items = stored(docs.withColumn("_row", F.monotonically_increasing_id())), stored(items.withColumn("_item", F.monotonically_increasing_id()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in blocks(batches):
@@ -183,10 +185,10 @@ def _joined(docs: DataFrame, items: DataFrame, keep: list[str], fields: str) ->
 
     n_words = items.mapInArrow(count, "item_id string, n long")
     lengths = sorted(r[0] for r in n_words.filter(f"n > 0 and n < {WINDOW}").select("n").distinct().collect())  # at most WINDOW - 1 rows
-    item_marks = _marks(items, "item_id", lengths).withColumnRenamed("key", "item_id")
-    met = _marks(docs, "doc_id", lengths).join(item_marks, ["size", "mark"]).select(F.col("key").alias("_key"), "item_id").distinct()
-    sets = met.join(items, "item_id").groupBy("_key").agg(F.collect_list(F.struct("item_id", "text")).alias("_items"))
-    both = docs.join(sets, F.col("doc_id") == F.col("_key"), "left").drop("_key")
+    item_marks = _marks(items, "_item", lengths).withColumnRenamed("key", "_item")
+    met = _marks(docs, "_row", lengths).join(item_marks, ["size", "mark"]).select(F.col("key").alias("_row"), "_item").distinct()
+    sets = met.join(items, "_item").groupBy("_row").agg(F.collect_list(F.struct("item_id", "text")).alias("_items"))
+    both = docs.join(sets, "_row", "left").drop("_row")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in blocks(batches):

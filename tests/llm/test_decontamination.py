@@ -58,3 +58,12 @@ def test_spans_are_bytes_of_the_text(spark):
     items = spark.createDataFrame([("q", "ONE two three four five six seven eight nine ten")], "item_id string, text string")
     (span,) = decontamination.find(frame(spark, [text]), items).first().spans
     assert text.encode()[span.start : span.end].decode() == "one two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize("most", [decontamination.MOST_INDEXED, 0])
+def test_null_ids(spark, most):
+    passage = "One two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(None, passage), (None, "nothing here"), (3, f"x {passage} short item")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), ("b", passage), (None, "short item")], "item_id string, text string")
+    got = sorted((r.n_words, r.doc_id, r.n_hit, r["items"]) for r in decontamination.find(docs, items, most).collect())
+    assert got == [(2, None, 0, []), (12, None, 12, [None, "b"]), (15, 3, 14, [None, "b"])]
