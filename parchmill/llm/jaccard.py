@@ -21,7 +21,8 @@ copies costs about a confirmation for each, and no link between components is lo
 one list; those of over MOST_IN_LIST members are read in pairs of blocks.
 
 Null text and text without words: an empty set, linked with nothing, not even with another empty one. Rows
-that share a doc_id are one node. Equal sets are one class, found by 128 bits of an additive hash.
+that share a doc_id are one node. Equal sets are one class, found by 128 bits of an additive hash. A row of null doc_id
+is no node and links with nothing, but has the component of rows of an equal set, or null where none has an id.
 """
 
 from __future__ import annotations
@@ -180,15 +181,16 @@ def sets_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def keys_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(key, doc_id): the keys of each set; a task emits equal sets once."""
+    """(key, doc_id): the keys of each set; a task emits equal sets once, for the first row that has an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, known = Schemes(num, den), set()
         for batch, data, off in blocks(batches):
             values, first = shingles(data, off, k)
             emit = np.zeros(len(off) - 1, bool)
+            named = batch.column("doc_id").is_valid().to_pylist()
             for d, x in enumerate(zip(*(y.tolist() for y in digests(values, first)), strict=True)):
-                if x not in known:
+                if named[d] and x not in known:
                     emit[d] = True
                     known.add(x)
             if len(known) > KNOWN:
@@ -339,7 +341,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
             members = members.join(each.groupBy(F.col("u").alias("x")).agg(F.collect_list("v").alias("failed")), "x", "left")
         pairs = stored(candidates(members, num, den, every))
         if pairs.isEmpty():
-            break
+            continue  # the blocks of a long list have not all met in the first reading
         ok = confirm(pairs, docs, k, num, den)
         failed = stored(pairs.join(ok, ["u", "v"], "left_anti"))
         found = ok if found is None else stored(found.union(ok))

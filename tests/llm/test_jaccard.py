@@ -106,3 +106,18 @@ def test_linked_sets_share_a_key(num, den):
             key, owner = schemes.keys(both, np.array([0, len(base), len(both)]), np.ones(2, bool))
             assert set(key[owner == 0]) & set(key[owner == 1])
     assert tested > 200
+
+
+def test_null_ids_hide_no_links(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows_ = [(None, text), (5, text), (7, text + " more"), (None, "x y z"), (None, text + " other")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard.near_duplicates(docs, 3, 90, 100).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, 5), (5, 5), (7, 5)]
+
+
+def test_blocks_of_a_long_list_meet(spark, monkeypatch):
+    """The only list that the two linked sets share begins with one that is near neither of them."""
+    monkeypatch.setattr(jaccard, "MOST_IN_LIST", 1)
+    texts = ["a b c d g h", "a b c d e", "a b c d"]
+    assert rows(jaccard.near_duplicates(frame(spark, texts), 1, 80, 100)) == brute(list(range(3)), texts, 1, 80, 100) == {0: (6, 0), 1: (5, 1), 2: (4, 1)}
