@@ -2,9 +2,9 @@
 
 Counts of words and of word pairs are gathered over all training documents: each task counts its blocks,
 deals the counts by ranges of the hash, and one task a range adds them up. A count c is quantised to a level,
-1 + floor(log(c) / log(1.25)) for words and floor(log2(c)) for pairs, so that a pair seen once is no more than an
-unseen one. An n-gram goes into the filter once for every level up to its own, and the level is read back by probing
-level after level until one is absent. A range of hashes has a segment of the filter of its own, filled where the
+1 + floor(log(c) / log(1.25)) for words and floor(log2(c)) for pairs. An n-gram goes into the filter once for every level
+from that of a count of one up to its own, and the level is read back by probing level after level until one is absent;
+an n-gram that isn't there is a level below that of a count of one. A range of hashes has a segment of the filter of its own, filled where the
 range was added up. A filter has BITS_EACH bits for each entry at any size. Filters of `most_bits` at most are broadcast (a quarter
 of it for words); larger ones stay where their segments are: the distinct n-grams of each block of documents are sent to
 the segments of their ranges, and their levels come back. The rate of false positives is the same either way, and the
@@ -144,14 +144,13 @@ def added_up(dealt: DataFrame, parts: int) -> DataFrame:
         h, c = h[first], np.add.reduceat(c, first)
         q = levels(c, *SCALES[key[0]])
         n, all_counts = len(h), int(c.sum())
-        h, c, q = h[q > 0], c[q > 0], q[q > 0]
         return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes() if not key[0] else q.astype(np.uint8).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([len(q) + int(q.sum() - len(q)) // FEWER], pa.int64()), pa.array([all_counts], pa.int64())],
-            ["kind", "part", "hashes", "counts", "n", "entries", "total"],
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes() if not key[0] else q.astype(np.uint8).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([len(q) + int((q - SCALES[key[0]][1]).sum()) // FEWER], pa.int64()), pa.array([all_counts], pa.int64()), pa.array([int(q.max())], pa.int32())],
+            ["kind", "part", "hashes", "counts", "n", "entries", "total", "top"],
         )
 
     dealt = dealt.repartition(partitions(dealt.sparkSession), "kind", "part").sortWithinPartitions("kind", "part")
-    return dealt.mapInArrow(add, "kind int, part int, hashes binary, counts binary, n long, entries long, total long")
+    return dealt.mapInArrow(add, "kind int, part int, hashes binary, counts binary, n long, entries long, total long, top int")
 
 
 def levels(c: np.ndarray, base: float, first: int) -> np.ndarray:
@@ -159,10 +158,11 @@ def levels(c: np.ndarray, base: float, first: int) -> np.ndarray:
 
 
 def count_at(level: np.ndarray, base: float, first: int) -> np.ndarray:
-    """The count that a level stands for: the geometric middle of its range of whole counts; 0 at level 0."""
-    low = np.ceil(base ** (np.maximum(level, 1) - float(first)) - 1e-9)
-    high = np.maximum(low, np.ceil(base ** (np.maximum(level, 1) - first + 1.0) - 1e-9) - 1)
-    return np.where(level > 0, np.sqrt(low * high), 0.0)
+    """The count that a level stands for: the geometric middle of its range of whole counts; 0 below the level of a count of one."""
+    step = np.maximum(level, first) - float(first)
+    low = np.ceil(base**step - 1e-9)
+    high = np.maximum(low, np.ceil(base ** (step + 1.0) - 1e-9) - 1)
+    return np.where(level >= first, np.sqrt(low * high), 0.0)
 
 
 def probe(h: np.ndarray, level: int, i: int, size: np.ndarray | int) -> np.ndarray:
@@ -171,14 +171,14 @@ def probe(h: np.ndarray, level: int, i: int, size: np.ndarray | int) -> np.ndarr
     return (((x >> np.uint64(32)) + np.uint64(i) * ((x & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
-def probes_at(probes: int, level: int) -> int:
-    return probes if level == 1 else max(2, probes // FEWER)
+def probes_at(probes: int, level: int, first: int) -> int:
+    return probes if level == first else max(2, probes // FEWER)
 
 
-def false_count(fill: float, probes: int, scale: tuple[float, int]) -> float:
+def false_count(fill: float, probes: int, scale: tuple[float, int], top: int) -> float:
     """What an absent n-gram is expected to count in a filter of which a share `fill` is set."""
-    on, levels_ = fill ** probes_at(probes, 2), np.arange(1, 33)
-    return fill**probes * float((on ** (levels_ - 1) * (1 - on) * count_at(levels_, *scale)).sum())
+    on, above = fill ** probes_at(probes, scale[1] + 1, scale[1]), np.arange(top - scale[1] + 1)
+    return fill**probes * float((on**above * np.where(above < above[-1], 1 - on, 1.0) * count_at(scale[1] + above, *scale)).sum())
 
 
 def bits_for(entries: int, each: float) -> int:
@@ -189,42 +189,49 @@ def segment_of(kind: int, h: np.ndarray, c: np.ndarray, size: int, probes: int)
     """The filled segment of one part; c: counts of words, levels of pairs."""
     q = levels(c, *SCALES[0]) if not kind else c.astype(np.int64)
     segment = np.zeros(size, bool)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        for i in range(probes_at(probes, level)):
+    first = SCALES[kind][1]
+    for level in range(first, int(q.max(initial=first)) + 1):
+        for i in range(probes_at(probes, level, first)):
             segment[probe(h[q >= level], level, i, size)] = True
     return np.packbits(segment, bitorder="little")
 
 
 class Filter:
-    """Segments of one log-frequency Bloom filter. first: the first bit of each segment, and the end."""
+    """Segments of one log-frequency Bloom filter. first: the first bit of each segment, and the end; top: the highest level in it."""
 
-    def __init__(self, first: np.ndarray, bits: np.ndarray, probes: int, scale: tuple[float, int]) -> None:
-        self.first, self.bits, self.probes, self.scale = first, bits, probes, scale
+    def __init__(self, first: np.ndarray, bits: np.ndarray, probes: int, scale: tuple[float, int], top: int) -> None:
+        self.first, self.bits, self.probes, self.scale, self.top = first, bits, probes, scale, top
         fill = float(np.bitwise_count(bits).sum(dtype=np.int64) / max(1, 8 * len(bits)))
-        self.false, self.false_count = fill**probes, false_count(fill, probes, scale)
+        self.false, self.false_count = fill**probes, false_count(fill, probes, scale, top)
 
-    def level(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, read by probing 1, 2, ... until an entry is absent."""
-        out = np.zeros(len(h), np.int64)
+    def read(self, h: np.ndarray) -> np.ndarray:
+        """The level of each n-gram, read by probing level after level until an entry is absent; one below the first for none."""
+        lowest = self.scale[1]
+        out = np.full(len(h), lowest - 1, np.int64)
         part = part_of(h, len(self.first) - 1)
         at, size = self.first[part], np.diff(self.first)[part]
-        alive, level = np.flatnonzero(size > 0), 1
-        while len(alive):
-            for i in range(probes_at(self.probes, level)):  # the later probes only where the earlier ones were set
+        alive, level = np.flatnonzero(size > 0), lowest
+        while len(alive) and level <= self.top:
+            for i in range(probes_at(self.probes, level, lowest)):  # the later probes only where the earlier ones were set
                 bit = at[alive] + probe(h[alive], level, i, size[alive])
                 alive = alive[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
             out[alive] = level
             level += 1
         return out
 
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """As read, but 0 for none."""
+        return np.maximum(self.read(h), 0)
+
     def count(self, h: np.ndarray) -> np.ndarray:
-        return count_at(self.level(h), *self.scale)
+        return count_at(self.read(h), *self.scale)
 
 
 def filter_of(counted: DataFrame, kind: int, parts: int, most_bits: int) -> Filter:
     """Fills the segments where the counts lie, and fetches them: most_bits bits and a row a part at most."""
     counted = counted.filter((F.col("kind") == kind) & (F.col("entries") > 0))
-    entries = dict(counted.select("part", "entries").collect())
+    sums = counted.select("part", "entries", "top").collect()
+    entries, top = {r["part"]: r["entries"] for r in sums}, max((r["top"] for r in sums), default=SCALES[kind][1])
     each = min(BITS_EACH, most_bits / max(1, sum(entries.values())))
     probes = max(2, int(each / 2))
     sizes = {p: bits_for(n, each) for p, n in entries.items()}
@@ -242,7 +249,7 @@ def filter_of(counted: DataFrame, kind: int, parts: int, most_bits: int) -> Filt
     bits = np.zeros(int(first[-1]) // 8, np.uint8)
     for r in counted.select("part", "hashes", "counts").mapInArrow(fill, "part int, segment binary").toLocalIterator():
         bits[first[r["part"]] // 8 : first[r["part"] + 1] // 8] = np.frombuffer(r["segment"], np.uint8)
-    return Filter(first, bits, probes, SCALES[kind])
+    return Filter(first, bits, probes, SCALES[kind], top)
 
 
 def score(docs: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WORDS) -> DataFrame:
@@ -251,11 +258,11 @@ def score(docs: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WO
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = 4 * partitions(spark)
     counted = stored(added_up(gathered(docs, parts), parts))
-    kinds = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("entries").alias("entries")).collect()}
+    kinds = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("entries").alias("entries"), F.max("top").alias("top")).collect()}
     v, n = (kinds[0]["n"], kinds[0]["total"]) if kinds else (0, 0)
     floor = n + 0.5 * (v + 1)
     if v > most_words or any(BITS_EACH * r["entries"] > (most_bits if kind else most_bits // 4) for kind, r in kinds.items()):
-        return _dealt(docs, counted, parts, n, v, floor)
+        return _dealt(docs, counted, parts, n, v, floor, {kind: r["top"] for kind, r in kinds.items()})
     filters = spark.sparkContext.broadcast((filter_of(counted, 0, parts, most_bits // 4), filter_of(counted, 1, parts, most_bits)))
     rows = sorted(((r["part"], bytes(r["hashes"]), bytes(r["counts"])) for r in counted.filter("kind = 0").select("part", "hashes", "counts").toLocalIterator()))
     known = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x[1], np.uint64) for x in rows)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[2], np.int64) for x in rows)])))
@@ -296,7 +303,7 @@ def scored(ids: pa.Array, toff: np.ndarray, one: tuple[np.ndarray, np.ndarray],
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floor: float) -> DataFrame:
+def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floor: float, tops: dict[int, int]) -> DataFrame:
     """The way for filters and vocabularies of any size: the distinct n-grams of each block are sent to the parts that hold
     their segments and counts, and what is read there is sent back to the block."""
     probes = max(2, BITS_EACH // 2)
@@ -312,7 +319,7 @@ def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floo
     fields = "kind int, part int, block long, hashes binary, counts binary, segment binary"
     held = stored(counted.select("kind", "part", "hashes", "counts", "entries").mapInArrow(fill, f"{fields}, n_set long"))
     set_bits, bytes_ = held.filter("kind = 1").agg(F.sum("n_set"), F.sum(F.octet_length("segment"))).first()
-    extra = false_count(set_bits / (8 * bytes_), probes, SCALES[1]) * v
+    extra = false_count(set_bits / (8 * bytes_), probes, SCALES[1], tops[1]) * v
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in blocks(batches):
@@ -342,12 +349,12 @@ def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floo
             for kind, part, block, h, c, bits in zip(*(batch.column(i).to_pylist() for i in range(3)), *(batch.column(i) for i in range(3, 6)), strict=True):
                 if block is None:  # a part comes before what is asked of it
                     bits = np.frombuffer(bits.as_buffer(), np.uint8)
-                    key, segment = (kind, part), Filter(np.array([0, 8 * len(bits)]), bits, probes, SCALES[kind])
+                    key, segment = (kind, part), Filter(np.array([0, 8 * len(bits)]), bits, probes, SCALES[kind], tops[kind])
                     known = None if kind else (np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64))
                     continue
                 h = np.frombuffer(h.as_buffer(), np.uint64)
                 here = key == (kind, part)
-                counts = segment.level(h) if here else np.zeros(len(h), np.int64)
+                counts = segment.read(h) if here else np.full(len(h), SCALES[kind][1] - 1)
                 exact = None if kind else (found(*known, h) if here else np.zeros(len(h), np.int64)).tobytes()
                 out.append((block, kind, part, counts.astype(np.int8).tobytes(), exact))
             if out:

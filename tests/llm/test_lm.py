@@ -90,3 +90,12 @@ def test_filters_that_are_not_broadcast_score_alike(spark):
 
     want = rows()
     assert rows(most_bits=1 << 16) == want and rows(most_words=0) == want
+
+
+def test_pairs_seen_once_count(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
+    counted = lm.stored(lm.added_up(lm.gathered(frame(spark, ["a b", "c d", "c d", "e"], ids[:4]), 4), 4))
+    pairs_in = lm.filter_of(counted, 1, 4, 1 << 20)
+    data = np.frombuffer(b"a b c d e", np.uint8)
+    two = lm.pairs(*lm.tokens(data, np.array([0, len(data)])))[1]
+    assert pairs_in.count(two)[[1, 2, 4]].tolist() == [1.0, 0.0, 0.0] and pairs_in.count(two)[3] > 1  # a b, b c, d e; c d
