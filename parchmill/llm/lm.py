@@ -1,25 +1,29 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 4).
 
 Counts of words and of word pairs are gathered over all training documents: each task counts its blocks,
-deals the counts by ranges of the hash, and one task a range adds them up. A count c is quantised to a level,
-1 + floor(log(c) / log(1.25)) for words and floor(log2(c)) for pairs. An n-gram goes into the filter once for every level
-from that of a count of one up to its own, and the level is read back by probing level after level until one is absent;
-an n-gram that isn't there is a level below that of a count of one. A range of hashes has a segment of the filter of its own, filled where the
-range was added up. A filter has BITS_EACH bits for each entry at any size. Filters of `most_bits` at most are broadcast (a quarter
-of it for words); larger ones stay where their segments are: the distinct n-grams of each block of documents are sent to
-the segments of their ranges, and their levels come back. The rate of false positives is the same either way, and the
-model takes account of it:
+deals the counts by ranges of the hash, and one task a range adds them up, chunk by chunk. There is a range for every PART_BYTES
+of text, so none grows with the input. A count c is quantised to a level, 1 + floor(log(c) / log(1.25)) for words and
+floor(log2(c)) for pairs. An n-gram goes into the filter once for every level from that of a count of one up to its own, and the level
+is read back by probing level after level until one is absent; an n-gram that isn't there is a level below that of a count of one.
+Each range has a segment of the filter of its own, of BITS_EACH bits an entry, filled where the range was added up.
+
+Segments of `most_bits` bits together at most are broadcast. Larger filters stay where they are: each bundle of documents is kept as its
+distinct words and their order, its distinct n-grams are sent to the segments of their ranges, and levels come back.
+The segments are the same either way, and so are the scores. The model takes account of the rate of false positives:
 
     P(w | v) = a * C(vw) / (C(v) + f V) + (1 - a) * (C(w) + 0.5) / (N + 0.5 (V + 1))
 
 C: the counts as the filters return them; f: what a pair that isn't in the filter counts on average, so that f V is
-what false positives add after v, and the probabilities after v sum to about one at most. How much a text repeats known pairs differs from text to text, so the weight a
-isn't one number: a text's probability is the mean of its probabilities under each of WEIGHTS. The add-half unigram base uses exact counts: the vocabulary is
-broadcast while it has at most `most_words` entries; beyond, exact counts come back together with the levels.
+what false positives add after v, and the probabilities after v sum to about one at most. How much a text repeats known pairs differs
+from text to text, so the weight a isn't one number: a text's probability is the mean of its probabilities under each of WEIGHTS.
+The add-half unigram base uses exact counts, which are broadcast or come back together with the levels.
+
+A pair is known by its range and REST bits of its hash; two of the millions of a range agree in these less often than the
+filter errs. Words are known by 64 bits.
 
 A document's tokens are its words and one end. Null text is empty: one end. Null doc_id counts as the empty
 string in the choice of training rows. Equal doc_ids are separate rows. Without training rows, the only
-mass is that of unknown words.
+mass is that of unknown words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,17 +42,20 @@ from parchmill.llm.common import SPACED, blocks, mix, partitions, sequences, sto
 
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x6A09E667F3BCC909)
 WEIGHTS = (0.0, 0.1, 0.5, 0.9)
-#: Base of the quantisation and level of a count of one, for words and for pairs; bits for each entry of a filter.
+#: Base of the quantisation and level of a count of one, for words and for pairs; bits for each entry of a filter, and probes.
 SCALES = ((1.25, 1), (2.0, 0))
-BITS_EACH = 24
+BITS_EACH, PROBES = 24, 12
 #: Entries past the first level take this many times fewer probes: what is in the filter is in it truly, and an error
 #: there only raises a count by one level.
 FEWER = 3
-#: Bits of a filter that is broadcast.
-MOST_BITS = 1 << 29
-MOST_WORDS = 6_000_000
-#: Tokens that a task counts together before it deals them out.
-TOGETHER = 2_000_000
+#: Bits of a pair's hash within its range, and bytes of a word and of a pair as they move.
+REST, WIDTH = 40, (8, 5)
+#: Bits of filters, and distinct words, that are broadcast.
+MOST_BITS, MOST_WORDS = 1 << 27, 6_000_000
+#: Tokens that a task counts together before it deals them out; counts that a task holds before it adds them.
+TOGETHER, FOLD = 4_000_000, 1_000_000
+#: Bytes of text worth a range of hashes, and bytes of documents that ask together.
+PART_BYTES, BUNDLE = 64 << 20, 4 << 20
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +71,46 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, toff
 
 
-def pairs(t: np.ndarray, toff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each token (START at a document's beginning), and the hash of the pair."""
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of the top 32 bits, so that sorted hashes are sorted by part."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def pairs(t: np.ndarray, toff: np.ndarray, parts: int) -> np.ndarray:
+    """For each token the pair of the one before (START at a document's beginning) and itself: its part, then REST bits of its hash."""
     before = np.empty_like(t)
     before[1:] = t[:-1]
     before[toff[:-1]] = START
-    return before, mix(before * np.uint64(0x9E3779B97F4A7C15) + t)
+    h = mix(before * np.uint64(0x9E3779B97F4A7C15) + t)
+    return part_of(h, parts).astype(np.uint64) << np.uint64(REST) | h & np.uint64((1 << REST) - 1)
+
+
+def by_part(kind: int, x: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of sorted words (kind 0) or pairs (1)."""
+    p = part_of(x, parts) if not kind else (x >> np.uint64(REST)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else p
+    return zip(p[first].tolist(), first.tolist(), [*first[1:].tolist(), len(p)], strict=True)
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, all first bytes first: sorted and small numbers then compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(raw: pa.Buffer, width: int) -> np.ndarray:
+    from_bytes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((from_bytes.shape[1], 8), np.uint8)
+    out[:, :width] = from_bytes.T
+    return out.view("<u8").ravel()
 
 
 def in_training(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % 5 != 1 for x in ids], bool)
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """Ranges of the top 32 bits, so that sorted hashes are sorted by part."""
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def ngrams(kind: int, part: int, raw: pa.Buffer) -> np.ndarray:
+    x = unplanes(raw, WIDTH[kind])
+    return x | np.uint64(part << REST) if kind else x
 
 
 def gathered(docs: DataFrame, parts: int) -> DataFrame:
@@ -90,9 +122,8 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
         for batch, data, off in blocks(batches):
             t, toff = tokens(data, off)
             train = np.repeat(in_training(batch.column("doc_id").to_pylist()), np.diff(toff))
-            _, two = pairs(t, toff)
             held[0].append(t[train])
-            held[1].append(two[train])
+            held[1].append(pairs(t, toff, parts)[train])
             n += int(train.sum())
             if n >= TOGETHER:
                 yield from dealt(held)
@@ -105,52 +136,55 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
                 continue
             values, counts = np.unique(np.concatenate(found), return_counts=True)
             found.clear()
-            cuts = np.searchsorted(part_of(values, parts), np.arange(parts + 1))
-            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([kind] * len(some), pa.int32()),
-                    pa.array(some, pa.int32()),
-                    pa.array([values[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()),
-                    pa.array([counts[cuts[p] : cuts[p + 1]].astype("<u4").tobytes() for p in some], pa.binary()),
-                ],
-                ["kind", "part", "hashes", "counts"],
-            )
+            rows = [(kind, p, planes(values[a:b], WIDTH[kind]), planes(counts[a:b], 4)) for p, a, b in by_part(kind, values, parts)]
+            yield made(rows, [pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["kind", "part", "hashes", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(count, "kind int, part int, hashes binary, counts binary")
 
 
-def added_up(dealt: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, hashes, counts, entries): the sums of each part; words keep theirs, pairs become levels."""
+def made(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
+COUNTED = "kind int, part int, hashes binary, counts binary, segment binary, n_set long, n long, total long, top int"
+
+
+def added_up(dealt: DataFrame) -> DataFrame:
+    """One row a part: the sums of the counts of words, the filled segment, its set bits, n-grams, their occurrences and highest level."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, values, counts = None, [], []
+        key, held, size, least = None, [], 0, FOLD
         for batch in batches:
             for kind, part, h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if (kind, part) != key:
                     if key:
-                        yield total(key, values, counts)
-                    key, values, counts = (kind, part), [], []
-                values.append(np.frombuffer(h.as_buffer(), np.uint64))
-                counts.append(np.frombuffer(c.as_buffer(), "<u4"))
+                        yield total(*key, *folded(held))
+                    key, held, size, least = (kind, part), [], 0, FOLD
+                held.append((ngrams(kind, part, h.as_buffer()), unplanes(c.as_buffer(), 4).astype(np.int64)))
+                size += len(held[-1][0])
+                if size > least:
+                    held = [folded(held)]
+                    size = len(held[0][0])
+                    least = 2 * size + FOLD
         if key:
-            yield total(key, values, counts)
+            yield total(*key, *folded(held))
 
-    def total(key: tuple[int, int], values: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = np.concatenate(values), np.concatenate(counts).astype(np.int64)
+    def folded(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
         order = np.argsort(h, kind="stable")
         h, c = h[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h, c = h[first], np.add.reduceat(c, first)
-        q = levels(c, *SCALES[key[0]])
-        n, all_counts = len(h), int(c.sum())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes() if not key[0] else q.astype(np.uint8).tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([len(q) + int((q - SCALES[key[0]][1]).sum()) // FEWER], pa.int64()), pa.array([all_counts], pa.int64()), pa.array([int(q.max())], pa.int32())],
-            ["kind", "part", "hashes", "counts", "n", "entries", "total", "top"],
-        )
+        return h[first], np.add.reduceat(c, first)
+
+    def total(kind: int, part: int, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        q = levels(c, *SCALES[kind])
+        segment = segment_of(kind, h, q)
+        row = (kind, part, None if kind else planes(h, 8), None if kind else planes(c, 8), segment.tobytes(), int(np.bitwise_count(segment).sum(dtype=np.int64)), len(h), int(c.sum()), int(q.max()))
+        return made([row], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()], [x.split()[0] for x in COUNTED.split(", ")])
 
     dealt = dealt.repartition(partitions(dealt.sparkSession), "kind", "part").sortWithinPartitions("kind", "part")
-    return dealt.mapInArrow(add, "kind int, part int, hashes binary, counts binary, n long, entries long, total long, top int")
+    return dealt.mapInArrow(add, COUNTED)
 
 
 def levels(c: np.ndarray, base: float, first: int) -> np.ndarray:
@@ -171,109 +205,92 @@ def probe(h: np.ndarray, level: int, i: int, size: np.ndarray | int) -> np.ndarr
     return (((x >> np.uint64(32)) + np.uint64(i) * ((x & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
-def probes_at(probes: int, level: int, first: int) -> int:
-    return probes if level == first else max(2, probes // FEWER)
+def probes_at(level: int, first: int) -> int:
+    return PROBES if level == first else max(2, PROBES // FEWER)
 
 
-def false_count(fill: float, probes: int, scale: tuple[float, int], top: int) -> float:
+def false_count(fill: float, scale: tuple[float, int], top: int) -> float:
     """What an absent n-gram is expected to count in a filter of which a share `fill` is set."""
-    on, above = fill ** probes_at(probes, scale[1] + 1, scale[1]), np.arange(top - scale[1] + 1)
-    return fill**probes * float((on**above * np.where(above < above[-1], 1 - on, 1.0) * count_at(scale[1] + above, *scale)).sum())
-
+    on, above = fill ** probes_at(scale[1] + 1, scale[1]), np.arange(top - scale[1] + 1)
+    return fill**PROBES * float((on**above * np.where(above < above[-1], 1 - on, 1.0) * count_at(scale[1] + above, *scale)).sum())
 
-def bits_for(entries: int, each: float) -> int:
-    return (int(entries * each) // 8 + 1) * 8
 
-
-def segment_of(kind: int, h: np.ndarray, c: np.ndarray, size: int, probes: int) -> np.ndarray:
-    """The filled segment of one part; c: counts of words, levels of pairs."""
-    q = levels(c, *SCALES[0]) if not kind else c.astype(np.int64)
-    segment = np.zeros(size, bool)
+def segment_of(kind: int, h: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The filled segment of one part, whose n-grams have the levels q."""
     first = SCALES[kind][1]
+    entries = len(q) + int((q - first).sum()) // FEWER
+    segment = np.zeros(entries * BITS_EACH // 8 + 1, np.uint8)
     for level in range(first, int(q.max(initial=first)) + 1):
-        for i in range(probes_at(probes, level, first)):
-            segment[probe(h[q >= level], level, i, size)] = True
-    return np.packbits(segment, bitorder="little")
+        x = h[q >= level]
+        for i in range(probes_at(level, first)):
+            bit = probe(x, level, i, 8 * len(segment))
+            np.bitwise_or.at(segment, bit >> 3, np.left_shift(np.uint8(1), (bit & 7).astype(np.uint8)))
+    return segment
 
 
 class Filter:
-    """Segments of one log-frequency Bloom filter. first: the first bit of each segment, and the end; top: the highest level in it."""
+    """Segments of one log-frequency Bloom filter. first: the first bit of each part's segment, and the end; top: the highest level in it."""
+
+    def __init__(self, kind: int, first: np.ndarray, bits: np.ndarray, top: int) -> None:
+        self.kind, self.first, self.bits, self.scale, self.top = kind, first, bits, SCALES[kind], top
 
-    def __init__(self, first: np.ndarray, bits: np.ndarray, probes: int, scale: tuple[float, int], top: int) -> None:
-        self.first, self.bits, self.probes, self.scale, self.top = first, bits, probes, scale, top
-        fill = float(np.bitwise_count(bits).sum(dtype=np.int64) / max(1, 8 * len(bits)))
-        self.false, self.false_count = fill**probes, false_count(fill, probes, scale, top)
+    def false_count(self) -> float:
+        return false_count(float(np.bitwise_count(self.bits).sum(dtype=np.int64) / max(1, 8 * len(self.bits))), self.scale, self.top)
 
-    def read(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, read by probing level after level until an entry is absent; one below the first for none."""
+    def read(self, x: np.ndarray, alone: bool = False) -> np.ndarray:
+        """The level of each word or pair, read by probing level after level until an entry is absent; one below the first for none.
+        alone: all are of the one part that is held."""
         lowest = self.scale[1]
-        out = np.full(len(h), lowest - 1, np.int64)
-        part = part_of(h, len(self.first) - 1)
+        out = np.full(len(x), lowest - 1, np.int64)
+        part = np.zeros(len(x), np.int64) if alone else part_of(x, len(self.first) - 1) if not self.kind else (x >> np.uint64(REST)).astype(np.int64)
         at, size = self.first[part], np.diff(self.first)[part]
         alive, level = np.flatnonzero(size > 0), lowest
         while len(alive) and level <= self.top:
-            for i in range(probes_at(self.probes, level, lowest)):  # the later probes only where the earlier ones were set
-                bit = at[alive] + probe(h[alive], level, i, size[alive])
+            for i in range(probes_at(level, lowest)):  # the later probes only where the earlier ones were set
+                bit = at[alive] + probe(x[alive], level, i, size[alive])
                 alive = alive[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
             out[alive] = level
             level += 1
         return out
 
-    def level(self, h: np.ndarray) -> np.ndarray:
-        """As read, but 0 for none."""
-        return np.maximum(self.read(h), 0)
+    def count(self, x: np.ndarray) -> np.ndarray:
+        return count_at(self.read(x), *self.scale)
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        return count_at(self.read(h), *self.scale)
 
-
-def filter_of(counted: DataFrame, kind: int, parts: int, most_bits: int) -> Filter:
-    """Fills the segments where the counts lie, and fetches them: most_bits bits and a row a part at most."""
-    counted = counted.filter((F.col("kind") == kind) & (F.col("entries") > 0))
-    sums = counted.select("part", "entries", "top").collect()
-    entries, top = {r["part"]: r["entries"] for r in sums}, max((r["top"] for r in sums), default=SCALES[kind][1])
-    each = min(BITS_EACH, most_bits / max(1, sum(entries.values())))
-    probes = max(2, int(each / 2))
-    sizes = {p: bits_for(n, each) for p, n in entries.items()}
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, h, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                h, c = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64 if not kind else np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment_of(kind, h, c, sizes[part], probes).tobytes()], pa.binary())], ["part", "segment"])
-
-    first = np.zeros(parts + 1, np.int64)
-    for p, n in sizes.items():
-        first[p + 1] = n
-    first = np.cumsum(first)
-    bits = np.zeros(int(first[-1]) // 8, np.uint8)
-    for r in counted.select("part", "hashes", "counts").mapInArrow(fill, "part int, segment binary").toLocalIterator():
-        bits[first[r["part"]] // 8 : first[r["part"] + 1] // 8] = np.frombuffer(r["segment"], np.uint8)
-    return Filter(first, bits, probes, SCALES[kind], top)
+def filter_of(counted: DataFrame, kind: int, parts: int) -> Filter:
+    """The filter of one kind, fetched whole: for filters of a checked size."""
+    first, top, held = np.zeros(parts + 1, np.int64), SCALES[kind][1], {}
+    for r in counted.filter(F.col("kind") == kind).select("part", "segment", "top").toLocalIterator():
+        held[r["part"]] = np.frombuffer(r["segment"], np.uint8)
+        first[r["part"] + 1], top = 8 * len(held[r["part"]]), max(top, r["top"])
+    return Filter(kind, np.cumsum(first), np.concatenate([np.zeros(0, np.uint8), *(held[p] for p in sorted(held))]), top)
 
 
 def score(docs: DataFrame, most_bits: int = MOST_BITS, most_words: int = MOST_WORDS) -> DataFrame:
     """Scores every row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = 4 * partitions(spark)
-    counted = stored(added_up(gathered(docs, parts), parts))
-    kinds = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("entries").alias("entries"), F.max("top").alias("top")).collect()}
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4 * partitions(spark), -(-size // PART_BYTES))
+    counted = stored(added_up(gathered(docs, parts)))
+    sums = counted.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("n_set").alias("n_set"), F.sum(F.octet_length("segment")).alias("bytes"), F.max("top").alias("top"))
+    kinds = {r["kind"]: r for r in sums.collect()}
     v, n = (kinds[0]["n"], kinds[0]["total"]) if kinds else (0, 0)
     floor = n + 0.5 * (v + 1)
-    if v > most_words or any(BITS_EACH * r["entries"] > (most_bits if kind else most_bits // 4) for kind, r in kinds.items()):
-        return _dealt(docs, counted, parts, n, v, floor, {kind: r["top"] for kind, r in kinds.items()})
-    filters = spark.sparkContext.broadcast((filter_of(counted, 0, parts, most_bits // 4), filter_of(counted, 1, parts, most_bits)))
-    rows = sorted(((r["part"], bytes(r["hashes"]), bytes(r["counts"])) for r in counted.filter("kind = 0").select("part", "hashes", "counts").toLocalIterator()))
-    known = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x[1], np.uint64) for x in rows)]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[2], np.int64) for x in rows)])))
+    if v > most_words or sum(8 * r["bytes"] for r in kinds.values()) > most_bits:
+        return _dealt(docs, counted, parts, n, v, floor, kinds)
+    filters = spark.sparkContext.broadcast((filter_of(counted, 0, parts), filter_of(counted, 1, parts)))
+    rows = sorted((r["part"], unplanes(r["hashes"], 8), unplanes(r["counts"], 8).astype(np.int64)) for r in counted.filter("kind = 0").select("part", "hashes", "counts").toLocalIterator())
+    known = spark.sparkContext.broadcast((np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in rows)]), np.concatenate([np.zeros(0, np.int64), *(x[2] for x in rows)])))
     del rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in, pairs_in = filters.value
+        extra = pairs_in.false_count() * v
         for batch, data, off in blocks(batches):
             t, toff = tokens(data, off)
-            one, two = np.unique(t, return_inverse=True), np.unique(pairs(t, toff)[1], return_inverse=True)  # the common pairs are those of many levels
-            yield scored(batch.column("doc_id"), toff, one, two[1], words_in.count(one[0]), pairs_in.count(two[0]), found(*known.value, one[0]), pairs_in.false_count * v, n, floor)
+            one, two = np.unique(t, return_inverse=True), np.unique(pairs(t, toff, parts), return_inverse=True)  # the common pairs are those of many levels
+            yield scored(batch.column("doc_id"), toff, one, two[1], words_in.count(one[0]), pairs_in.count(two[0]), found(*known.value, one[0]), extra, n, floor)
 
     return docs.mapInArrow(run, SCORED)
 
@@ -303,44 +320,42 @@ def scored(ids: pa.Array, toff: np.ndarray, one: tuple[np.ndarray, np.ndarray],
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floor: float, tops: dict[int, int]) -> DataFrame:
-    """The way for filters and vocabularies of any size: the distinct n-grams of each block are sent to the parts that hold
-    their segments and counts, and what is read there is sent back to the block."""
-    probes = max(2, BITS_EACH // 2)
+def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floor: float, kinds: dict) -> DataFrame:
+    """The way for filters and vocabularies of any size: the distinct n-grams of each bundle of documents are sent to the parts that
+    hold their segments and counts, and what is read there meets the bundle again."""
+    tops = {kind: r["top"] for kind, r in kinds.items()}
+    extra = false_count(kinds[1]["n_set"] / (8 * kinds[1]["bytes"]), SCALES[1], tops[1]) * v if 1 in kinds else 0.0
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, part, h, c, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
-                segment = segment_of(kind, np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint8 if kind else np.int64), bits_for(entries, BITS_EACH), probes)
-                cols = [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([None if kind else h.as_py()], pa.binary()), pa.array([None if kind else c.as_py()], pa.binary())]
-                cols += [pa.array([segment.tobytes()], pa.binary()), pa.array([int(np.bitwise_count(segment).sum(dtype=np.int64))], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["kind", "part", "block", "hashes", "counts", "segment", "n_set"])
-
-    fields = "kind int, part int, block long, hashes binary, counts binary, segment binary"
-    held = stored(counted.select("kind", "part", "hashes", "counts", "entries").mapInArrow(fill, f"{fields}, n_set long"))
-    set_bits, bytes_ = held.filter("kind = 1").agg(F.sum("n_set"), F.sum(F.octet_length("segment"))).first()
-    extra = false_count(set_bits / (8 * bytes_), probes, SCALES[1], tops[1]) * v
-
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in blocks(batches):
-            ends = pa.array([0, batch.num_rows], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, batch.column("doc_id")), pa.ListArray.from_arrays(ends, batch.column("text").cast(pa.string()))]
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *lists], ["block", "ids", "texts"])
-
-    def tokens_of(texts: pa.Array) -> tuple[np.ndarray, tuple, tuple]:
-        ((_, data, off),) = blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))  # a block again
-        t, toff = tokens(data, off)
-        return toff, np.unique(t, return_inverse=True), np.unique(pairs(t, toff)[1], return_inverse=True)
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, size = [], [], 0
+        for batch, data, off in blocks(batches):
+            ids += batch.column("doc_id").to_pylist()
+            held.append(tokens(data, off))
+            size += len(data)
+            if size >= BUNDLE:
+                yield bundle(ids, held)
+                ids, held, size = [], [], 0
+        if ids:
+            yield bundle(ids, held)
+
+    def bundle(ids: list, held: list) -> pa.RecordBatch:
+        distinct, which = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        lengths = np.concatenate([np.diff(toff) for _, toff in held])
+        width = max(1, (len(distinct).bit_length() + 7) // 8)
+        row = (uuid.uuid4().int >> 65, ids, lengths, planes(distinct, 8), planes(which, width), width)
+        return made([row], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32()], ["block", "ids", "lengths", "words", "order", "width"])
+
+    def opened(words_raw: pa.Buffer, order_raw: pa.Buffer, width: int, lengths: np.ndarray) -> tuple[np.ndarray, tuple, tuple]:
+        distinct, which = unplanes(words_raw, 8), unplanes(order_raw, width).astype(np.int64)
+        toff = np.concatenate([[0], np.cumsum(lengths)])
+        return toff, (distinct, which), np.unique(pairs(distinct[which], toff, parts), return_inverse=True)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
-                for kind, (h, _) in enumerate(tokens_of(texts.values)[1:]):
-                    cuts = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
-                    some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-                    none = pa.nulls(len(some), pa.binary())
-                    cols = [pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([h[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()), none, none]
-                    yield pa.RecordBatch.from_arrays(cols, ["kind", "part", "block", "hashes", "counts", "segment"])
+            for block, lengths, w, o, width in zip(batch.column("block").to_pylist(), batch.column("lengths"), batch.column("words"), batch.column("order"), batch.column("width").to_pylist(), strict=True):
+                _, one, two = opened(w.as_buffer(), o.as_buffer(), width, lengths.values.to_numpy())
+                rows = [(kind, p, block, planes(x[a:b], WIDTH[kind]), None, None) for kind, x in enumerate((one[0], two[0])) for p, a, b in by_part(kind, x, parts)]
+                yield made(rows, [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["kind", "part", "block", "hashes", "counts", "segment"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, segment, known = None, None, None
@@ -349,30 +364,45 @@ def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floo
             for kind, part, block, h, c, bits in zip(*(batch.column(i).to_pylist() for i in range(3)), *(batch.column(i) for i in range(3, 6)), strict=True):
                 if block is None:  # a part comes before what is asked of it
                     bits = np.frombuffer(bits.as_buffer(), np.uint8)
-                    key, segment = (kind, part), Filter(np.array([0, 8 * len(bits)]), bits, probes, SCALES[kind], tops[kind])
-                    known = None if kind else (np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64))
+                    key, segment = (kind, part), Filter(kind, np.array([0, 8 * len(bits)]), bits, tops[kind])
+                    known = None if kind else (unplanes(h.as_buffer(), 8), unplanes(c.as_buffer(), 8).astype(np.int64))
                     continue
-                h = np.frombuffer(h.as_buffer(), np.uint64)
+                x = ngrams(kind, part, h.as_buffer())
                 here = key == (kind, part)
-                counts = segment.read(h) if here else np.full(len(h), SCALES[kind][1] - 1)
-                exact = None if kind else (found(*known, h) if here else np.zeros(len(h), np.int64)).tobytes()
-                out.append((block, kind, part, counts.astype(np.int8).tobytes(), exact))
+                level = segment.read(x, True) if here else np.full(len(x), SCALES[kind][1] - 1)
+                exact = None if kind else planes(found(*known, x) if here else np.zeros(len(x)), 8)
+                out.append((block, kind, part, level.astype(np.int8).tobytes(), exact))
             if out:
-                cols = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "part", "levels", "exact"])
+                yield made(out, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["block", "kind", "part", "levels", "exact"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, now, read, exact = None, None, ([], []), []
         for batch in batches:
-            for ids, texts, answers in zip(batch.column("ids"), batch.column("texts"), batch.column("answers"), strict=True):
-                toff, one, two = tokens_of(texts.values)
-                answers = sorted(answers.as_py(), key=lambda x: (x["kind"], x["part"]))  # the order of sorted hashes
-                of = [count_at(np.frombuffer(b"".join(x["levels"] for x in answers if x["kind"] == kind), np.int8).astype(np.int64), *SCALES[kind]) for kind in (0, 1)]
-                exact = np.frombuffer(b"".join(x["exact"] for x in answers if not x["kind"]), np.int64)
-                yield scored(ids.values, toff, one, two[1], *of, exact, extra, n, floor)
-
-    texts = stored(docs.mapInArrow(blocked, "block long, ids array<long>, texts array<string>"))
-    asked = texts.select("block", "texts").mapInArrow(ask, fields).union(held.drop("n_set"))
+            cols = [batch.column(c) for c in ("kind", "levels", "exact", "ids", "lengths", "words", "order", "width")]
+            for i, (at, kind) in enumerate(zip(batch.column("block").to_pylist(), cols[0].to_pylist(), strict=True)):
+                if kind < 0:  # a bundle comes before its answers, and these are in the order of its n-grams
+                    if now:
+                        yield judged(now, read, exact)
+                    block, now, read, exact = at, [cols[3][i].values, cols[4][i].values.to_numpy(), cols[5][i].as_buffer(), cols[6][i].as_buffer(), cols[7][i].as_py()], ([], []), []
+                    continue
+                assert at == block
+                read[kind].append(np.frombuffer(cols[1][i].as_buffer(), np.int8))
+                if not kind:
+                    exact.append(unplanes(cols[2][i].as_buffer(), 8).astype(np.int64))
+        if now:
+            yield judged(now, read, exact)
+
+    def judged(now: list, read: tuple[list, list], exact: list) -> pa.RecordBatch:
+        ids, lengths, w, o, width = now
+        toff, one, two = opened(w, o, width, lengths)
+        of = [count_at(np.concatenate(x).astype(np.int64), *SCALES[kind]) for kind, x in enumerate(read)]
+        return scored(ids, toff, one, two[1], *of, np.concatenate(exact), extra, n, floor)
+
+    bundles = stored(docs.mapInArrow(bundled, "block long, ids array<long>, lengths array<long>, words binary, order binary, width int"))
+    held = counted.select("kind", "part", F.lit(None).cast("long").alias("block"), "hashes", "counts", "segment")
+    asked = bundles.drop("ids").mapInArrow(ask, "kind int, part int, block long, hashes binary, counts binary, segment binary").union(held)
     asked = asked.repartition(partitions(docs.sparkSession), "kind", "part").sortWithinPartitions("kind", "part", F.col("block").asc_nulls_first())
     answers = asked.mapInArrow(answer, "block long, kind int, part int, levels binary, exact binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "levels", "exact")).alias("answers"))
-    return texts.join(answers, "block").select("ids", "texts", "answers").mapInArrow(run, SCORED)
+    both = bundles.withColumn("kind", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+    both = both.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "kind", "part")
+    return both.mapInArrow(run, SCORED)
