@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ MOST_BITS, MOST_WORDS = 1 << 27, 6_000_000
 #: Tokens that a task counts together before it deals them out; counts that a task holds before it adds them.
 TOGETHER, FOLD = 4_000_000, 1_000_000
 #: Bytes of text worth a range of hashes, and bytes of documents that ask together.
-PART_BYTES, BUNDLE = 64 << 20, 4 << 20
+PART_BYTES, BUNDLE = 64 << 20, 16 << 20
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +98,21 @@ def planes(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def unplanes(raw: pa.Buffer, width: int) -> np.ndarray:
+def unplanes(raw: pa.Buffer | bytes, width: int) -> np.ndarray:
     from_bytes = np.frombuffer(raw, np.uint8).reshape(width, -1)
     out = np.zeros((from_bytes.shape[1], 8), np.uint8)
     out[:, :width] = from_bytes.T
     return out.view("<u8").ravel()
 
 
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(raw)
+
+
+def widened(raw: pa.Buffer) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def in_training(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % 5 != 1 for x in ids], bool)
 
@@ -339,14 +348,21 @@ def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floo
             yield bundle(ids, held)
 
     def bundle(ids: list, held: list) -> pa.RecordBatch:
-        distinct, which = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        distinct, which, often = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True, return_counts=True)
         lengths = np.concatenate([np.diff(toff) for _, toff in held])
+        common = np.argsort(-often, kind="stable")  # common words get small numbers, which compress
+        number = np.empty(len(common), np.int64)
+        number[common] = np.arange(len(common))
         width = max(1, (len(distinct).bit_length() + 7) // 8)
-        row = (uuid.uuid4().int >> 65, ids, lengths, planes(distinct, 8), planes(which, width), width)
+        row = (uuid.uuid4().int >> 65, ids, lengths, planes(distinct[common], 8), squeezed(planes(number[which], width)), width)
         return made([row], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32()], ["block", "ids", "lengths", "words", "order", "width"])
 
     def opened(words_raw: pa.Buffer, order_raw: pa.Buffer, width: int, lengths: np.ndarray) -> tuple[np.ndarray, tuple, tuple]:
-        distinct, which = unplanes(words_raw, 8), unplanes(order_raw, width).astype(np.int64)
+        distinct = unplanes(words_raw, 8)
+        by_hash = np.argsort(distinct)
+        place = np.empty(len(distinct), np.int64)
+        place[by_hash] = np.arange(len(distinct))
+        distinct, which = distinct[by_hash], place[unplanes(widened(order_raw), width).astype(np.int64)]
         toff = np.concatenate([[0], np.cumsum(lengths)])
         return toff, (distinct, which), np.unique(pairs(distinct[which], toff, parts), return_inverse=True)
 
@@ -360,18 +376,32 @@ def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floo
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, segment, known = None, None, None
         for batch in batches:
-            out = []
+            out, asked = [], []
+
+            def read() -> None:  # all that a batch asks of one part together
+                if not asked:
+                    return
+                kind, part = asked[0][1:3]
+                x, here = np.concatenate([a[3] for a in asked]), key == (kind, part)
+                level = (segment.read(x, True) if here else np.full(len(x), SCALES[kind][1] - 1)).astype(np.int8)
+                exact = found(*known, x) if here and not kind else np.zeros(len(x), np.int64)
+                at = 0
+                for block, *_, own in asked:
+                    to = at + len(own)
+                    out.append((block, kind, part, squeezed(level[at:to].tobytes()), None if kind else squeezed(planes(exact[at:to], 8))))
+                    at = to
+                asked.clear()
+
             for kind, part, block, h, c, bits in zip(*(batch.column(i).to_pylist() for i in range(3)), *(batch.column(i) for i in range(3, 6)), strict=True):
+                if asked and asked[0][1:3] != (kind, part):
+                    read()
                 if block is None:  # a part comes before what is asked of it
                     bits = np.frombuffer(bits.as_buffer(), np.uint8)
                     key, segment = (kind, part), Filter(kind, np.array([0, 8 * len(bits)]), bits, tops[kind])
                     known = None if kind else (unplanes(h.as_buffer(), 8), unplanes(c.as_buffer(), 8).astype(np.int64))
-                    continue
-                x = ngrams(kind, part, h.as_buffer())
-                here = key == (kind, part)
-                level = segment.read(x, True) if here else np.full(len(x), SCALES[kind][1] - 1)
-                exact = None if kind else planes(found(*known, x) if here else np.zeros(len(x)), 8)
-                out.append((block, kind, part, level.astype(np.int8).tobytes(), exact))
+                else:
+                    asked.append((block, kind, part, ngrams(kind, part, h.as_buffer())))
+            read()
             if out:
                 yield made(out, [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["block", "kind", "part", "levels", "exact"])
 
@@ -386,9 +416,9 @@ def _dealt(docs: DataFrame, counted: DataFrame, parts: int, n: int, v: int, floo
                     block, now, read, exact = at, [cols[3][i].values, cols[4][i].values.to_numpy(), cols[5][i].as_buffer(), cols[6][i].as_buffer(), cols[7][i].as_py()], ([], []), []
                     continue
                 assert at == block
-                read[kind].append(np.frombuffer(cols[1][i].as_buffer(), np.int8))
+                read[kind].append(np.frombuffer(widened(cols[1][i].as_buffer()), np.int8))
                 if not kind:
-                    exact.append(unplanes(cols[2][i].as_buffer(), 8).astype(np.int64))
+                    exact.append(unplanes(widened(cols[2][i].as_buffer()), 8).astype(np.int64))
         if now:
             yield judged(now, read, exact)
 
