@@ -1,18 +1,31 @@
-"""Reading order of a line that is drawn from left to right and has right-to-left letters in it."""
+"""Reading order of a line that is drawn from left to right and has right-to-left letters in it.
+
+Three patterns over the line's characters do it: which strong letters there are (for the direction of the line), which
+stretches run from right to left, and which islands in such a stretch keep their order: words of other scripts and numbers
+with their signs. A stretch is turned by taking islands whole and everything else letter by letter, last first.
+"""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
 import regex
 
-_R = r"\u0590-\u065f\u066d-\u06ef\u06fa-\u08ff\ufb1d-\ufdff\ufe70-\ufefc"
-_DIGIT = r"0-9\u0660-\u0669\u066b\u066c\u06f0-\u06f9"
-PART = regex.compile(rf"(?P<R>[{_R}]+)|(?P<N>[{_DIGIT}]+)|(?P<L>(?:(?![{_R}])[\p{{L}}\p{{M}}])+)|(?P<O>.)", regex.DOTALL)
-SEPARATORS = frozenset(".,:/-+")
-NEAR_NUMBERS = frozenset("#%\u00b0\u00b1\u2030\u2031\u2032\u2033")
+#: The blocks of right-to-left letters, digits (of Latin and of Arabic), what joins two numbers, and the signs, besides
+#: those of currencies, that belong to the number they stand at.
+RIGHT = r"\u0590-\u065f\u066d-\u06ef\u06fa-\u08ff\ufb1d-\ufdff\ufe70-\ufefc"
+DIGIT = r"0-9\u0660-\u0669\u066b\u066c\u06f0-\u06f9"
+JOINT = r"[.,:/\-+]"
+SIGN = r"[#%\u00b0\u00b1\u2030-\u2033\p{Sc}]"
+
+_LEFT = rf"(?:(?![{RIGHT}])[\p{{L}}\p{{M}}])"
+#: From a left-to-right word on, everything up to the last word or number before a right-to-left letter.
+_WORDS = rf"{_LEFT}(?:[^{RIGHT}]*(?:{_LEFT}|[{DIGIT}]))?"
+ISLAND = regex.compile(rf"(?:{SIGN}(?=[0-9]))?(?:[{DIGIT}]+(?:{JOINT}[{DIGIT}]+)*(?:{_WORDS})?|{_WORDS})(?:(?<=[0-9]){SIGN})?|.", regex.DOTALL)
+STRETCH = regex.compile(rf"[{RIGHT}](?:(?!{_LEFT}).)*[{RIGHT}]|[{RIGHT}]", regex.DOTALL)
+STRONG = regex.compile(rf"(?P<R>[{RIGHT}])|{_LEFT}")
+BRACKET = regex.compile(r"[()\[\]{}]")
 MIRROR = str.maketrans("()[]{}", ")(][}{")
 LONGEST = 16_384
 
@@ -32,71 +45,25 @@ def plain(text: str) -> str:
     return text.translate(forms()) if any("\ufb1d" <= ch <= "\ufefc" for ch in text) else text
 
 
-def is_sign(text: str) -> bool:
-    return len(text) == 1 and (text in NEAR_NUMBERS or unicodedata.category(text) == "Sc")
+def runs_right(line: str) -> bool | None:
+    """Whether the line as a whole is read from the right: as its first and last letters agree, else as most do. None: it has no such letters."""
+    votes = [m.lastgroup == "R" for m in STRONG.finditer(line)]
+    if not any(votes):
+        return None
+    return votes[0] if votes[0] == votes[-1] else 2 * sum(votes) >= len(votes)
+
+
+def turned(stretch: str) -> str:
+    """A right-to-left stretch in reading order; brackets are mirrored where the first one would close."""
+    out = "".join(ISLAND.findall(stretch)[::-1])
+    first = BRACKET.search(out)
+    return out.translate(MIRROR) if first and first[0] in ")]}" else out
 
 
 def logical(line: str) -> str:
-    if len(line.encode("utf-8", "surrogatepass")) > LONGEST:
+    if len(line) > LONGEST or len(line.encode("utf-8", "surrogatepass")) > LONGEST:
         return line
-    parts = [(m.lastgroup, m[0]) for m in PART.finditer(line)]
-    words = [k for k, _ in parts if k in "RL"]
-    right, left = (sum(len(t) for k, t in parts if k == kind) for kind in "RL")
-    if not right:
+    right = runs_right(line)
+    if right is None:
         return line
-    if words[0] == words[-1]:
-        turns = words[0] == "R"
-    else:
-        turns = right >= left
-    if turns:
-        return plain(turned(parts))
-    out, i = [], 0
-    while i < len(parts):
-        if parts[i][0] != "R":
-            out.append(parts[i][1])
-            i += 1
-            continue
-        end = i + 1
-        for k in range(i + 1, len(parts)):
-            if parts[k][0] == "L":
-                break
-            if parts[k][0] == "R":
-                end = k + 1
-        out.append(turned(parts[i:end]))
-        i = end
-    return plain("".join(out))
-
-
-def turned(parts: list[tuple[str, str]]) -> str:
-    """A right-to-left stretch in reading order: its pieces the other way about, words and numbers of other scripts whole."""
-    pieces: list[str] = []
-    i = 0
-    while i < len(parts):
-        kind, text = parts[i]
-        i += 1
-        if kind in "RO":
-            pieces.append(text[::-1] if kind == "R" else text)
-            continue
-        if text[0].isascii() and text[0].isdigit():
-            while pieces and is_sign(pieces[-1]) and text[0].isascii() and text[0].isdigit():
-                text = pieces.pop() + text
-        word = kind == "L"
-        while True:
-            k = i
-            while k < len(parts) and parts[k][0] == "O":
-                k += 1
-            between = "".join(t for _, t in parts[i:k])
-            following = parts[k][0] if k < len(parts) else ""
-            joins = (word or not between) if following == "L" else following == "N" and (word or between in SEPARATORS and between != "")
-            if not joins:
-                break
-            text += between + parts[k][1]
-            word = word or following == "L"
-            i = k + 1
-        if text[-1].isascii() and text[-1].isdigit() and i < len(parts) and parts[i][0] == "O" and is_sign(parts[i][1]):
-            text += parts[i][1]
-            i += 1
-        pieces.append(text)
-    out = "".join(reversed(pieces))
-    first = re.search(r"[()\[\]{}]", out)
-    return out.translate(MIRROR) if first and first[0] in ")]}" else out
+    return plain(turned(line) if right else STRETCH.sub(lambda m: turned(m[0]), line))
