@@ -136,7 +136,7 @@ class Page:
         if b"ID" in data:
             data = without_images(data)
         if len(data) > 1 << 20 and 80 * sum(1 for m in TOKEN.finditer(data) if m.lastindex) > self.pdf.budget:
-            self.pdf.warn("Page content is too dense to read in the memory that is left; it was skipped")
+            self.pdf.warn("A content stream holds more tokens than memoryBudget allows for; nothing of it is shown")
             return
         fonts: dict[str, Font | None] = {}
         stack: list[Any] = []
@@ -230,7 +230,7 @@ class Page:
 
     def allowed(self) -> bool:
         if self.forms <= 0 or self.form_bytes <= 0:
-            self.pdf.warn("A page draws forms so many times that the rest of them were left out")
+            self.pdf.warn("Forms past the ceiling of one page aren't drawn")
             return False
         self.forms -= 1
         return True

@@ -111,11 +111,11 @@ class Document:
             if not isinstance(s, Stream):
                 continue
             if room <= 0:
-                pdf.warn("The content of a page is too large for the memory that is left; the rest of it was left out")
+                pdf.warn("Content past half of memoryBudget is cut off")
                 break
             data = pdf.stream_data(s) or b""
             if len(data) > room:
-                pdf.warn("The content of a page is too large for the memory that is left; the rest of it was left out")
+                pdf.warn("Content past half of memoryBudget is cut off")
             out.append(data[:room])
             room -= len(data)
         return b"\n".join(out)
@@ -148,7 +148,7 @@ class Document:
                 for s, x, y in self.appearances(page):
                     made.annotation(s, x, y, resources)
         except TooMuch:
-            self.pdf.warn("The text of a page is too large for the memory that is left; the rest of it was left out")
+            self.pdf.warn("Text past half of memoryBudget is cut off")
         return made.runs
 
     def text(self, runs: list[Run]) -> str:
@@ -190,24 +190,26 @@ def pages(data: bytes | None, options: Options, only: int | None = None) -> Iter
         yield from pages_of(doc, only)
 
 
-def pages_of(doc: Document, only: int | None = None) -> Iterator[tuple[int, list[Run], str]]:
+def pages_of(doc: Document, only: int | range | None = None) -> Iterator[tuple[int, list[Run], str]]:
+    """The pages; only: one number, or a range of them."""
+    wanted = range(only, only + 1) if isinstance(only, int) else only
     number = 0
     try:
         for page, resources in doc.walk():
             number += 1
-            if only is not None and number != only:
+            if wanted is not None and number not in wanted:
+                if number >= wanted.stop:
+                    return
                 continue
             try:
                 runs = doc.runs(page, resources)
                 text = doc.text(runs)
             except BROKEN as e:
-                doc.pdf.warn(f"Page {number} could not be read ({type(e).__name__}); it was left empty")
+                doc.pdf.warn(f"Page {number} failed with {type(e).__name__} and counts as empty")
                 runs, text = [], ""
             yield number, runs, text
-            if only is not None:
-                return
     except BROKEN as e:
-        doc.pdf.warn(f"The page tree could not be read to its end ({type(e).__name__})")
+        doc.pdf.warn(f"The walk of the page tree ended early with {type(e).__name__}")
 
 
 def about(data: bytes | None, options: Options) -> Result:
@@ -217,6 +219,6 @@ def about(data: bytes | None, options: Options) -> Result:
         try:
             result.page_count, result.info = doc.page_count(), doc.info()
         except BROKEN as e:
-            doc.pdf.warn(f"The metadata could not be read ({type(e).__name__})")
+            doc.pdf.warn(f"Reading the metadata failed with {type(e).__name__}")
         result.warnings = list(doc.pdf.notes.values())
     return result

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
 from typing import Any
 
 from parchmill.kernel import glyphs, programs
@@ -19,6 +20,20 @@ UNICODE_CMAPS = re.compile(r"Uni(?:GB|CNS|JIS|JISX0213|JISX02132004|JIS2004|JISP
 CODECS = {"90ms-RKSJ": "cp932", "90msp-RKSJ": "cp932", "90pv-RKSJ": "cp932", "83pv-RKSJ": "cp932", "RKSJ": "cp932", "EUC": "euc_jp", "GBK-EUC": "gbk", "GBKp-EUC": "gbk", "GBK2K": "gb18030", "GB-EUC": "gb2312", "GBpc-EUC": "gb2312", "ETen-B5": "big5", "ETenms-B5": "big5", "B5pc": "big5", "HKscs-B5": "big5", "KSC-EUC": "euc_kr", "KSCms-UHC": "cp949", "KSCms-UHC-HW": "cp949", "KSCpc-EUC": "euc_kr"}
 
 
+class Filled(dict):
+    """What a function gives for each code, kept."""
+
+    def __init__(self, make: Callable[[int], Any]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, code: int) -> Any:
+        if len(self) > 65_536:
+            self.clear()
+        self[code] = found = self.make(code)
+        return found
+
+
 class Font:
     """decode(bytes) -> (text, width in ems, letters, spaces, text as drawn)."""
 
@@ -33,7 +48,7 @@ class Font:
         self.wide = programs.Ranges([])
         self.default, self.scale = 0.0, 0.001
         self.memo: dict[bytes, tuple[str, float, int, int, str]] = {}
-        self.known: dict[int, tuple[str, float]] = {}
+        self.letters, self.measures = Filled(self.letter), Filled(self.width)
 
     def decode(self, s: bytes) -> tuple[str, float, int, int, str]:
         got = self.memo.get(s)
@@ -82,32 +97,25 @@ class Font:
         found = self.wide.find(code)
         return found[2] if found else self.default
 
-    def letter(self, code: int) -> tuple[str, float]:
-        """Text and width of a code, kept."""
-        width = self.width(code)
+    def letter(self, code: int) -> str:
         text = glyphs.character(code) if self.unicode else self.map.get(code) if self.map is not None else None
         if self.unicode and self.map is not None:
             text = self.map.get(code) or text
-        if not text and self.map is not None and width * self.scale >= BLANK_WIDTH:
+        if not text and self.map is not None and self.measures[code] * self.scale >= BLANK_WIDTH:
             text = BLANK
-        if len(self.known) > 65_536:
-            self.known.clear()
-        self.known[code] = found = (text or "", width)
-        return found
+        return text or ""
 
     def _composite(self, s: bytes) -> tuple[str, float, int, int, str]:
         if self.codec:
             text = s.decode(self.codec, "ignore")
             return text, len(text) * self.default * self.scale, len(text), 0, text
-        known, spaces = self.known, 0
-        if not self.spaces and not len(s) & 1:
-            codes = struct.unpack(f">{len(s) // 2}H", s)
-        else:
+        if self.spaces or len(s) & 1:
             pairs = self.codes(s)
             codes = [c for c, _ in pairs]
             spaces = sum(1 for c, n in pairs if c == 32 and n == 1)
-        found = [known.get(c) or self.letter(c) for c in codes]
-        return self._told([t for t, _ in found], sum(w for _, w in found) * self.scale, len(found), spaces)
+        else:
+            codes, spaces = struct.unpack(f">{len(s) // 2}H", s), 0
+        return self._told(list(map(self.letters.__getitem__, codes)), sum(map(self.measures.__getitem__, codes)) * self.scale, len(codes), spaces)
 
 
 class Characters:
@@ -139,7 +147,7 @@ class Fonts:
             base = self.pdf.resolve(d.get("BaseFont"))
             made.name = re.sub(r"^[A-Z]{6}\+", "", str(base)) if isinstance(base, Name) else ""
             if made.unmapped:
-                self.pdf.warn(f"The font {made.name or '(unnamed)'} has no character map; its text can't be read", f"unmapped {made.name}")
+                self.pdf.warn(f"The font {made.name or '(unnamed)'} maps no code to a character, so that its strings read as nothing", f"unmapped {made.name}")
         except (ValueError, TypeError, IndexError, KeyError, OverflowError, RecursionError):
             made = Font()
             made.table = list(glyphs.encoding("WinAnsiEncoding"))
@@ -167,7 +175,7 @@ class Fonts:
             data = inflate(data, self.pdf.limit) or data
         made = programs.CMap(data, max(1 << 16, self.pdf.budget // 32))
         if made.partial:
-            self.pdf.warn("A character map is too large to read in the memory that is left; the rest of it was left out")
+            self.pdf.warn("Entries of a character map past its share of memoryBudget are ignored")
         return made if made else None
 
     def simple(self, d: dict) -> Font:

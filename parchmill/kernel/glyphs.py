@@ -62,7 +62,7 @@ def names(list_file: str | None = None) -> dict[str, str]:
             if all(x is not None for x in marks):
                 out.setdefault((letter.capitalize() if m[1] == "CAPITAL" else letter) + "".join(marks), chr(cp))
         elif m := re.fullmatch(r"HEBREW LETTER ([A-Z ]+)", said):
-            out.setdefault(m[1].lower().replace(" ", "").replace("alef", "alef"), chr(cp))
+            out.setdefault(m[1].lower().replace(" ", ""), chr(cp))
             out.setdefault(f"afii{57664 + cp - 0x5D0}", chr(cp))
     for i in range(32):  # Cyrillic by the numbers of the old registry: capitals, then small letters, io after ie
         big, small = 0x410 + i, 0x430 + i

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from binascii import unhexlify
 from typing import Any, NamedTuple
 
 from parchmill.kernel import filters
@@ -70,6 +71,10 @@ def unescaped(body: bytes) -> bytes:
 
 
 def unhexed(body: bytes) -> bytes:
+    try:
+        return unhexlify(body)
+    except ValueError:  # white space, or an odd digit
+        pass
     digits = re.sub(rb"[^0-9A-Fa-f]", b"", body)
     return bytes.fromhex((digits + b"0" * (len(digits) & 1)).decode())
 
@@ -224,7 +229,7 @@ class Pdf:
         if key in self.notes:
             return
         if len(self.notes) >= 100:
-            self.notes.setdefault("more", "More problems were found than are listed here")
+            self.notes.setdefault("more", "Further warnings of this file are not kept")
         else:
             self.notes[key] = text.encode("utf-8", "replace").decode()
 
@@ -295,7 +300,7 @@ class Pdf:
     def rebuild(self) -> None:
         """Finds the objects by their headers; of several with one number the last counts."""
         self.rebuilt = True
-        self.warn("The cross-reference table is damaged; the objects were found by searching the file")
+        self.warn("Objects were located by a scan, as the cross-reference data doesn't lead to them")
         self.where, self.objects, self.containers = {}, {}, {}
         for m in HEADER.finditer(self.data):
             if int(m[1]) < 1 << 31:
@@ -423,7 +428,7 @@ class Pdf:
         settings = [{k: self.resolve(v) for k, v in (p or {}).items()} for p in parms + [None] * (len(names) - len(parms))]
         data, cut = filters.decode(data, names, settings, most)
         if cut and not quiet:
-            self.warn(f"A stream is too large to unpack in the memory that is left; {'it' if not data else 'the rest of it'} was left out")
+            self.warn(f"A stream unpacks to more than half of memoryBudget: {len(data or b'')} bytes of it are used")
         return data
 
 

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import zlib
 
-from parchmill.kernel.crypto import PAD, cbc_encrypt, rc4
+from parchmill.kernel.crypto import PAD, cbc_encrypt, hash_r6, rc4
 
 
 def stream(data: bytes, head: str = "") -> bytes:
@@ -72,6 +72,12 @@ def up_predicted(data: bytes, columns: int = 16) -> bytes:
     return bytes(out)
 
 
+def left_predicted(data: bytes, columns: int = 16) -> bytes:
+    """TIFF rows of one byte a pixel, each the difference from the one to the left."""
+    data += b" " * (-len(data) % columns)
+    return b"".join(bytes([data[i]]) + bytes((a - b) & 255 for a, b in zip(data[i + 1 : i + columns], data[i : i + columns], strict=False)) for i in range(0, len(data), columns))
+
+
 #: How a content stream may be packed: its dictionary and its bytes.
 PACKINGS = {
     "plain": lambda d: ("", d),
@@ -80,6 +86,7 @@ PACKINGS = {
     "a85": lambda d: ("/Filter [/ASCII85Decode /FlateDecode]", ascii85(zlib.compress(d))),
     "hex": lambda d: ("/Filter /ASCIIHexDecode", d.hex().encode() + b">"),
     "rl": lambda d: ("/Filter /RunLengthDecode", run_length(d)),
+    "tiff": lambda d: ("/Filter /FlateDecode /DecodeParms << /Predictor 2 /Columns 16 >>", zlib.compress(left_predicted(d))),
     "png": lambda d: ("/Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 16 >>", zlib.compress(up_predicted(d))),
 }
 
@@ -148,7 +155,9 @@ def build(pages: list[bytes | str], fonts: dict[str, str] | None = None, extra:
 
 
 def lock(kind: str, password: str = "", seed: bytes = b"0123456789abcdef") -> dict:
-    """What `assembled` needs to encrypt: kind rc4 (128 bits) or aes (128 bits)."""
+    """What `assembled` needs to encrypt: kind rc4 (128 bits), aes (128 bits) or aes256."""
+    if kind == "aes256":
+        return lock_256(password.encode(), seed)
     key_bytes, permissions = 16, b"\xfc\xff\xff\xff"
     h = hashlib.md5((b"owner" + PAD)[:32]).digest()
     for _ in range(50):
@@ -183,7 +192,24 @@ def lock(kind: str, password: str = "", seed: bytes = b"0123456789abcdef") -> di
     return {"dict": told, "id": seed, "stream": encrypted}
 
 
-def from_text(text: str, packing: str = "flate", lines_a_page: int = 50, modern: bool = False, encrypt: str | None = None, info: str | None = None) -> bytes:
+def lock_256(password: bytes, seed: bytes) -> dict:
+    """Revision 6: a key of 32 bytes, wrapped under the hashed password."""
+    key, check, wrap = hashlib.sha256(seed).digest(), seed[:8], seed[8:16]
+    user = hash_r6(password, check, b"", 6) + check + wrap
+    wrapped = cbc_encrypt(hash_r6(password, wrap, b"", 6), key, bytes(16))
+    told = f"/Filter /Standard /V 5 /R 6 /Length 256 /P -4 /O <{bytes(48).hex()}> /U <{user.hex()}> /UE <{wrapped.hex()}> /OE <{bytes(32).hex()}> /CF << /StdCF << /CFM /AESV3 >> >> /StmF /StdCF /StrF /StdCF"
+
+    def encrypted(num: int, body: bytes) -> bytes:
+        head, _, rest = body.partition(b"stream\n")
+        data = rest[: -len(b"\nendstream")]
+        pad, iv = 16 - len(data) % 16, hashlib.md5(b"iv%d" % num).digest()
+        data = iv + cbc_encrypt(key, data + bytes([pad]) * pad, iv)
+        return head[: head.rindex(b"/Length ")] + b"/Length %d >>\nstream\n" % len(data) + data + b"\nendstream"
+
+    return {"dict": told, "id": seed, "stream": encrypted}
+
+
+def from_text(text: str, packing: str = "flate", lines_a_page: int = 50, modern: bool = False, encrypt: str | None = None, info: str | None = None, password: str = "") -> bytes:
     """The text, a line of the page for each of its lines, in a font whose codes are numbers given to its characters."""
     alphabet = sorted({ch for ch in text if ch != "\n"})
     code = {ch: i + 1 for i, ch in enumerate(alphabet)}
@@ -194,4 +220,4 @@ def from_text(text: str, packing: str = "flate", lines_a_page: int = 50, modern:
     for at in range(0, len(lines), lines_a_page):
         shown = "\n".join(f"1 0 0 1 72 {800 - 12 * i} Tm <{''.join(f'{code[ch]:04X}' for ch in line)}> Tj" for i, line in enumerate(lines[at : at + lines_a_page]) if line)
         pages.append(f"BT /F1 10 Tf\n{shown}\nET".encode())
-    return assembled(objects(pages, fonts, {100: stream(cmap)}, packing, info), lock(encrypt) if encrypt else None, modern)
+    return assembled(objects(pages, fonts, {100: stream(cmap)}, packing, info), lock(encrypt, password) if encrypt else None, modern)
