@@ -45,6 +45,16 @@ def hex_string(body: Column) -> Column:
     return F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits))
 
 
+#: Characters that compatibility normalisation leaves alone whatever stands beside them but a combining mark: ASCII, letters of Latin, Cyrillic,
+#: kana and Han, and common signs.
+NORMAL = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB\u00AC\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u0482\u048A-\u052F\u2010\u2012-\u2016\u2018-\u2023\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF"
+
+
+def is_normal(text: Column) -> Column:
+    """Whether a text surely is its own NFKC form."""
+    return text.isNull() | ~text.rlike(f"[^{NORMAL}]")
+
+
 def words(text: Column, normalised: bool = False) -> Column:
     """Words as the scoring counts them: lower case, letters and digits, CJK characters one by one, no other single characters."""
     lower = F.lower(text if normalised else nfkc_udf()(text))

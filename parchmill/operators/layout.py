@@ -14,21 +14,21 @@ def glue(runs: DataFrame, keys: list[str], word_gap: float = 0.11, line_gap: flo
     """runs (keys, seq, text, x, y, ux, uy, size, advance, hlen, source) with `glue`: what stands before each run."""
     w = Window.partitionBy(*keys).orderBy("seq")
     for c in ("x", "y", "ux", "uy", "size", "source", "text"):
-        runs = runs.withColumn(f"p_{c}", F.lag(c).over(w))
+        runs = runs.withColumn(f"_before_{c}", F.lag(c).over(w))
     ex, ey = (F.lag(F.col(c) + F.col(f"u{c}") * F.col("advance") * F.col("hlen")).over(w) for c in ("x", "y"))
-    runs = runs.withColumn("ex", F.when(F.col("source") == F.col("p_source"), ex).otherwise(-1e9)).withColumn("ey", F.when(F.col("source") == F.col("p_source"), ey).otherwise(-1e9))
-    dx, dy = F.col("x") - F.col("ex"), F.col("y") - F.col("ey")
-    along, off, ref = dx * F.col("p_ux") + dy * F.col("p_uy"), F.abs(dy * F.col("p_ux") - dx * F.col("p_uy")), F.greatest("size", "p_size")
-    same_spot = (F.col("text") == F.col("p_text")) & (F.abs(F.col("x") - F.col("p_x")) + F.abs(F.col("y") - F.col("p_y")) < 0.2 * ref)
+    runs = runs.withColumn("_end_x", F.when(F.col("source") == F.col("_before_source"), ex).otherwise(-1e9)).withColumn("_end_y", F.when(F.col("source") == F.col("_before_source"), ey).otherwise(-1e9))
+    dx, dy = F.col("x") - F.col("_end_x"), F.col("y") - F.col("_end_y")
+    along, off, ref = dx * F.col("_before_ux") + dy * F.col("_before_uy"), F.abs(dy * F.col("_before_ux") - dx * F.col("_before_uy")), F.greatest("size", "_before_size")
+    same_spot = (F.col("text") == F.col("_before_text")) & (F.abs(F.col("x") - F.col("_before_x")) + F.abs(F.col("y") - F.col("_before_y")) < 0.2 * ref)
     rule = (
-        F.when(F.col("p_x").isNull(), "")
-        .when((off > line_gap * ref) | (F.col("ux") * F.col("p_ux") + F.col("uy") * F.col("p_uy") < 0.9), "\n")
+        F.when(F.col("_before_x").isNull(), "")
+        .when((off > line_gap * ref) | (F.col("ux") * F.col("_before_ux") + F.col("uy") * F.col("_before_uy") < 0.9), "\n")
         .when(along > word_gap * ref, " ")
         .when((along < -0.5 * ref) & same_spot, "drop")
         .when(along < -0.5 * ref, " ")
         .otherwise("")
     )
-    return runs.withColumn("glue", rule).drop(*(f"p_{c}" for c in ("x", "y", "ux", "uy", "size", "source", "text")), "ex", "ey")
+    return runs.withColumn("glue", rule).drop(*(f"_before_{c}" for c in ("x", "y", "ux", "uy", "size", "source", "text")), "_end_x", "_end_y")
 
 
 def lines(glued: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchmill.sources.tables import stored
+
 
 def range_lookup(codes: DataFrame, ranges: DataFrame, bins: float) -> DataFrame:
     """Each code with the payload of the first range in the list (list_pos) that holds it, null for none.
 
-    ranges: (lo, hi, list_pos, payload). An equi-join on bins of the given width, not a nested loop: a range is
-    entered into each bin it touches, a code looks into one. The first match is a grouped minimum.
+    ranges: (lo, hi, list_pos, payload). An equi-join, not a nested loop: a range is entered into bins about as wide as itself, of
+    `bins` times a power of two, so it touches two at most however wide it is; a code looks into one bin of each width that
+    occurs. The first match is a grouped minimum. A column payload of codes is replaced.
     """
-    entered = ranges.filter("lo <= hi").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / bins), F.floor(F.col("hi") / bins))))
-    near = codes.select("code").distinct().withColumn("bin", F.floor(F.col("code") / bins)).join(entered, "bin").filter("code between lo and hi")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("hi") - F.col("lo"), F.lit(bins)) / F.lit(bins)))).cast("int")
+    entered = ranges.filter("lo <= hi").select("lo", "hi", "list_pos", "payload", level.alias("_level"))
+    levels = [r[0] for r in entered.select("_level").distinct().collect()]  # powers of two: about 2,000 at most, and a few in practice
+    place = lambda c: F.floor(F.col(c) / (F.lit(bins) * F.pow(F.lit(2.0), F.col("_level"))))
+    entered = entered.withColumn("_bin", F.explode(F.array_distinct(F.array(place("lo"), place("hi")))))
+    asked = codes.select("code").distinct().withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", place("code"))
+    near = asked.join(entered, ["_level", "_bin"]).filter("code between lo and hi")
     first = near.groupBy("code").agg(F.min_by("payload", "list_pos").alias("payload"))
-    return codes.join(first, "code", "left")
+    return codes.drop("payload").join(first, "code", "left")
 
 
 def newest_wins(rows: DataFrame, keys: list[str], newest: str) -> DataFrame:
@@ -34,7 +44,7 @@ def distinct_warnings(rows: DataFrame, keys: list[str], most: int = 100) -> Data
     """The first `most` different warnings of each key in order, and one line more where there are more."""
     first = rows.groupBy(*keys, "warning").agg(F.min("seq").alias("seq"))
     ranked = first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "warning")))
-    return ranked.filter(F.col("place") <= most + 1).select(*keys, "place", F.when(F.col("place") > most, F.lit("More problems were found than are listed here")).otherwise(F.col("warning")).alias("warning"))
+    return ranked.filter(F.col("place") <= most + 1).select(*keys, "place", F.when(F.col("place") > most, F.lit("Further warnings of this file are not kept")).otherwise(F.col("warning")).alias("warning"))
 
 
 def string_widths(strings: DataFrame, widths: DataFrame, default: float) -> DataFrame:
@@ -44,20 +54,20 @@ def string_widths(strings: DataFrame, widths: DataFrame, default: float) -> Data
     return found.groupBy("id").agg(F.sum(F.col("n") * F.coalesce("w", F.lit(default))).alias("width"), F.sum("n").alias("glyphs"), F.sum(F.when(F.col("ch") == " ", F.col("n")).otherwise(0)).alias("spaces"))
 
 
-def page_tree(nodes: DataFrame, root: int) -> DataFrame:
-    """(node, path, resources) of the leaves of a tree in document order, by a recursive query that doesn't walk a circle.
+def page_tree(nodes: DataFrame, root: int, keys: list[str] | None = None, deepest: int = 100) -> DataFrame:
+    """(keys, node, path, resources) of the leaves of the tree of each key, to be read in the order of path; a circle isn't walked.
 
-    nodes: (node, parent, place, kind, resources). A leaf without resources has those of the nearest node above.
+    nodes: (keys, node, parent, place, kind, resources). A leaf without resources has those of the nearest node above. One join a level,
+    each written before the next, so trees of any number and breadth are walked.
     """
-    spark = nodes.sparkSession
-    name = f"nodes_{id(nodes)}"
-    nodes.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        with recursive walk(node, kind, path, seen, resources) as (
-            select node, kind, array(0), array(node), resources from {name} where node = {root}
-            union all
-            select n.node, n.kind, concat(w.path, array(n.place)), concat(w.seen, array(n.node)), coalesce(n.resources, w.resources)
-            from walk w join {name} n on n.parent = w.node
-            where not array_contains(w.seen, n.node) and size(w.path) < 100
-        )
-        select node, array_join(path, '/') as path, resources from walk where kind = 'Page'""")
+    keys = keys or []
+    below = nodes.select(*keys, F.col("node").alias("_node"), F.col("parent").alias("node"), F.col("place").alias("_place"), F.col("kind").alias("_kind"), F.col("resources").alias("_own"))
+    at = stored(nodes.filter(F.col("node") == root).select(*keys, "node", "kind", F.array(F.lit(0)).alias("_path"), F.array("node").alias("_seen"), "resources"))
+    levels = [at]
+    for _ in range(deepest - 1):
+        down = at.filter("kind <> 'Page'").drop("kind").join(below, [*keys, "node"]).filter(~F.array_contains("_seen", F.col("_node")))
+        at = stored(down.select(*keys, F.col("_node").alias("node"), F.col("_kind").alias("kind"), F.concat("_path", F.array("_place")).alias("_path"), F.concat("_seen", F.array("_node")).alias("_seen"), F.coalesce("_own", "resources").alias("resources")))
+        if at.isEmpty():
+            break
+        levels.append(at)
+    return reduce(DataFrame.union, levels).filter("kind = 'Page'").select(*keys, "node", F.array_join("_path", "/").alias("path"), "resources")

@@ -72,22 +72,28 @@ def extract_pages(df: DataFrame, content: str = "content", page_no: int | None =
     return df.select(*keep, F.inline(_pages_udf(options(**opts), page_no)(F.col(content))))
 
 
-def extract_pages_spread(df: DataFrame, key: str, content: str = "content", partitions: int | None = None, **opts) -> DataFrame:
+def extract_pages_spread(df: DataFrame, key: str, content: str = "content", partitions: int | None = None, pages_each: int = 100, **opts) -> DataFrame:
     """(key, page_no, text) with the pages of one file read by many tasks, for files of thousands of pages.
 
-    The first pass counts pages; each task then opens the file and reads its own page. The bytes go to every task, so
-    this pays off only where a page costs far more than the file's transfer.
+    The first pass counts pages; then a file is sent and opened once for every `pages_each` of its pages, so this pays off where
+    these cost more than the file's transfer.
     """
     chosen = options(**opts)
 
-    @F.pandas_udf("string")
-    def one(contents: pd.Series, numbers: pd.Series) -> pd.Series:
-        return pd.Series([next((t for _, _, t in document.pages(bytes(c), chosen, int(n))), "") for c, n in zip(contents, numbers, strict=True)])
+    @F.pandas_udf("array<struct<page_no:int,text:string>>")
+    def some(contents: pd.Series, firsts: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for data, first, count in zip(contents, firsts, counts, strict=True):
+            doc, _ = document.opened(bytes(data), chosen)
+            wanted = range(int(first), min(int(first) + pages_each, int(count) + 1))
+            found = {n: t for n, _, t in document.pages_of(doc, wanted)} if doc else {}
+            out.append([{"page_no": n, "text": found.get(n, "")} for n in wanted])
+        return pd.Series(out)
 
     counted = pdf_info(df.select(key, content, F.col(content).alias("_c")), "_c", **opts).filter("status = 'OK' and page_count > 0")
-    numbered = counted.select(key, content, F.explode(F.sequence(F.lit(1), "page_count")).alias("page_no"))
-    numbered = numbered.repartition(partitions, key, "page_no") if partitions else numbered.repartition(key, "page_no")
-    return numbered.select(key, "page_no", one(content, "page_no").alias("text"))
+    numbered = counted.select(key, content, "page_count", F.explode(F.sequence(F.lit(1), "page_count", F.lit(pages_each))).alias("_first"))
+    numbered = numbered.repartition(partitions, key, "_first") if partitions else numbered.repartition(key, "_first")
+    return numbered.select(key, F.inline(some(content, "_first", "page_count")))
 
 
 def page_text(content: Column, page_no: int, **opts) -> Column:
@@ -96,8 +102,11 @@ def page_text(content: Column, page_no: int, **opts) -> Column:
     return F.coalesce(F.get(F.transform(found, lambda p: p["text"]), F.lit(0)), F.lit(""))
 
 
-def extract_runs(df: DataFrame, content: str = "content", **opts) -> DataFrame:
-    """The other columns of df with every shown string and its place: the table that layout works on."""
+def extract_runs(df: DataFrame, content: str = "content", empty_pages: bool = False, **opts) -> DataFrame:
+    """The other columns of df with every shown string and its place: the table that layout works on.
+
+    empty_pages: a page without strings has a row too, with page_no alone.
+    """
     chosen = options(**opts)
     fields = [f.split(" ", 1) for f in RUN.split(", ")]
 
@@ -111,6 +120,8 @@ def extract_runs(df: DataFrame, content: str = "content", **opts) -> DataFrame:
                 rows = []
                 for number, runs, _ in document.pages(None if data is None else bytes(data), chosen):
                     rows += [{"page_no": number, "seq": i, "text": r.text, "drawn": r.drawn, "x": r.x, "y": r.y, "ux": r.ux, "uy": r.uy, "size": r.size, "advance": r.advance, "hlen": r.hlen, "glyphs": r.glyphs, "rtl": bool(RTL.search(r.text)), "source": r.source} for i, r in enumerate(runs)]
+                    if empty_pages and not runs:
+                        rows.append(dict.fromkeys((n for n, _ in fields)) | {"page_no": number})
                 out.append(rows)
             yield pd.Series(out)
 
@@ -175,6 +186,17 @@ def synthetic(docs: DataFrame, text: str = "text", packing: str = "flate", lines
     return spread(docs).withColumn("content", write(F.col(text))).drop(text)
 
 
+def styled(docs: DataFrame, text: str = "text", face: str = "differences", drawing: str = "plain", damage: Column | None = None, **more) -> DataFrame:
+    """The same through a kind of font, a way of drawing and a state of the file: see `kernel.styles`."""
+    @F.pandas_udf("binary")
+    def write(series: pd.Series, states: pd.Series) -> pd.Series:
+        from parchmill.kernel import styles
+
+        return pd.Series([styles.pdf_of(t or "", face, drawing, damage=None if s is None or s != s else s, **more) for t, s in zip(series, states, strict=True)])
+
+    return spread(docs).withColumn("content", write(F.col(text), F.lit(None).cast("string") if damage is None else damage)).drop(text)
+
+
 def register(spark: SparkSession) -> None:
     """SQL names: functions pdf_info, pdf_page_count, pdf_text, bidi_logical, glyph_to_unicode, nfkc; tables pdf_pages, pdf_runs."""
     from pyspark.sql.functions import udtf
