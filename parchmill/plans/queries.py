@@ -107,11 +107,48 @@ def round_trip(name: str, **how) -> None:
         return pdf.extract_documents(made).select("doc_id", "status", "text")
 
 
-for _packing in ("plain", "flate", "lzw", "a85", "hex", "rl", "png"):
+for _packing in ("plain", "flate", "lzw", "a85", "hex", "rl", "png", "tiff"):
     round_trip(f"pdf_roundtrip_{_packing}", packing=_packing)
 round_trip("pdf_roundtrip_objstm", packing="flate", modern=True)
 round_trip("pdf_roundtrip_rc4", packing="flate", encrypt="rc4")
 round_trip("pdf_roundtrip_aes", packing="flate", encrypt="aes")
+round_trip("pdf_roundtrip_aes256", packing="flate", encrypt="aes256")
+
+
+def drawn_alike(name: str, **how) -> None:
+    @query(WHOLE, name)
+    def run(spark, d):
+        return pdf.extract_documents(pdf.styled(table(spark, d, "documents").select("doc_id", "text"), **how)).select("doc_id", "status", "text")
+
+
+for _face in ("differences", "type1", "cff", "type3", "winansi", "truetype", "ligatures", "blanks", "ucs2", "gbk"):
+    drawn_alike(f"pdf_font_{_face}", face=_face)
+drawn_alike("pdf_font_widths", face="widths", drawing="spaced")
+for _drawing in ("moved", "kerned", "nested", "forms", "annotated", "bold"):
+    drawn_alike(f"pdf_draw_{_drawing}", face="truetype", drawing=_drawing)
+drawn_alike("pdf_draw_accented", drawing="accented")
+drawn_alike("pdf_updated", update=True)
+
+
+@query(f"select doc_id, 'OK' as status, {joined_sql('text')} as text, true as warned from documents")
+def pdf_damaged(spark, d):
+    """Files that are damaged in one of six ways, and say so."""
+    kinds = ["startxref", "lengths", "no endstream", "offsets", "cut", "junk"]
+    damage = F.element_at(F.array(*map(F.lit, kinds)), F.pmod("doc_id", F.lit(len(kinds))).cast("int") + 1)
+    found = pdf.extract_documents(pdf.styled(table(spark, d, "documents").select("doc_id", "text"), damage=damage))
+    return found.select("doc_id", "status", "text", (F.size("warnings") > 0).alias("warned"))
+
+
+@query(WHOLE)
+def pdf_password(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pdf.extract_documents(pdf.synthetic(docs, lines_a_page=1_000_000, encrypt="aes256", password="open sesame"), password="open sesame").select("doc_id", "status", "text")
+
+
+@query(f"select doc_id, cast(unnest(range(1, cast(ceil(len(string_split(text, chr(10))) / {LINES}.0) as bigint) + 1)) as integer) as page_no from documents")
+def pdf_spread(spark, d):
+    """Pages of one file by several tasks."""
+    return pdf.extract_pages_spread(paged(spark, d), "doc_id", pages_each=2).select("doc_id", "page_no")
 
 PAGED = f"""with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
 pages as (select doc_id, cast((i - 1) // {LINES} + 1 as integer) as page_no, coalesce(string_agg(line, chr(10) order by i) filter (line <> ''), '') as t from lines group by all)
@@ -161,16 +198,7 @@ def pdf_invalid(spark, d):
 @query("select doc_id, 'ENCRYPTED' as status, true as is_encrypted from documents")
 def pdf_locked(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-
-    @F.pandas_udf("binary")
-    def write(texts):
-        from parchmill.kernel import writer
-
-        objects = writer.objects([b"BT ET"])
-        locked = writer.assembled(objects, writer.lock("rc4", "open sesame"))
-        return texts.map(lambda t: locked)
-
-    return pdf.pdf_info(docs.select("doc_id", write("text").alias("content"))).select("doc_id", "status", "is_encrypted")
+    return pdf.pdf_info(pdf.synthetic(docs, encrypt="rc4", password="open sesame")).select("doc_id", "status", "is_encrypted")
 
 
 @query()
@@ -226,10 +254,9 @@ def assemble_lines(spark, d):
 @query(f"select doc_id, page_no, text from ({PAGED})")
 def layout_by_windows(spark, d):
     """Runs out of the kernel, laid out by window functions."""
-    found = pdf.extract_runs(paged(spark, d))
+    found = pdf.extract_runs(paged(spark, d), empty_pages=True)
     laid = layout.page_texts(layout.lines(layout.glue(found, ["doc_id", "page_no"]), ["doc_id", "page_no"]), ["doc_id", "page_no"])
-    pages = pdf.extract_pages(paged(spark, d)).select("doc_id", "page_no")
-    return pages.join(laid, ["doc_id", "page_no"], "left").select("doc_id", "page_no", T.clean_text(T.dehyphenate(F.coalesce("text", F.lit("")))).alias("text"))
+    return laid.select("doc_id", "page_no", T.clean_text(T.dehyphenate(F.coalesce("text", F.lit("")))).alias("text"))
 
 
 @query(f"select o_orderkey as id, cast(sum(case when c is null then 0 else w end) as double) as width, count(c) as glyphs, cast(sum(case when c = ' ' then 1 else 0 end) as bigint) as spaces from (select o_orderkey, unnest(string_split(o_orderpriority || ' ' || o_orderstatus, '')) as c from orders) left join (values {', '.join(f'(chr({32 + i}), {w})' for i, w in enumerate(HELVETICA))}) as t(ch, w) on c = ch group by o_orderkey")
@@ -261,21 +288,25 @@ def reverse_cmap(spark, d):
 
 
 @query("""with f as (select user_id, event_type || ' ' || cast(event_id % 11 as varchar) as warning, min(event_id) as seq from events group by all), k as (select *, row_number() over (partition by user_id order by seq, warning) as place from f)
-select user_id, cast(place as integer) as place, case when place > 5 then 'More problems were found than are listed here' else warning end as warning from k where place <= 6""")
+select user_id, cast(place as integer) as place, case when place > 5 then 'Further warnings of this file are not kept' else warning end as warning from k where place <= 6""")
 def warnings_dedup(spark, d):
     rows = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" "), (F.col("event_id") % 11).cast("string")).alias("warning"))
     return lookups.distinct_warnings(rows, ["user_id"], 5)
 
 
-@query("""with recursive nodes as (select 0 as node, -1 as parent, 0 as place, 'Pages' as kind, 'base' as resources union all select 10 + r_regionkey, 0, r_regionkey, 'Pages', case when r_regionkey % 2 = 0 then r_name end from region
-union all select 100 + n_nationkey, 10 + n_regionkey, n_nationkey, 'Page', case when n_nationkey % 3 = 0 then n_name end from nation),
-walk as (select node, kind, [0] as path, resources from nodes where node = 0 union all select n.node, n.kind, list_append(w.path, n.place), coalesce(n.resources, w.resources) from walk w join nodes n on n.parent = w.node)
-select node, array_to_string(path, '/') as path, resources from walk where kind = 'Page'""")
+@query("""with recursive nodes as (select l_orderkey as doc, l_linenumber as node, case when l_linenumber = 1 then 0 else l_linenumber // 2 end as parent, l_partkey as place,
+case when 2 * l_linenumber <= max(l_linenumber) over (partition by l_orderkey) then 'Pages' else 'Page' end as kind, case when l_linenumber = 1 or l_suppkey % 3 = 0 then l_returnflag end as resources
+from (select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_returnflag) = 1)),
+walk as (select doc, node, kind, [0] as path, resources from nodes where node = 1 union all select n.doc, n.node, n.kind, list_append(w.path, n.place), coalesce(n.resources, w.resources) from walk w join nodes n on n.parent = w.node and n.doc = w.doc where w.kind <> 'Page')
+select doc, node, array_to_string(path, '/') as path, resources from walk where kind = 'Page'""")
 def page_tree_walk(spark, d):
-    top = spark.sql("select 0 as node, -1 as parent, 0 as place, 'Pages' as kind, 'base' as resources")
-    regions = table(spark, d, "region").select((F.col("r_regionkey") + 10).alias("node"), F.lit(0).alias("parent"), F.col("r_regionkey").alias("place"), F.lit("Pages").alias("kind"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).alias("resources"))
-    nations = table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("node"), (F.col("n_regionkey") + 10).alias("parent"), F.col("n_nationkey").alias("place"), F.lit("Page").alias("kind"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).alias("resources"))
-    return lookups.page_tree(top.union(regions).union(nations), 0)
+    """The lines of each order as the nodes of a tree of their own."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("node")).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("r"))
+    top = li.groupBy("doc").agg(F.max("node").alias("_top"))
+    kind = F.when(2 * F.col("node") <= F.col("_top"), "Pages").otherwise("Page")
+    own = F.when((F.col("node") == 1) | (F.col("r.l_suppkey") % 3 == 0), F.col("r.l_returnflag"))
+    nodes = li.join(top, "doc").select("doc", "node", F.when(F.col("node") == 1, 0).otherwise(F.floor(F.col("node") / 2)).cast("int").alias("parent"), F.col("r.l_partkey").alias("place"), kind.alias("kind"), own.alias("resources"))
+    return lookups.page_tree(nodes, 1, ["doc"])
 
 
 # --- words and scores -------------------------------------------------------------------------
@@ -317,12 +348,17 @@ def word_diff(spark, d):
     return scoring.word_diff(*bags(spark, d), ["doc_id"])
 
 
-@query(SCORES + """, u as (select *, 'all' as cohort from t where ref_n >= 10 union all select *, case when ref_n >= 50 then 'long' else 'short' end from t where ref_n >= 10)
+MEDIAN = "round(list_sort(list({0}))[cast(floor((count(*) - 1) * {1}) as integer) + 1], 9)"
+
+
+@query(SCORES + f""", m as (select *, (doc_id % 97) / 2.0::double as mb, (doc_id % 13) / 8.0::double as seconds from t where ref_n >= 10),
+u as (select *, 'all' as cohort from m union all select *, case when ref_n >= 50 then 'long' else 'short' end from m union all select *, 'ordinary' from m where doc_id % 5 = 0)
 select cohort, count(*) as documents, round(avg(recall), 9) as mean_recall, round(sum(common) / sum(ref_n)::double, 9) as weighted_recall, cast(count(*) filter (recall >= 0.95) as bigint) as at_95, cast(count(*) filter (recall >= 0.80) as bigint) as at_80,
-cast(count(*) filter (recall < 0.50) as bigint) as under_50, round(avg(precision), 9) as mean_precision, round(list_sort(list(recall))[cast(floor((count(*) - 1) * 0.5) as integer) + 1], 9) as median_recall from u group by cohort""")
+cast(count(*) filter (recall < 0.50) as bigint) as under_50, round(avg(precision), 9) as mean_precision, {MEDIAN.format('recall', 0.5)} as median_recall, max(mb) as most_mb, {MEDIAN.format('mb', 0.5)} as median_mb, {MEDIAN.format('mb', 0.9)} as p90_mb,
+sum(seconds) as total_seconds, max(seconds) as most_seconds, {MEDIAN.format('seconds', 0.5)} as median_seconds from u group by cohort""")
 def cohort_summary(spark, d):
-    found = scoring.cohort_summary(scoring.score(*bags(spark, d), ["doc_id"]))
-    return found.withColumn("median_recall", F.round("median_recall", 9))
+    scores = scoring.score(*bags(spark, d), ["doc_id"]).withColumns({"mb": F.col("doc_id") % 97 / 2.0, "seconds": F.col("doc_id") % 13 / 8.0, "ordinary": F.col("doc_id") % 5 == 0})
+    return scoring.cohort_summary(scores).withColumn("median_recall", F.round("median_recall", 9))
 
 
 @query("select l_returnflag, list_sort(list(l_extendedprice))[cast(floor((count(*) - 1) * 0.9) as integer) + 1] as p90 from lineitem group by l_returnflag")
@@ -333,16 +369,25 @@ def percentile_floor(spark, d):
 # --- goldens ----------------------------------------------------------------------------------
 
 
-@query("select * from (values ('Eacute', 'É'), ('f_f_i', 'ffi'), ('uni20AC', '€'), ('a.sc', 'a'), ('g123', null), ('Scaron', 'Š'), ('afii10017', 'А')) as t(name, text)")
+CHARACTERS = "select distinct ch from (select unnest(string_split(text, '')) as ch from documents) where ch <> '' and unicode(ch) between 32 and 65535"
+
+
+@query(f"select printf('uni%04X.alt', unicode(ch)) as name, ch as text from ({CHARACTERS}) union all select ch || '_' || ch, ch || ch from ({CHARACTERS}) where regexp_full_match(ch, '[A-Za-z]') union all select 'g' || o_custkey || 'x', null from (select distinct o_custkey from orders)")
 def glyph_lookup(spark, d):
-    names = spark.createDataFrame([(x,) for x in ("Eacute", "f_f_i", "uni20AC", "a.sc", "g123", "Scaron", "afii10017")], "name string")
+    """Names by number, of joined letters, and names that no list has."""
+    ch = table(spark, d, "documents").select(F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).distinct()
+    ch = ch.withColumn("hex", F.hex(F.encode("ch", "UTF-16BE"))).filter("length(hex) = 4 and ch >= ' '")
+    names = ch.select(F.concat(F.lit("uni"), "hex", F.lit(".alt")).alias("name")).union(ch.filter(F.col("ch").rlike("^[A-Za-z]$")).select(F.concat_ws("_", "ch", "ch")))
+    names = names.union(table(spark, d, "orders").select("o_custkey").distinct().select(F.concat(F.lit("g"), "o_custkey", F.lit("x"))))
     return names.select("name", T.glyph_udf()("name").alias("text"))
 
 
-@query("select * from (values (0, 'שלום עולם'), (1, 'שלום?'), (2, 'Hello, world 42'), (3, 'דהו $5.00')) as t(id, text)")
+@query("select p_partkey, 'שלום ' || p_partkey || ' עולם, ' || p_size || '%' as text, 'from ' || p_name || ' to שלום, עולם and back' as mixed from part")
 def bidi_logical(spark, d):
-    rows = [(0, "םלוע םולש"), (1, "?םולש"), (2, "Hello, world 42"), (3, "$5.00 והד")]
-    return spark.createDataFrame(rows, "id int, drawn string").select("id", T.bidi_udf()("drawn").alias("text"))
+    """Lines as they lie on a page: from the right, and from the left with a stretch from the right."""
+    lies = F.concat("p_size", F.lit("% ,םלוע "), "p_partkey", F.lit(" םולש"))
+    part = table(spark, d, "part").select("p_partkey", lies.alias("lies"), F.concat(F.lit("from "), "p_name", F.lit(" to םלוע ,םולש and back")).alias("other"))
+    return part.select("p_partkey", T.bidi_udf()("lies").alias("text"), T.bidi_udf()("other").alias("mixed"))
 
 
 @query("select doc_id, nfc_normalize(replace(text, 'e', 'e' || chr(769))) as text from documents")

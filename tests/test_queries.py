@@ -56,3 +56,57 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
         shutil.copytree(source, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pdf_pages' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_ranks_of_large_groups_and_ties(spark):
+    from pyspark.sql import functions as F
+
+    from parchmill.operators import scoring
+
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("word"), F.when(F.col("id") % 3 == 0, F.col("id") % 2).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000))).cast("double").alias("_v"))
+    rows = rows.union(spark.createDataFrame([(None, 2.0), (None, 1.0), (7, None)], "word long, _v double"))
+    for p in (0.0, 0.37, 0.9, 1.0):
+        for accuracy in (100, 10_000):
+            got = {r.word: r.at for r in scoring.percentile_rank(rows, ["word"], "_v", p, "at", accuracy).collect()}
+            values = {}
+            for r in rows.collect():
+                if r["_v"] is not None:
+                    values.setdefault(r.word, []).append(r["_v"])
+            assert got == {k: sorted(v)[int((len(v) - 1) * p)] for k, v in values.items()}
+
+
+def test_page_trees(spark):
+    from parchmill.operators import lookups
+
+    rows = [(d, 0, -1, 0, "Pages", f"top {d}") for d in (1, 2)] + [(1, 1, 0, 0, "Pages", None), (1, 2, 1, 0, "Page", None), (1, 3, 1, 1, "Page", "own"), (2, 1, 0, 3, "Page", None), (1, 1, 1, 9, "Pages", None)]
+    nodes = spark.createDataFrame(rows, "node_of long, node int, parent int, place int, kind string, resources string")
+    got = sorted(tuple(r) for r in lookups.page_tree(nodes, 0, ["node_of"]).collect())
+    assert got == [(1, 2, "0/0/0", "top 1"), (1, 3, "0/0/1", "own"), (2, 1, "0/3", "top 2")]
+    assert lookups.page_tree(nodes.limit(0), 0, ["node_of"]).collect() == []
+
+
+def test_wide_ranges_touch_two_bins(spark):
+    from parchmill.operators import lookups
+
+    ranges = spark.createDataFrame([(0.0, 1e12, 3, "all"), (5.0, 6.0, 1, "small"), (-1e15, -2.0, 2, "low"), (9.0, 8.0, 0, "none")], "lo double, hi double, list_pos int, payload string")
+    codes = spark.createDataFrame([(5.5, "x"), (7.0, "y"), (-3.0, "z"), (-1.0, None), (None, "n"), (5.5, "x")], "code double, payload string")
+    got = sorted((r.code or -9, r.payload) for r in lookups.range_lookup(codes, ranges, 0.5).collect())
+    assert got == [(-9, None), (-3.0, "low"), (-1.0, None), (5.5, "small"), (5.5, "small"), (7.0, "all")]
+
+
+def test_texts_that_must_be_normalised_are(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from parchmill.functions import text as T
+    from parchmill.operators import scoring
+
+    odd = ["ﬁne ﬁne", "１２ full width", "été", "plain words", "été", None, "漢字 かな", "a²b"]
+    df = spark.createDataFrame([(t, t, i) for i, t in enumerate(odd)], "text string, word string, n int")
+    got = sorted((r.n0, r.word, r.n) for r in scoring.tokens(df.withColumnRenamed("n", "n0"), ["n0"]).collect())
+    assert (0, "fine", 2) in got and (1, "12", 1) in got and (2, "été", 1) in got and (4, "été", 1) in got and (7, "a2b", 1) in got
+    kept = "".join(chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000)
+    stable = [r.ch for r in spark.createDataFrame([(ch,) for ch in kept], "ch string").filter(T.is_normal(F.col("ch"))).collect()]
+    assert len(stable) > 20_000 and all(unicodedata.normalize("NFKC", ch) == ch and not unicodedata.combining(ch) for ch in stable)
+    assert all(unicodedata.normalize("NFKC", "".join(stable[i : i + 50])) == "".join(stable[i : i + 50]) for i in range(0, len(stable), 50))
