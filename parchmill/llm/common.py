@@ -6,8 +6,6 @@ of word bytes is a run of word characters, and no text is ever decoded to be spl
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchmill.sources import tables
+
 #: Bytes of text that are worked on at once; a longer document is a block of its own.
 BLOCK = 2 << 20
 #: Windows of an exact rank over all classes, and rows that are worth a window of their own.
@@ -22,35 +22,22 @@ WINDOWS, ROWS_A_WINDOW = 1 << 16, 1_000
 #: Rows that are worth a task of their own where rows are narrow.
 ROWS_A_TASK = 50_000
 
-_OWN_SCRATCH: list[str] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _OWN_SCRATCH:
-        _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="parchmill-"))
-    return "file://" + _OWN_SCRATCH[0]
-
-
 #: Bytes of a batch between the JVM and Python. Both sides hold a few at a time, outside the heap.
 BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of text go to Python by bytes, not by the session's 10,000 rows, which may be any size."""
+    """Rows of text go to Python by bytes, not by the session's 10,000 rows, which may be any size. The setting stays, as results are
+    read lazily; one that the session has already lowered is left alone."""
+    if 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH_BYTES:
+        return
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read again: lineage ends here."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{scratch(spark)}/parchmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return tables.stored(df)
 
 
 def partitions(spark: SparkSession) -> int:

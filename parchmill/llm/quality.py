@@ -5,13 +5,16 @@ Two generative models of hashed n-grams are counted: one of target text (labelle
 probabilities. The n-grams are words and word pairs, and words and pairs of word shapes (runs of capital and
 small letters, digits and each sign), where a word equal to the one before has a shape of its own.
 
-Selection is Gumbel top-k over the weights per n-gram, so that length alone decides nothing: noise from a hash of
-the id and the seed, times `temperature`, is added, and the k largest stay. k is given, or it is the number of
-rows at or over the threshold that parts the labelled rows at least cost. The k-th key is found exactly by counting keys in ever finer ranges; ties fall to the smaller id.
+Selection is Gumbel top-k over the weights: Gumbel noise from a hash of the id and the seed, times `temperature`, is added, and
+the k largest keys stay, which draws k rows without replacement in proportion to exp(weight / temperature). A weight counts from a
+zero per n-gram, the threshold that parts the labelled rows at least cost, so that length alone decides nothing: a long text's
+evidence outweighs the noise, and of the short ones with little evidence a part is drawn. k is given, or it is the number of rows at or over
+the threshold. The k-th key is found exactly by counting keys in ever finer ranges; ties fall to the smaller id.
 
 Target rows are a bounded sample of the labels (`most_labels`, by a hash of the id); the raw counts and the weights
 cover all rows. Null and empty texts have no n-grams: weight 0. Null labels don't count. Rows that share an
-id share its label. Without target rows every weight is 0 and all rows stay.
+id share its label. Without target rows every weight is 0 and all rows stay. An id must be a number or null. Toxic rows are no target, and
+they don't count as bad either: toxicity is not what this model tells.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from parchmill.llm.common import _BYTE, SPACED, _pow, blocks, mix, sequences, stored, words
 
 #: Buckets of hashed n-grams, labelled rows to fit by, noise scale and its seed.
-BUCKETS, MOST_LABELS, TEMPERATURE, SEED = 1 << 17, 20_000, 0.0005, 1
+BUCKETS, MOST_LABELS, TEMPERATURE, SEED = 1 << 17, 20_000, 1.0, 1
 #: Bad rows that may stay rather than lose one good row.
 COST = 10.0
 
@@ -180,15 +183,15 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = sampled_labels(labels, most_labels)
     weighed = stored(weights(docs, fit(docs, marks)))
-    if k is None:
-        of = docs.sparkSession.createDataFrame(list(marks.items()), "doc_id long, good int")
-        seen = weighed.join(F.broadcast(of), "doc_id").select("weight", "n_grams", "good").collect()  # rows of the sampled labels
-        good = np.array([r["good"] == 1 for r in seen], bool)
-        per_gram = np.array([r["weight"] / max(1, r["n_grams"]) for r in seen])
-        cut = threshold(per_gram, good, cost)
-    rate = F.col("weight") / F.greatest(F.col("n_grams"), F.lit(1))
+    of = docs.sparkSession.createDataFrame(list(marks.items()), "doc_id long, good int")
+    # Rows that share an id share a label; one of each is enough to set the threshold by, so at most `most_labels` rows come.
+    first = F.min(F.struct(F.xxhash64("weight", "n_grams"), "weight", "n_grams")).alias("r")
+    seen = weighed.join(F.broadcast(of), "doc_id").groupBy("doc_id", "good").agg(first).select("r.weight", "r.n_grams", "good").collect()
+    good = np.array([r["good"] == 1 for r in seen], bool)
+    cut = threshold(np.array([r["weight"] / max(1, r["n_grams"]) for r in seen]), good, cost)
+    above = F.col("weight") - F.lit(cut if np.isfinite(cut) else 0.0) * F.col("n_grams")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = stored(weighed.withColumn("key", rate + F.lit(temperature) * -F.log(-F.log(uniform))))
+    keyed = stored(weighed.withColumn("key", above + F.lit(temperature) * -F.log(-F.log(uniform))))
     if k is None:
-        k = keyed.filter(rate >= F.lit(cut)).count() if np.isfinite(cut) else keyed.count()
+        k = keyed.filter(above >= 0).count() if np.isfinite(cut) else keyed.count()
     return top_k(keyed, k)

@@ -7,6 +7,7 @@ from helpers import ODD, alnum, spaced
 from pyspark.sql import functions as F
 
 from parchmill.llm import common
+from parchmill.sources import tables
 
 
 @pytest.mark.parametrize(("table", "split"), [(common.SPACED, spaced), (common.ALNUM, alnum)])
@@ -62,10 +63,17 @@ def test_grams_stay_in_their_document():
 
 def test_the_shared_folder_is_read_from_the_session(spark):
     class Session:
-        def __init__(self, named):
-            self.conf = {"spark.checkpoint.dir": named} if named else {}
+        def __init__(self, **conf):
+            self.conf = conf
 
-    assert common.scratch(Session("hdfs://shared/x")) == "hdfs://shared/x"
-    assert common.scratch(Session(None)).startswith("file://")
-    files = common.stored(spark.range(5)).inputFiles()
-    assert files and all(common.scratch(spark).removeprefix("file://") in f for f in files)
+    assert tables.scratch(Session(**{"spark.checkpoint.dir": "hdfs://shared/x"})) == "hdfs://shared/x"
+    assert tables.scratch(Session(**{"spark.master": "local[4]"})).startswith("file:///")
+    with pytest.raises(ValueError):
+        tables.scratch(Session(**{"spark.master": "spark://host:7077"}))
+
+
+def test_stored_tables_are_dropped(spark):
+    kept = common.stored(spark.range(5))
+    assert kept.count() == 5 and tables.drop_stored(spark) > 0
+    with pytest.raises(Exception):
+        kept.count()

@@ -1,5 +1,5 @@
 import numpy as np
-from helpers import ODD, frame, real
+from helpers import ODD, frame, real, spaced
 
 from parchmill.llm import quality
 
@@ -17,6 +17,63 @@ def test_held_out_labels(spark):
     assert len(good) > 1000 and np.mean(good) > 0.998
 
 
+def brute(docs, marks, cost, seed=quality.SEED):
+    """The whole selection by plain loops: models, weights, threshold, keys and the k largest."""
+    import math
+
+    def grams(text):
+        w = spaced(text)
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        h, s, e, _ = quality.words(data, np.array([0, len(data)]), quality.SPACED)
+        shape = [int(x) for x in quality.shapes(data, s, e)]
+        shape = [x ^ int(quality.AGAIN) if i and w[i] == w[i - 1] else x for i, x in enumerate(shape)]
+        m, mix = (1 << 64) - 1, lambda x: int(quality.mix(np.array([x & ((1 << 64) - 1)], np.uint64))[0])
+        h = [int(x) for x in h]
+        found = [*h, *(mix(3 * a + b) for a, b in zip(h, h[1:], strict=False)), *(mix(x + 1) for x in shape), *(mix(5 * a + b) for a, b in zip(shape, shape[1:], strict=False))]
+        return [(x & m) >> 40 for x in found]
+
+    bags = [[g % quality.BUCKETS for g in grams(t)] for _, t in docs]
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for (i, _), bag in zip(docs, bags, strict=True):
+        for g in bag:
+            raw[g] += 1
+            target[g] += marks.get(i) == 1
+    share = (raw + 1) / (raw.sum() + len(raw))
+    mass = 0.02 * target.sum() + 1
+    weight = [round(sum(math.log((target[g] + mass * share[g]) / (target.sum() + mass)) - math.log(share[g]) for g in bag), 6) for bag in bags]
+    rates = sorted((w / max(1, len(bag)), marks[i]) for (i, _), bag, w in zip(docs, bags, weight, strict=True) if i in marks)
+    best = min(range(len(rates) + 1), key=lambda at: cost * sum(g for _, g in rates[:at]) + sum(not g for _, g in rates[at:]))
+    cut = (rates[best - 1][0] + rates[best][0]) / 2
+    return {i: (len(bag), w, w - cut * len(bag)) for (i, _), bag, w in zip(docs, bags, weight, strict=True)}
+
+
+def test_selection_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = real(spark, 250).select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    marks = quality.sampled_labels(labels, 20_000)
+    rows = quality.select(docs, labels).collect()
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], {i: g for i, g in marks.items() if i in {r.doc_id for r in rows}}, quality.COST)
+    u = {r.doc_id: r.u for r in docs.select("doc_id", ((F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))).alias("u")).collect()}
+    keys = {i: above - np.log(-np.log(u[i])) for i, (_, _, above) in want.items()}
+    k = sum(above >= 0 for _, _, above in want.values())
+    kept = set(sorted(keys, key=lambda i: (-keys[i], i))[:k])
+    assert 0 < k < len(rows)
+    for r in rows:
+        n, w, _ = want[r.doc_id]
+        assert r.n_grams == n and abs(r.weight - w) < 1e-5 and abs(r.key - keys[r.doc_id]) < 1e-4 and r.kept == (r.doc_id in kept)
+
+
+def test_noise_draws_in_proportion(spark):
+    """Rows of little evidence are drawn, rows of much are not left to chance."""
+    good = [f"clean words of an ordinary kind number {i % 7} here" for i in range(400)]
+    bad = ["zzq 9x9 ;;;; qqq"] * 100
+    docs = frame(spark, [*good, *bad, *["clean"] * 300])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(i, 0, 0) for i in range(400, 450)], "doc_id long, quality int, toxic int")
+    cold, warm = ({r.doc_id for r in quality.select(docs, labels, k=600, temperature=t).filter("kept").collect()} for t in (1e-9, 50.0))
+    assert not cold & set(range(400, 500)) and len(warm & set(range(400, 500))) > 10
+
+
 def test_words_of_one_shape_share_a_hash():
     def shape(text):
         data = np.frombuffer(text.encode(), np.uint8)

@@ -21,18 +21,52 @@ def brute(sizes, capacity):
     return out
 
 
+def bins(counts, plan):
+    """The bin of each group, the largest size first, in the order of ranks."""
+    out = []
+    for size in sorted(counts, reverse=True):
+        at = [None] * counts[size]
+        for lo, hi, first, each in plan[size]:
+            for r in range(lo, hi):
+                assert at[r] is None
+                at[r] = first + (r - lo) // each
+        assert None not in at
+        out += at
+    return out
+
+
 def test_best_fit_matches_brute_force():
+    """Groups of a size are alike, so bins are the same up to the order of bins that are alike."""
     rng = random.Random(5)
-    for _ in range(60):
-        sizes = sorted((rng.randint(1, 50) for _ in range(rng.randint(0, 60))), reverse=True)
+    for _ in range(200):
+        counts = {rng.randint(1, 50): rng.randint(1, 9) for _ in range(rng.randint(0, 25))}
+        sizes = sorted((s for s, n in counts.items() for _ in range(n)), reverse=True)
         capacity = rng.randint(20, 90)
-        assert sharding.best_fit(sizes, capacity) == brute(sizes, capacity)
+        got, want = bins(counts, sharding.best_fit_decreasing(counts, capacity)), brute(sizes, capacity)
+
+        def contents(b):
+            held = {}
+            for s, i in zip(sizes, b, strict=True):
+                held.setdefault(i, []).append(s)
+            return sorted(held.values())
+
+        assert contents(got) == contents(want) and sorted(set(got)) == list(range(len(set(want))))
+        n = len(set(want))
+        assert n == 0 or sharding.best_fit_decreasing(counts, capacity, n) is not None and sharding.best_fit_decreasing(counts, capacity, n - 1) is None
+
+
+@pytest.mark.parametrize("counts", [{}, {5: 1}, {100: 1, 1: 3}, {7: 10}, {50: 1, 40: 1, 3: 1, 2: 1, 1: 2}, {100: 3, 1: 1}, {9: 4}, {9: 5}])
+def test_even_uses_no_more_shards_than_asked(counts):
+    got = bins(counts, sharding.even(counts, 4)) if counts else []
+    assert len(got) == sum(counts.values()) and all(0 <= b < 4 for b in got)
+
 
+def test_sizes_are_rounded_up_a_little(spark):
+    from pyspark.sql import functions as F
 
-@pytest.mark.parametrize("sizes", [[], [5], [100, 1, 1, 1], [7] * 10, [50, 40, 3, 2, 1, 1]])
-def test_even_uses_no_more_shards_than_asked(sizes):
-    got = sharding.even(sizes, 4)
-    assert len(got) == len(sizes) and all(0 <= b < 4 for b in got)
+    sizes = [1, 8, 32767, 32768, 32769, 65535, 65536, 65537, 99_999_999, 2**40 + 1]
+    got = [r.x for r in spark.createDataFrame([(s,) for s in sizes], "s long").select(sharding.rounded(F.col("s")).alias("x")).collect()]
+    assert got[:4] == sizes[:4] and all(s <= x < s * (1 + 2 / sharding.EXACT) for s, x in zip(sizes, got, strict=True))
 
 
 def check(docs, rows, n):
