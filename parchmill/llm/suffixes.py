@@ -7,15 +7,16 @@ A suffix array of every position would move many times the input. This one is sp
 of each SPAN-byte string the position of the least hash of its K-byte grams is an anchor, so equal strings
 have anchors at equal places, and only the suffixes at anchors are entries.
 
-1. Each anchor gets a key: the first bytes of its suffix, then a hash of its first K bytes. Splitters sampled
-   from the keys range-partition the entries, and in each part a multikey sort (by key; ties by the rest of
-   the hash, by a hash of all bytes that a string with this anchor can reach, by place) puts equal suffixes side
-   by side. An entry whose whole reach occurs earlier is covered whole. What differs within a key is left over.
-2. The left-over entries (one of each reach, the earliest) come back with the bytes of their reach, are
-   partitioned by splitters of their own, and sorted once for each offset that a string can have from its
-   anchor: entries with the same SPAN bytes at that offset are neighbours, and all but the earliest are repeats.
-   Keys never lie across a border, as a splitter is a key; keys with more than MOST_IN_KEY entries are not held
-   in one task but compared string by string through a grouped minimum.
+1. Entries that are alike become one. Each anchor gets a key: the first bytes of its suffix, then a hash of its first K bytes; splitters
+   sampled from the keys range-partition the entries, and in each part those of equal key, rest of the hash and hash of all
+   bytes that a string with this anchor can reach (112 bits together) lie side by side. All but the earliest of them
+   are covered whole. An entry whose first K bytes occur with no other reach is done with. A task does the same with its own
+   entries before it deals them out, so a passage found in every document is dealt once a task.
+2. The entries that are left over come back with the bytes of their reach. Splitters sampled from their suffixes range-partition
+   them by their leading bytes, and each part sorts its suffixes by multikey quicksort, and likewise the bytes
+   before the anchors, backwards. Common prefixes of neighbours, compared byte by byte, say which entries agree in which strings;
+   all but the earliest are repeats. A string that agrees with a border of its part up to its end can also lie beyond it:
+   the earliest of each such string in each part are compared across the borders.
 
 Null text is empty. Texts under SPAN bytes have no such strings. Where ids repeat or are null, the rows of an
 id are ordered by their text's hash and are separate texts; nulls come first.
@@ -38,7 +39,7 @@ SPAN, K = 100, 36
 #: Anchors lie up to this many bytes after the start of their string.
 REACH = SPAN - K
 #: Bytes of text worth a part of the first sort, left-over entries worth a part of the second.
-PART_BYTES, PART_ENTRIES = 16 << 20, 20_000
+PART_BYTES, PART_ENTRIES = 16 << 20, 40_000
 #: Bytes of text that a task sorts into parts together.
 TOGETHER = 8 << 20
 #: Bytes of a text that are hashed at once.
@@ -47,7 +48,8 @@ CHUNK = 1 << 20
 SAMPLE_ROWS, SAMPLE_KEYS = 2_000, 50_000
 #: Touched texts whose ids may be broadcast (8 bytes each); beyond, they are joined.
 MOST_IDS = 500_000
-MOST_IN_KEY = 100_000
+#: Suffixes that multikey quicksort leaves to a plain sort of the rest of their words.
+FEW = 48
 
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -167,26 +169,37 @@ def splitters(sample: np.ndarray, parts: int) -> np.ndarray:
 
 
 def in_parts(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """work(payload buffers of one part) -> batches, for each part of (part, payload)."""
+    """work(part, payload buffers) -> batches, for each part of (part, payload); rows (id, places) without a payload are passed on as covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
+            if batch.column(1).null_count:
+                done, batch = batch.filter(batch.column(1).is_null()), batch.filter(batch.column(1).is_valid())
+                yield pa.RecordBatch.from_arrays([done.column(2), pa.array(np.zeros(done.num_rows, np.int32)), done.column(3)], ["id", "kind", "places"])
             for part, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if part != now and held:
-                    yield from work(held)
+                    yield from work(now, held)
                     held = []
                 now = part
                 held.append(x.as_buffer())
         if held:
-            yield from work(held)
+            yield from work(now, held)
 
     n = partitions(rows.sparkSession)
     return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
+def places_of(i: np.ndarray, a: np.ndarray, kind: int) -> pa.RecordBatch:
+    by = np.lexsort((a, i))
+    i, a = i[by], a[by]
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    ends = np.append(first, len(i)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(i[first]), pa.array(np.full(len(first), kind, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(a.astype(np.int32)))], ["id", "kind", "places"])
+
+
 def first_sort(payloads: list) -> Iterator[pa.RecordBatch]:
-    """Of one part: (doc_id, kind, places): kind 0, covered whole; 1, left over; and the number of entries of the key of those."""
+    """Of one part: (doc_id, kind, places): kind 0, covered whole; 1, left over."""
     got = [unparcel(x) for x in payloads]
     payloads.clear()
     ids = np.concatenate([x[0] for x in got])
@@ -211,18 +224,8 @@ def first_sort(payloads: list) -> Iterator[pa.RecordBatch]:
     kinds = np.bincount(number, new_reach)
     left = new_reach & (kinds[number] > 1)
     for kind, use in ((0, ~new_reach), (1, left)):
-        i, a = ids[use], at[use]
-        if not len(i):
-            continue
-        by = np.lexsort((a, i))
-        i, a = i[by], a[by]
-        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-        ends = np.append(first, len(i)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(i[first]), pa.array(np.full(len(first), kind, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(a.astype(np.int32)))], ["id", "kind", "places"])
-    hot = np.flatnonzero(kinds > MOST_IN_KEY)
-    if len(hot):  # at most entries / MOST_IN_KEY rows: id carries the key
-        firsts = np.flatnonzero(new_group)[hot]
-        yield pa.RecordBatch.from_arrays([pa.array(key[firsts].view(np.int64)), pa.array(np.full(len(hot), 2, np.int32)), pa.ListArray.from_arrays(pa.array(np.zeros(len(hot) + 1, np.int32)), pa.array([], pa.int32()))], ["id", "kind", "places"])
+        if use.any():
+            yield places_of(ids[use], at[use], kind)
 
 
 WIDE = REACH + SPAN
@@ -239,44 +242,98 @@ def with_reach(doc: int, data: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def left_keys(e: np.ndarray) -> np.ndarray:
-    flat = np.ascontiguousarray(e["reach"][:, REACH : REACH + K])
-    h = gram_hashes(flat.ravel())[:: K] if len(e) else np.zeros(0, np.uint64)
-    return keys(flat.ravel(), np.arange(len(e)) * K, h)
+def suffixes(e: np.ndarray) -> np.ndarray:
+    """The bytes from each anchor on, as one sortable value: zeros beyond the text."""
+    return np.ascontiguousarray(e["reach"][:, REACH:]).view(f"S{SPAN}").ravel()
+
+
+def as_words(columns: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of big-endian words of eight, which compare as the bytes do."""
+    width = -(-columns.shape[1] // 8) * 8
+    full = np.zeros((len(columns), width), np.uint8)
+    full[:, : columns.shape[1]] = columns
+    return full.view(">u8").astype(np.uint64)
+
+
+def multikey_order(columns: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes by multikey quicksort: rows are parted in three by a pivot's word, and those equal in it go on
+    with the next word; a few rows are sorted by what is left of them."""
+    words = as_words(columns)
+    out, at = np.empty(len(words), np.int64), 0
+    todo = [(np.arange(len(words)), 0)]
+    while todo:
+        rows, depth = todo.pop()
+        if len(rows) <= FEW or depth == words.shape[1]:
+            if depth < words.shape[1] and len(rows) > 1:
+                rows = rows[np.lexsort(words[rows, depth:].T[::-1])]
+            out[at : at + len(rows)] = rows
+            at += len(rows)
+            continue
+        x = words[rows, depth]
+        some = np.sort(x[:: max(1, len(x) // 99)])
+        pivot = some[len(some) // 2]
+        less, more = x < pivot, x > pivot
+        todo += [(part, d) for part, d in ((rows[more], depth), (rows[~(less | more)], depth + 1), (rows[less], depth)) if len(part)]
+    return out
+
 
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes the rows of a and b have in common from their start on."""
+    differ = a != b
+    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
-def string_hashes(e: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each offset of a string from its anchor: the offset, the hashes of the SPAN bytes there, and which entries have them."""
-    base = np.uint64(0x100000001B3)
-    total, early = np.zeros(len(e), np.uint64), []
-    top = np.uint64(pow(0x100000001B3, SPAN, 1 << 64))
-    for j in range(WIDE + 1):
-        if j <= REACH:
-            early.append(total.copy())
-        if j >= SPAN:
-            r = j - SPAN
-            offset = r - REACH
-            yield offset, mix(total - early[r] * top), (e["before"] >= -offset) & (e["after"] >= SPAN + offset)
-            early[r] = None
-        if j < WIDE:
-            total = total * base + _BYTE[e["reach"][:, j]]
 
+class Agreement:
+    """Which rows of bytes agree in their first n bytes, for any n: neighbours in their order, and what these have in common."""
 
-def second_sort(payloads: list) -> Iterator[pa.RecordBatch]:
-    """Of one part of left-over entries: (id, spans): start and end of what its repeated strings cover."""
+    def __init__(self, columns: np.ndarray) -> None:
+        self.order = multikey_order(columns)
+        now = columns[self.order]
+        self.shared = common_prefix(now[1:], now[:-1])
+
+    def classes(self, n: int) -> np.ndarray:
+        """A number for each row; rows of one number agree in n bytes."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.concatenate([[0], np.cumsum(self.shared < n)])
+        return out
+
+
+def second_sort(payloads: list, borders: tuple[bytes, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Of one part of left-over entries: (id, spans, string, start): start and end of what its repeated strings cover; and the
+    earliest of each string that may also lie beyond one of the part's borders."""
     e = np.concatenate([np.frombuffer(x, LEFT) for x in payloads])
     payloads.clear()
     e = e[np.lexsort((e["at"], e["id"]))]
+    ahead, behind = Agreement(e["reach"][:, REACH:]), Agreement(e["reach"][:, :REACH][:, ::-1])
+    beyond = np.zeros(len(e), np.int64)
+    for border in borders:
+        beyond = np.maximum(beyond, common_prefix(e["reach"][:, REACH:], np.frombuffer(border.ljust(SPAN, b"\0"), np.uint8)[None, :]))
     low, high = np.full(len(e), 1 << 20), np.full(len(e), -(1 << 20))
-    for offset, h, ok in string_hashes(e):
-        have = np.flatnonzero(ok)
-        order = np.argsort(h[have], kind="stable")  # equal strings stay in the order of their places
-        hs = h[have][order]
-        repeat = have[order[1:][hs[1:] == hs[:-1]]]
-        low[repeat] = np.minimum(low[repeat], offset)
-        high[repeat] = np.maximum(high[repeat], offset)
+    open_: list[tuple[np.ndarray, int]] = []
+    for before in range(REACH + 1):  # strings that begin so many bytes before their anchor
+        have = np.flatnonzero((e["before"] >= before) & (e["after"] >= SPAN - before))
+        which = ahead.classes(SPAN - before)[have] * len(e) + behind.classes(before)[have]
+        order = np.argsort(which, kind="stable")  # equal strings stay in the order of their places
+        first = np.ones(len(order), bool)
+        first[1:] = which[order[1:]] != which[order[:-1]]
+        repeat = have[order[~first]]
+        low[repeat] = np.minimum(low[repeat], -before)
+        high[repeat] = np.maximum(high[repeat], -before)
+        first = have[order[first]]
+        open_.append((first[beyond[first] >= SPAN - before], before))
     hit = high >= low
-    yield spans_of(e["id"][hit], e["at"][hit].astype(np.int64) + low[hit], e["at"][hit].astype(np.int64) + high[hit] + SPAN)
+    spans = spans_of(e["id"][hit], e["at"][hit].astype(np.int64) + low[hit], e["at"][hit].astype(np.int64) + high[hit] + SPAN)
+    yield _found(spans.column(0), spans.column(1), None, None)
+    for first, before in open_:
+        if len(first):
+            text = np.ascontiguousarray(e["reach"][first, REACH - before : REACH - before + SPAN])
+            strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SPAN), len(first), [None, pa.py_buffer(text.tobytes())]).cast(pa.binary())
+            yield _found(pa.array(e["id"][first]), pa.nulls(len(first), pa.list_(pa.int32())), strings, pa.array(e["at"][first].astype(np.int32) - np.int32(before)))
+
+
+def _found(ids: pa.Array, spans: pa.Array, strings: pa.Array | None, starts: pa.Array | None) -> pa.RecordBatch:
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([ids, spans, pa.nulls(n, pa.binary()) if strings is None else strings, pa.nulls(n, pa.int32()) if starts is None else starts], ["id", "spans", "string", "start"])
 
 
 def spans_of(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -343,48 +400,61 @@ def find(rows: DataFrame) -> DataFrame:
         if not sum(map(len, held)):
             return
         e, ids = np.concatenate(held), np.array(ids, np.int64)
+        # Alike entries of a task: the earliest goes on, and the others only as places that are covered.
+        e = e[np.lexsort((e["at"], ids[e["doc"]], e["reach"], e["reach_hi"], e["rest"], e["key"]))]
+        alike = np.concatenate([[False], np.logical_and.reduce([e[c][1:] == e[c][:-1] for c in ("key", "rest", "reach_hi", "reach")])])
+        covered, e = e[alike], e[~alike]
         part = np.searchsorted(cuts, e["key"], "right")
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(len(cuts) + 2))
+        bounds = np.searchsorted(part, np.arange(len(cuts) + 2))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([parcel(ids, e[order[bounds[k] : bounds[k + 1]]])], pa.binary())], ["part", "payload"])
-
-    sorted_once = stored(in_parts(rows.mapInArrow(deal, "part int, payload binary"), first_sort, "id long, kind int, places array<int>"))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([parcel(ids, e[bounds[k] : bounds[k + 1]])], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], DEALT)
+        if len(covered):
+            done = places_of(ids[covered["doc"]], covered["at"], 0)
+            n = done.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32) % (len(cuts) + 1)), pa.nulls(n, pa.binary()), done.column(0), done.column(2)], DEALT)
+
+    DEALT = ["part", "payload", "id", "places"]
+    entries = rows.mapInArrow(deal, "part int, payload binary, id long, places array<int>")
+    sorted_once = stored(in_parts(entries, lambda part, held: first_sort(held), "id long, kind int, places array<int>"))
     whole = sorted_once.filter("kind = 0").select("id", "places", F.array().cast("array<int>").alias("spans"))
     left = sorted_once.filter("kind = 1").groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
     n_left = sorted_once.filter("kind = 1").agg(F.sum(F.size("places"))).first()[0] or 0
     if not n_left:
         return whole
-    hot = np.array([r[0] for r in sorted_once.filter("kind = 2").select("id").collect()], np.int64).view(np.uint64)
     left = stored(left)
     texts = rows.join(F.broadcast(left) if left.count() <= MOST_IDS and n_left <= 8 * MOST_IDS else left, "id")
     parts = -(-n_left // PART_ENTRIES)
-    # The keys of left-over entries are dealt as those of all entries: the splitters of the first sort are refined by their own sample.
-    entries = stored(texts.mapInArrow(_reached, "key long, payload binary"))
-    step = -(-n_left // SAMPLE_KEYS)
+    entries = stored(texts.mapInArrow(_reached, "payload binary"))
+    share = min(1.0, SAMPLE_KEYS / n_left)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = np.concatenate([np.frombuffer(x.as_buffer(), LEFT) for x in batch.column("payload")])
-            yield pa.RecordBatch.from_arrays([pa.array(left_keys(e[::step]).view(np.int64))], ["key"])
+            for x in batch.column("payload"):
+                e = np.frombuffer(x.as_buffer(), LEFT)
+                chosen = np.random.default_rng(int(e["id"][0]) & 0xFFFFFFFF).random(len(e)) < share
+                yield pa.RecordBatch.from_arrays([pa.array(suffixes(e[chosen]).tolist(), pa.binary())], ["key"])
 
-    sample = [r[0] & (1 << 64) - 1 for r in entries.mapInArrow(keyed, "key long").collect()] if parts > 1 else []  # about SAMPLE_KEYS rows
-    fine = splitters(np.array(sample, np.uint64), parts)
+    sample = np.array([bytes(r[0]) for r in entries.mapInArrow(keyed, "key binary").collect()] if parts > 1 else [], f"S{SPAN}")  # about SAMPLE_KEYS rows
+    fine = splitters(sample, parts)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = np.concatenate([np.frombuffer(x.as_buffer(), LEFT) for x in batch.column("payload")])
-            key = left_keys(e)
-            e, key = (e[~np.isin(key, hot)], key[~np.isin(key, hot)]) if len(hot) else (e, key)
-            part = np.searchsorted(fine, key, "right")
+            part = np.searchsorted(fine, suffixes(e), "right")
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(len(fine) + 2))
             some = np.flatnonzero(np.diff(bounds))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([e[order[bounds[k] : bounds[k + 1]]].tobytes() for k in some.tolist()], pa.binary())], ["part", "payload"])
 
-    found = in_parts(entries.mapInArrow(again, "part int, payload binary"), second_sort, "id long, spans array<int>")
-    if len(hot):
-        found = found.unionByName(_string_by_string(entries, hot))
+    def in_order(part: int, held: list) -> Iterator[pa.RecordBatch]:
+        return second_sort(held, tuple(bytes(x) for x in fine[max(0, part - 1) : part + 1]))
+
+    found = stored(in_parts(entries.mapInArrow(again, "part int, payload binary"), in_order, "id long, spans array<int>, string binary, start int"))
+    # Across the borders: of each string the earliest of all parts stays, those of other parts are repeats.
+    edges = found.filter("string is not null").select("string", "id", "start")
+    first = edges.groupBy("string").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = edges.join(first, "string").filter("struct(id, start) > first").groupBy("id").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.lit(SPAN)))).alias("spans"))
+    found = found.filter("string is null").select("id", "spans").unionByName(later)
     return whole.unionByName(found.select("id", F.array().cast("array<int>").alias("places"), "spans"))
 
 
@@ -395,27 +465,10 @@ def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, doc in enumerate(batch.column("id").to_pylist()):
             held.append(with_reach(doc, data[off[d] : off[d + 1]], np.array(batch.column("places")[d].as_py(), np.int64)))
         if sum(map(len, held)) >= 4096:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["key", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], ["payload"])
             held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["key", "payload"])
-
-
-def _string_by_string(entries: DataFrame, hot: np.ndarray) -> DataFrame:
-    """The way for keys of very many entries: the earliest place of each string by a grouped minimum."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("payload"):
-                e = np.frombuffer(x.as_buffer(), LEFT)
-                e = e[np.isin(left_keys(e), hot)]
-                for offset, h, ok in string_hashes(e):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(e["id"][ok]), pa.array(e["at"][ok].astype(np.int32) + np.int32(offset))], ["string", "id", "start"])
-
-    each = entries.mapInArrow(strings, "string long, id long, start int")
-    first = each.groupBy("string").agg(F.min(F.struct("id", "start")).alias("first"))
-    again = each.join(first, "string").filter("struct(id, start) > first").select("id", "start").distinct()
-    return again.groupBy("id").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + F.lit(SPAN)))).alias("spans"))
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], ["payload"])
 
 
 def remove_repeats(docs: DataFrame, make: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str, kinds: list[pa.DataType], keep: list[str] | None = None) -> DataFrame:

@@ -56,30 +56,69 @@ def test_passages(spark, seed, monkeypatch):
     check(spark, made(seed, 150))
 
 
-def test_small_parts_and_very_frequent_keys(spark, monkeypatch):
+def test_many_small_parts(spark, monkeypatch):
+    """Parts of a few entries, so that the strings of most passages lie across borders."""
     monkeypatch.setattr(suffixes, "PART_BYTES", 10_000)
-    monkeypatch.setattr(suffixes, "PART_ENTRIES", 50)
+    monkeypatch.setattr(suffixes, "PART_ENTRIES", 7)
     monkeypatch.setattr(suffixes, "MOST_IDS", 3)
+    monkeypatch.setattr(suffixes, "TOGETHER", 4_000)
     check(spark, made(5, 120))
-    hot = np.unique(suffixes.keys(*(lambda d: (d, *suffixes.anchors(d, np.array([0, len(d)]))))(np.frombuffer("".join(made(5, 120)).encode(), np.uint8))))
-    assert len(hot)
-
-
-def test_string_by_string_equals_the_second_sort(spark):
-    texts = made(9, 80)
-    entries = []
-    for i, t in enumerate(texts):
-        d = np.frombuffer(t.encode(), np.uint8)
-        p, _ = suffixes.anchors(d, np.array([0, len(d)]))
-        entries.append(suffixes.with_reach(i, d, p))
-    e = np.concatenate(entries)
-    payload = spark.createDataFrame([(0, bytearray(e.tobytes()))], "key long, payload binary")
-    other = {r.id: r.spans for r in suffixes._string_by_string(payload, np.unique(suffixes.left_keys(e))).collect()}
-    (one,) = suffixes.second_sort([e.tobytes()])
-    same = dict(zip(one.column(0).to_pylist(), one.column(1).to_pylist(), strict=True))
-    assert set(same) == set(other)
-    for i, spans in same.items():
-        assert suffixes.merged(1 << 20, [], [np.array(spans)]) == suffixes.merged(1 << 20, [], [np.array(other[i])])
+
+
+def test_a_passage_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PART_BYTES", 20_000)
+    monkeypatch.setattr(suffixes, "PART_ENTRIES", 25)
+    rng = random.Random(8)
+    common = "".join(rng.choices("abcdefgh ", k=180))
+    texts = ["".join(rng.choices("xyz ", k=rng.randint(0, 90))) + common[rng.choice([0, 0, 0, 20, 70]) :] + "".join(rng.choices("xyz ", k=rng.randint(0, 90))) for _ in range(250)]
+    check(spark, texts)
+
+
+def test_multikey_quicksort_sorts_bytes():
+    rng = np.random.default_rng(4)
+    for n, width, letters in ((0, 100, 2), (1, 100, 2), (500, 100, 2), (3000, 100, 256), (2000, 64, 1), (4000, 13, 3)):
+        rows = rng.integers(0, letters, (n, width)).astype(np.uint8)
+        if n > 100:
+            rows[: n // 2] = rows[rng.integers(0, 20, n // 2)]
+            rows[: n // 2, -1] = rng.integers(0, 3, n // 2)
+        order = suffixes.multikey_order(rows)
+        assert sorted(order.tolist()) == list(range(n))
+        assert [bytes(r) for r in rows[order]] == sorted(bytes(r) for r in rows)
+        if n:
+            agree = suffixes.Agreement(rows)
+            for m in (0, 1, width // 2, width):
+                of = {}
+                for r, c in zip(rows, agree.classes(m).tolist(), strict=True):
+                    of.setdefault(c, set()).add(bytes(r[:m]))
+                assert all(len(x) == 1 for x in of.values()) and len(of) == len({bytes(r[:m]) for r in rows})
+
+
+def test_borders_lose_nothing():
+    """The entries of a part, and the same cut in two at any suffix and compared across the border, give the same spans."""
+    texts = made(9, 60)
+    e = np.concatenate([suffixes.with_reach(i, d, suffixes.anchors(d, np.array([0, len(d)]))[0]) for i, t in enumerate(texts) for d in [np.frombuffer(t.encode(), np.uint8)]])
+
+    def run(parts, borders):
+        spans, strings = {}, {}
+        for part, own in zip(parts, borders, strict=True):
+            if not len(part):
+                continue
+            for batch in suffixes.second_sort([part.tobytes()], own):
+                for i, sp, string, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if string is None:
+                        spans.setdefault(i, []).extend(sp)
+                    else:
+                        strings.setdefault(string, []).append((i, start))
+        for places in strings.values():
+            for i, start in sorted(places)[1:]:
+                spans.setdefault(i, []).extend([start, start + 100])
+        return {i: suffixes.merged(1 << 20, [], [np.array(x)]) for i, x in spans.items() if x}
+
+    want = run([e], [()])
+    keys = suffixes.suffixes(e)
+    for cut in np.sort(keys)[:: max(1, len(keys) // 25)]:
+        low = keys < cut
+        assert run([e[low], e[~low]], [(bytes(cut),), (bytes(cut),)]) == want
 
 
 def test_odd_texts(spark):
