@@ -15,8 +15,9 @@ have anchors at equal places, and only the suffixes at anchors are entries.
 2. The entries that are left over come back with the bytes of their reach. Splitters sampled from their suffixes range-partition
    them by their leading bytes, and each part sorts its suffixes by multikey quicksort, and likewise the bytes
    before the anchors, backwards. Common prefixes of neighbours, compared byte by byte, say which entries agree in which strings;
-   all but the earliest are repeats. A string that agrees with a border of its part up to its end can also lie beyond it:
-   the earliest of each such string in each part are compared across the borders.
+   all but the earliest are repeats. Borders lie between suffixes that differ in their first K bytes, unless more than a part's worth
+   begin alike. A string that agrees with such a border up to its end can also lie beyond it: the earliest of each such string in each
+   part are compared across the borders.
 
 Null text is empty. Texts under SPAN bytes have no such strings. Where ids repeat or are null, the rows of an
 id are ordered by their text's hash and are separate texts; nulls come first.
@@ -168,6 +169,14 @@ def splitters(sample: np.ndarray, parts: int) -> np.ndarray:
     return np.unique(sample[np.arange(1, parts) * len(sample) // parts]) if len(sample) else sample
 
 
+def borders(sample: np.ndarray, parts: int) -> np.ndarray:
+    """The same for suffixes. A border is K bytes long, so that nothing agrees across it, but within suffixes that begin alike and fill
+    more than a part."""
+    sample = np.sort(sample)
+    full = [bytes(x) for x in sample[np.arange(1, parts) * len(sample) // parts]] if len(sample) else []
+    return np.unique(np.array([x if i and full[i - 1][:K] == x[:K] else x[:K] for i, x in enumerate(full)], f"S{SPAN}"))
+
+
 def in_parts(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
     """work(part, payload buffers) -> batches, for each part of (part, payload); rows (id, places) without a payload are passed on as covered."""
 
@@ -411,9 +420,9 @@ def find(rows: DataFrame) -> DataFrame:
         if len(covered):
             done = places_of(ids[covered["doc"]], covered["at"], 0)
             n = done.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32) % (len(cuts) + 1)), pa.nulls(n, pa.binary()), done.column(0), done.column(2)], DEALT)
+            yield pa.RecordBatch.from_arrays([pa.array((len(cuts) + 1 + np.arange(n) % tasks).astype(np.int32)), pa.nulls(n, pa.binary()), done.column(0), done.column(2)], DEALT)
 
-    DEALT = ["part", "payload", "id", "places"]
+    DEALT, tasks = ["part", "payload", "id", "places"], partitions(spark)
     entries = rows.mapInArrow(deal, "part int, payload binary, id long, places array<int>")
     sorted_once = stored(in_parts(entries, lambda part, held: first_sort(held), "id long, kind int, places array<int>"))
     whole = sorted_once.filter("kind = 0").select("id", "places", F.array().cast("array<int>").alias("spans"))
@@ -435,7 +444,7 @@ def find(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(suffixes(e[chosen]).tolist(), pa.binary())], ["key"])
 
     sample = np.array([bytes(r[0]) for r in entries.mapInArrow(keyed, "key binary").collect()] if parts > 1 else [], f"S{SPAN}")  # about SAMPLE_KEYS rows
-    fine = splitters(sample, parts)
+    fine = borders(sample, parts)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -447,7 +456,7 @@ def find(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([e[order[bounds[k] : bounds[k + 1]]].tobytes() for k in some.tolist()], pa.binary())], ["part", "payload"])
 
     def in_order(part: int, held: list) -> Iterator[pa.RecordBatch]:
-        return second_sort(held, tuple(bytes(x) for x in fine[max(0, part - 1) : part + 1]))
+        return second_sort(held, tuple(x for x in map(bytes, fine[max(0, part - 1) : part + 1]) if len(x) > K))
 
     found = stored(in_parts(entries.mapInArrow(again, "part int, payload binary"), in_order, "id long, spans array<int>, string binary, start int"))
     # Across the borders: of each string the earliest of all parts stays, those of other parts are repeats.
