@@ -26,9 +26,15 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document of the least id stays."""
-    found = jaccard.near_duplicates(docs, k=5, num=80, den=100)
-    return without(docs, stored(found.filter("doc_id > component_id").select("doc_id").distinct()))
+    """Of each group of near duplicates (five words, 0.8) the document of the least id stays; of rows that share an id, or have
+    none (these come first), the one whose text's hash is the least. Documents without words are near to nothing and stay."""
+    rows, stands_for = suffixes.sole_ids(docs, COLUMNS[2:])
+    rows = rows.withColumnRenamed("id", "doc_id")
+    found = jaccard.near_duplicates(rows, k=5, num=80, den=100)
+    kept = without(rows, stored(found.filter("doc_id > component_id").select("doc_id").distinct()))
+    if stands_for is None:
+        return kept
+    return kept.withColumnRenamed("doc_id", "id").join(stands_for, "id").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
