@@ -6,8 +6,8 @@ window share a kept fingerprint of it: none is missed. Each shared fingerprint i
 that hold it, and their words are compared as bytes, so no hash decides. Items shorter than a window are
 one window of their own length; these are looked up at every word.
 
-The index of the benchmark is broadcast only while it has at most `most_indexed` fingerprints. Beyond, the
-fingerprints of both sides are joined, and each document is compared with the items that it met.
+The index of the benchmark is built and broadcast only if the benchmark has at most `most_indexed` windows, which are counted first.
+Beyond, the fingerprints of both sides are joined, and each document is compared with the items that it met.
 
 Null and empty texts have no words: no hits. Equal doc_ids are separate documents. Items without words
 have no windows; repeated items each count, under their own ids. Null ids are ids like others, a null item_id
@@ -28,10 +28,8 @@ from parchmill.llm.common import ALNUM, LOWER, blocks, grams, stored, within, wo
 #: Words of a window, of a fingerprint, and fingerprints of which one is kept.
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
-#: Fingerprints that a broadcast index may hold.
-MOST_INDEXED = 2_000_000
-#: Bytes of benchmark text that a broadcast index may be built from.
-MOST_BYTES = 64 << 20
+#: Windows that a broadcast index may hold: about 400 bytes each in every Python worker.
+MOST_INDEXED = 250_000
 
 
 def kept(g: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -138,18 +136,27 @@ def find(docs: DataFrame, benchmark: DataFrame, most_indexed: int = MOST_INDEXED
     docs = docs.select(*keep, *([] if "text" in keep else ["text"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    if size[0] + 64 * size[1] <= MOST_BYTES:
-        index = Index([(r["item_id"], r["text"]) for r in items.collect()])
-        if len(index.marks) + sum(map(len, index.short.values())) <= most_indexed:
-            sent = spark.sparkContext.broadcast(index)
+    windows = _lengths(items).filter("n > 0").agg(F.sum(F.greatest(F.col("n") - F.lit(WINDOW - 1), F.lit(1)))).first()[0] or 0
+    if windows > most_indexed:
+        return _joined(docs, items, keep, fields)
+    some = items.filter(F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"))  # a word, and so a window, each
+    sent = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in some.collect()]))
 
-            def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch, data, off in blocks(batches):
-                    yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + _verdicts(list(judge(sent.value, data, off))), [*keep, "n_words", "n_hit", "items", "spans"])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in blocks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + _verdicts(list(judge(sent.value, data, off))), [*keep, "n_words", "n_hit", "items", "spans"])
+
+    return docs.mapInArrow(scan, f"{fields}, {SCHEMA}")
+
+
+def _lengths(items: DataFrame) -> DataFrame:
+    """(item_id, n): the number of words of each item."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in blocks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(np.diff(words(LOWER[data], off, ALNUM)[3]), pa.int64())], ["item_id", "n"])
 
-            return docs.mapInArrow(scan, f"{fields}, {SCHEMA}")
-    return _joined(docs, items, keep, fields)
+    return items.select("item_id", "text").mapInArrow(count, "item_id string, n long")
 
 
 def _marks(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
@@ -177,14 +184,7 @@ def _joined(docs: DataFrame, items: DataFrame, keep: list[str], fields: str) ->
     """The way for a benchmark of any size. A document is compared with the items it shares a fingerprint with."""
     # Ids may be null or shared, so rows are joined by numbers of their own.
     docs, items = stored(docs.withColumn("_row", F.monotonically_increasing_id())), stored(items.withColumn("_item", F.monotonically_increasing_id()))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in blocks(batches):
-            n = np.diff(words(LOWER[data], off, ALNUM)[3])
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(n, pa.int64())], ["item_id", "n"])
-
-    n_words = items.mapInArrow(count, "item_id string, n long")
-    lengths = sorted(r[0] for r in n_words.filter(f"n > 0 and n < {WINDOW}").select("n").distinct().collect())  # at most WINDOW - 1 rows
+    lengths = sorted(r[0] for r in _lengths(items).filter(f"n > 0 and n < {WINDOW}").select("n").distinct().collect())  # at most WINDOW - 1 rows
     item_marks = _marks(items, "_item", lengths).withColumnRenamed("key", "_item")
     met = _marks(docs, "_row", lengths).join(item_marks, ["size", "mark"]).select(F.col("key").alias("_row"), "_item").distinct()
     sets = met.join(items, "_item").groupBy("_row").agg(F.collect_list(F.struct("item_id", "text")).alias("_items"))

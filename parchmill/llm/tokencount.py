@@ -7,6 +7,9 @@ settled as the public unigram model does: only a strictly better score replaces
 start. A character that is no piece costs ten less than the least score; unknown characters in a row count
 as one stretch, which falls back to one piece a byte.
 
+The vocabulary and its scores are whatever the piece file has. The query takes a BPE file, whose scores are merge ranks, as no unigram
+file is there: its counts are those of the unigram model over these pieces and scores, not those of that file's own BPE tokenizer.
+
 Equal words of a block are counted once, and counts of words are kept between blocks, so the work follows
 the number of distinct words. Null and empty texts have no pieces. Equal doc_ids are separate documents.
 """

@@ -53,6 +53,19 @@ def check(docs):
         assert x.feature.startswith("audio/wav;")
 
 
+def test_query_carves_what_is_stored(spark, tmp_path):
+    from parchmill.llm import queries
+
+    docs = frame(spark, [*ODD, "RIFF\x10\0\0\0WAVE", GIF.decode("latin-1"), as_text(png())])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {tuple(r) for r in media.media_features(media.texts_as_media(docs)).collect()}
+    assert {tuple(r) for r in queries.op10_media(spark, str(tmp_path)).collect()} == want
+
+
+def as_text(value):
+    return value.decode("latin-1")
+
+
 def test_round_trip(spark):
     check(real(spark, 200))
     check(frame(spark, [*ODD, "RIFF\x10\0\0\0WAVE", GIF.decode("latin-1")]))

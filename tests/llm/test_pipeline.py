@@ -80,6 +80,17 @@ def test_run_is_the_stages(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages[4].collect()))
 
 
+def test_copies_that_share_an_id_or_have_none(spark):
+    text, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows_ = [(4, text), (4, text), (None, other), (None, other + " more"), (9, other), (7, text + " more"), (4, "quite another text of its own"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    near_ones = [r for r in got if r.text and "w1 " in r.text]
+    assert len(near_ones) == 1 and near_ones[0].doc_id == 4
+    assert [r.doc_id for r in got if r.text and "v1 " in r.text] == [None]
+    assert sum(r.text is None for r in got) == 2 and sum(r.text == "quite another text of its own" for r in got) == 1 and len(got) == 5
+
+
 def test_odd_rows_pass_through(spark):
     docs = spark.createDataFrame([(i, t, None, "s", None, "x") for i, t in enumerate(ODD)] + [(None, "null id", "en", "s", 7, "x"), (3, None, None, None, None, "x")], "doc_id long, text string, lang string, source string, n_chars long, kept string")
     for _, stage in corpus_pipeline.STAGES:
