@@ -111,3 +111,42 @@ def test_pages_without_head_and_body_tags(model):
         page = pages.page()
         bare = page.replace("</head>", "").replace("<body>", "")
         assert texts(bare) == texts(page) and model.text(bare) == model.text(page)
+
+
+def test_file_is_what_a_new_fit_gives(model):
+    new = extraction.fitted()
+    assert set(new.weights) == set(model.weights)
+    assert all(a == pytest.approx(b, abs=1e-4) for f, w in new.weights.items() for a, b in zip(w, model.weights[f], strict=True))
+    assert all(a == pytest.approx(b, abs=1e-6) for x, y in zip(new.pairs, model.pairs, strict=True) for a, b in zip(x, y, strict=True))
+
+
+SENTENCE = "The river had risen through the night, and by the morning it stood at the lower edge of the meadow."
+#: Pages in the manner of several kinds of sites, by hand; what stands between [[ and ]] is the article.
+BY_HAND = {
+    "weblog": f"""<html><head><title>x</title></head><body class="single post-template"><div id="page" class="hfeed site"><header id="masthead" class="site-header"><a class="skip-link" href="#content">Skip to content</a><p class="site-title"><a href="/">My Notes</a></p>
+<nav id="site-navigation" class="main-navigation"><ul id="primary-menu"><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav></header>
+<div id="content" class="site-content"><div id="primary" class="content-area"><main id="main"><article id="post-12" class="post type-post"><header class="entry-header"><h1 class="entry-title">[[High water]]</h1></header>
+<div class="entry-content"><p>[[{SENTENCE}]]</p><p>[[{SENTENCE} {SENTENCE}]]</p><h2>[[What we saw]]</h2><ul><li>[[A boat without oars]]</li><li>[[Two swans]]</li></ul><p>[[{SENTENCE}]]</p></div></article>
+<div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts</h2><ol class="comment-list"><li class="comment"><p>Nice pictures, thank you!</p></li><li class="comment"><p>I was there as well.</p></li></ol></div></main></div>
+<aside id="secondary" class="widget-area"><section class="widget"><h2>Recent Posts</h2><ul><li><a href=/a>Spring</a></li><li><a href=/b>Frost</a></li></ul></section></aside></div>
+<footer id="colophon" class="site-footer"><p>Powered by something</p></footer></div></body></html>""",
+    "plain": f"""<body><header><a href=/>Home</a> <a href=/x>Contact</a></header><main><h1>[[On rivers]]</h1><p>[[{SENTENCE}]]<p>[[{SENTENCE}]]<blockquote><p>[[{SENTENCE}]]</p></blockquote></main><footer><p>All rights reserved</p></footer>""",
+    "tables": f"""<table width=800><tr><td colspan=2><a href=/>Index</a> | <a href=/m>Map</a> | <a href=/s>Search</a></td></tr><tr><td valign=top><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></td>
+<td><h1>[[Of the flood]]</h1><p>[[{SENTENCE}]]<p>[[{SENTENCE} {SENTENCE}]]<p>[[{SENTENCE}]]</td></tr></table>""",
+    "news": f"""<html><body><div class="cookie-consent"><p>We use cookies to improve your stay.</p><button>Accept</button></div><div class="top-bar"><ul><li><a href=/w>World</a></li><li><a href=/s>Sport</a></li><li><a href=/c>Culture</a></li></ul></div>
+<div class="layout"><div class="article-body" itemprop="articleBody"><h1>[[Town under water]]</h1><p>[[{SENTENCE}]]</p><div class="advert">Buy boots now</div><p>[[{SENTENCE}]]</p><p>[[{SENTENCE} {SENTENCE}]]</p></div>
+<div class="related"><h3>More on this</h3><ul><li><a href=/1>Dam holds</a></li><li><a href=/2>Rain ahead</a></li></ul></div></div><div class="newsletter-signup"><form><label>Your address</label><input></form></div><div class="footer"><p>Imprint</p></div></body></html>""",
+    "manual": f"""<div role="navigation"><ul><li><a href=a>Install</a></li><li><a href=b>Configure</a></li></ul></div><div role="main"><section id="s1"><h1>[[Measuring]]</h1><p>[[{SENTENCE}]]</p><pre>[[gauge --level 3]]</pre><p>[[{SENTENCE}]]</p><table><tr><td>[[mark]]</td><td>[[metres]]</td></tr></table></section></div><div role="contentinfo"><p>Version 3</p></div>""",
+}
+
+
+def test_pages_by_hand(model):
+    right = []
+    for page in BY_HAND.values():
+        want = [" ".join(x.split()) for x in re.findall(r"\[\[(.*?)\]\]", page, re.S)]
+        nodes = dom.parse(page.replace("[[", "").replace("]]", ""))
+        blocks = [x.text for x in nodes if x.tag == "#"]
+        assert all(w in blocks for w in want)
+        got = model.text(page.replace("[[", "").replace("]]", "")).split("\n")
+        right += [(b in got) == (b in want) for b in blocks]
+    assert statistics.mean(right) >= 0.95
