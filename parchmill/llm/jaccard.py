@@ -15,9 +15,9 @@ The boundary is where enumerating subsets costs more than scanning lists (SCAN:
 Lists are read in order by one task each. Every set has a parity sketch per scheme, a bit for each hash class of
 elements; two sketches differ in at most as many bits as the sets differ in elements, so a pair over its bound
 can't link and is never made. Of the pairs within their bound a list first gives only a spanning forest, which is
-confirmed on the texts' sets. Lists whose members have then not met in one component are read a second time, and give
-every pair within its bound of members that are apart and weren't confirmed before. So a group of thousands of
-copies costs about a confirmation for each, and no link between components is lost. Lists with equal members are
+confirmed on the texts' sets. Lists that gave a pair and whose members have then not met in one component are read a second time, and give
+every pair within its bound of members that are apart and weren't confirmed before; a list that gave none has none. So a group of
+thousands of copies costs about a confirmation for each, and no link between components is lost. Lists with equal members are
 one list; those of over MOST_IN_LIST members are read in pairs of blocks.
 
 Null text and text without words: an empty set, linked with nothing, not even with another empty one. Rows
@@ -47,6 +47,8 @@ MOST_IDS = 500_000
 KNOWN = 200_000
 #: Members that a task reads of one list at once; lists up to FEW are compared without arrays.
 MOST_IN_LIST, FEW = 50_000, 24
+#: Bits of a sketch for each element in which linked sets may differ.
+SPARE = 4
 #: Low bits of a key that name its scheme.
 SCHEMES = 1024
 S1, S2, S3, S4 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
@@ -153,7 +155,7 @@ class Schemes:
         for d, n in enumerate(np.diff(first).tolist()):
             for i in (self.band(n), self.band(n) - 1) if n else ():
                 if i >= 0 and n <= self.of(i)[0]:
-                    width = 1 << max(8, (8 * self.differ(self.of(i)[0], self.of(i)[0]) - 1).bit_length())
+                    width = 1 << max(7, (SPARE * self.differ(self.of(i)[0], self.of(i)[0]) - 1).bit_length())
                     odd = np.bincount((element[first[d] : first[d + 1]] & np.uint64(width - 1)).view(np.int64), minlength=width) & 1
                     out[d].append({"scheme": i % SCHEMES, "sketch": np.packbits(odd.astype(np.uint8)).tobytes()})
         return out
@@ -275,16 +277,17 @@ def forest(x: list[int], n: list[int], root: list[int], sketch: list[bytes], fai
 
 
 def candidates(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """(u, v): the pairs to confirm of (key, a, b, x, n, root, sketch, failed); one (key, a, b) is one list or a pair of its blocks."""
+    """(u, v, key): the pairs to confirm of (key, a, b, x, n, root, sketch, failed), and the list of each; one (key, a, b) is one list or
+    a pair of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, now, held = Schemes(num, den), None, []
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
 
         def of_list() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
                 for pair in forest(*zip(*held, strict=True), schemes, every):
-                    out.append(pair)
+                    out.append((*pair, now[0]))
                     if len(out) >= 10_000:
                         yield pairs(out)
                         out.clear()
@@ -298,12 +301,12 @@ def candidates(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
         yield from of_list()
         yield pairs(out)
 
-    def pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        u, v = np.array([max(p) for p in out], np.int64), np.array([min(p) for p in out], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    def pairs(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        u, v, key = np.array([(max(p[:2]), min(p[:2]), p[2]) for p in out], np.int64).reshape(-1, 3).T
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(key)], ["u", "v", "key"])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b", "x")
-    return dealt.select("key", "a", "b", "x", "n", "root", "sketch", "failed").mapInArrow(run, "u long, v long").filter("u > v").distinct()
+    return dealt.select("key", "a", "b", "x", "n", "root", "sketch", "failed").mapInArrow(run, "u long, v long, key long").filter("u > v")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -324,11 +327,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     reps = sets.filter("doc_id = rep").select("doc_id", "n_shingles", "d1", "d2").distinct()
     sketch = plain.join(reps, ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("x"), F.inline("sketches")).distinct()
     sketch = stored(sized(sketch, 2 * rows))
-    found = failed = roots = None
+    found = failed = roots = some = None
     for every in (False, True):
         members = lists.withColumn("root", F.col("x"))
+        if every:
+            members = members.filter("last > 0").union(members.filter("last = 0").join(some.select("key").distinct(), "key", "left_semi").select(members.columns))
         if roots is not None:
-            members = lists.join(roots.select(F.col("u").alias("x"), F.col("v").alias("root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
+            members = members.drop("root").join(roots.select(F.col("u").alias("x"), F.col("v").alias("root")), "x", "left").withColumn("root", F.coalesce("root", "x"))
             members = members.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).filter("lo < hi").drop("lo", "hi")
         # A long list begins with its blocks by themselves and with the first one; only what is then apart meets block by block.
         other = F.sequence(F.lit(0), F.col("last")) if every else F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array(F.lit(0), F.col("block")))
@@ -339,9 +344,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         else:
             each = failed.union(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
             members = members.join(each.groupBy(F.col("u").alias("x")).agg(F.collect_list("v").alias("failed")), "x", "left")
-        pairs = stored(candidates(members, num, den, every))
-        if pairs.isEmpty():
+        some = stored(candidates(members, num, den, every))
+        if some.isEmpty():
             continue  # the blocks of a long list have not all met in the first reading
+        pairs = stored(some.select("u", "v").distinct())
         ok = confirm(pairs, docs, k, num, den)
         failed = stored(pairs.join(ok, ["u", "v"], "left_anti"))
         found = ok if found is None else stored(found.union(ok))
