@@ -10,7 +10,9 @@ adjoin. Each band of the smaller set has a scheme of keys, and two sets that lin
   sets that agree in about ten elements. A set without elements in a block leaves that list out, unless it
   has two such blocks (one equal block with elements is left in any case).
 
-The boundary is where enumerating subsets costs more than scanning lists (SCAN: a list's cost in subsets).
+The boundary between the two is chosen by cost: of the keys that every set of a small band would have either way, one in PROBED lists is
+kept whole and measured, how many members it has and how many pairs that makes; the boundary is where the sum of both sides is
+least. It changes no result.
 
 Lists are read in order by one task each. Every set has a parity sketch per scheme, a bit for each hash class of
 elements; two sketches differ in at most as many bits as the sets differ in elements, so a pair over its bound
@@ -40,7 +42,10 @@ from pyspark.sql import functions as F
 from parchmill.llm.common import SPACED, blocks, grams, mix, partitions, sized, stored, within, words
 from parchmill.llm.components import components
 
-SCAN = 32
+#: What it costs to emit a key, and to move a member of a list with its sketch, in comparisons of two sketches.
+EMIT, MOVE = 4, 32
+#: One list in this many is measured to choose the boundary; subsets of a set beyond which it can't be light.
+PROBED, MOST_SUBSETS = 64, 512
 #: Ids that may be broadcast to choose texts by (8 bytes each); beyond, they are joined.
 MOST_IDS = 500_000
 #: Digests by which a task knows that it has emitted a set's keys.
@@ -86,8 +91,8 @@ def digests(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Schemes:
     """Bands of sizes and their keys for one threshold num / den."""
 
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, boundary: int = 0) -> None:
+        self.num, self.den, self.boundary = num, den, boundary  # bands under the boundary are light
         self.low = [1]
 
     def up(self, n: int) -> int:
@@ -106,9 +111,12 @@ class Schemes:
         top = self.up(most)
         shared = -(-self.num * 2 * self.low[i] // (self.num + self.den))
         parts = (most + top) * (self.den - self.num) // (self.den + self.num) + 2
-        sizes = range(self.low[i], top + 1)
-        light = self.low[i] < 64 and sum(math.comb(n, shared) for n in sizes) <= SCAN * (parts - 1) * len(sizes)
-        return top, 0 if light else parts, shared
+        return top, 0 if i < self.boundary and self.may_be_light(i) else parts, shared
+
+    @lru_cache(maxsize=None)
+    def may_be_light(self, i: int) -> bool:
+        most = self.up(self.low[i])
+        return self.low[i] < 64 and math.comb(self.up(most), -(-self.num * 2 * self.low[i] // (self.num + self.den))) <= MOST_SUBSETS
 
     def keys(self, values: np.ndarray, first: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the sets chosen by `emit`, and for each key its set."""
@@ -161,6 +169,32 @@ class Schemes:
         return out
 
 
+def probes(values: np.ndarray, first: np.ndarray, num: int, den: int) -> list[list[dict]]:
+    """For each set that might be light the keys that it would have as a heavy and as a light one (kind 0, 1), in the lists that are measured."""
+    out: list[list[dict]] = [[] for _ in range(len(first) - 1)]
+    schemes = Schemes(num, den), Schemes(num, den, 1 << 30)
+    sizes = np.diff(first).tolist()
+    small = np.array([0 < n < 128 and (schemes[1].may_be_light(schemes[1].band(n)) or schemes[1].may_be_light(max(0, schemes[1].band(n) - 1))) for n in sizes], bool)
+    for kind, one in enumerate(schemes):
+        key, owner = one.keys(values, first, small)
+        use = (key >> np.uint64(10)) % np.uint64(PROBED) == 0
+        for k, d in zip(key[use].view(np.int64).tolist(), owner[use].tolist(), strict=True):
+            if schemes[1].may_be_light(k & SCHEMES - 1):
+                out[d].append({"kind": kind, "key": k})
+    return out
+
+
+def boundary(plain: DataFrame) -> int:
+    """The band from which on sets are heavy, by the measured lists (two numbers a band and kind) of rows (d1, d2, probes)."""
+    lists = plain.select("d1", "d2", F.inline("probes")).distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    cost = F.col("n") * EMIT + F.when(F.col("n") > 1, F.col("n") * MOVE + F.col("n") * (F.col("n") - 1) / 2).otherwise(0)
+    sums = lists.groupBy("kind", F.col("key").bitwiseAND(F.lit(SCHEMES - 1)).alias("band")).agg(F.sum(cost).alias("cost")).collect()
+    of = {(r["kind"], r["band"]): float(r["cost"]) for r in sums}
+    bands = sorted({b for _, b in of})
+    total = {b: sum(of.get((1, x), 0.0) for x in bands if x < b) + sum(of.get((0, x), 0.0) for x in bands if x >= b) for b in [0, *(x + 1 for x in bands)]}
+    return min(total, key=lambda b: (total[b], b))
+
+
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     if not len(x) or not len(y):
         return False
@@ -169,24 +203,25 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def sets_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sketches): size, digest and sketches of each row's set."""
+    """(doc_id, n_shingles, d1, d2, sketches, probes): size, digest, sketches and measured keys of each row's set."""
     kind = pa.list_(pa.struct([("scheme", pa.int32()), ("sketch", pa.binary())]))
+    probed = pa.list_(pa.struct([("kind", pa.int32()), ("key", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes = Schemes(num, den)
         for batch, data, off in blocks(batches):
             values, first = shingles(data, off, k)
             d1, d2 = digests(values, first)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(schemes.sketches(values, first), kind)], ["doc_id", "n_shingles", "d1", "d2", "sketches"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(schemes.sketches(values, first), kind), pa.array(probes(values, first, num, den), probed)], ["doc_id", "n_shingles", "d1", "d2", "sketches", "probes"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketches array<struct<scheme:int,sketch:binary>>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketches array<struct<scheme:int,sketch:binary>>, probes array<struct<kind:int,key:long>>")
 
 
-def keys_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def keys_of(docs: DataFrame, k: int, num: int, den: int, boundary: int) -> DataFrame:
     """(key, doc_id): the keys of each set; a task emits equal sets once, for the first row that has an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes, known = Schemes(num, den), set()
+        schemes, known = Schemes(num, den, boundary), set()
         for batch, data, off in blocks(batches):
             values, first = shingles(data, off, k)
             emit = np.zeros(len(off) - 1, bool)
@@ -316,9 +351,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     plain = stored(sets_of(docs, k, num, den))
     classes = plain.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     rows = plain.count()
-    sets = stored(sized(plain.drop("sketches").join(classes, ["n_shingles", "d1", "d2"], "left"), rows))
+    sets = stored(sized(plain.drop("sketches", "probes").join(classes, ["n_shingles", "d1", "d2"], "left"), rows))
     key = Window.partitionBy("key")
-    shared = keys_of(docs, k, num, den).withColumn("lo", F.min("doc_id").over(key)).withColumn("hi", F.max("doc_id").over(key)).filter("lo < hi").select("key", "doc_id")
+    shared = keys_of(docs, k, num, den, boundary(plain)).withColumn("lo", F.min("doc_id").over(key)).withColumn("hi", F.max("doc_id").over(key)).filter("lo < hi").select("key", "doc_id")
     members = stored(shared).join(sets.select("doc_id", "rep", "n_shingles").distinct(), "doc_id").select("key", F.col("rep").alias("x"), F.col("n_shingles").alias("n")).distinct()
     # Lists of equal members are one: its key is a hash of them. Its scheme is told by the old key.
     members = members.withColumn("of", F.sum(F.xxhash64("x", "n").cast("decimal(20,0)")).over(key)).withColumn("many", F.count(F.lit(1)).over(key)).filter("many > 1")

@@ -89,10 +89,11 @@ def test_rows_that_share_an_id(spark):
     assert got == [(-1, -1), (3, 3), (5, 3), (5, 3), (7, 3)]
 
 
+@pytest.mark.parametrize("boundary", [0, 6, 1 << 30])
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (8, 10), (1, 2)])
-def test_linked_sets_share_a_key(num, den):
+def test_linked_sets_share_a_key(num, den, boundary):
     rng = np.random.default_rng(7)
-    schemes = jaccard.Schemes(num, den)
+    schemes = jaccard.Schemes(num, den, boundary)
     tested = 0
     for _ in range(1500):
         n = int(rng.integers(1, 120))
@@ -108,6 +109,31 @@ def test_linked_sets_share_a_key(num, den):
     assert tested > 200
 
 
+@pytest.mark.parametrize("at", [0, 4, 1 << 30])
+def test_the_boundary_changes_no_result(spark, monkeypatch, at):
+    monkeypatch.setattr(jaccard, "boundary", lambda plain: at)
+    texts = made(11, 300)
+    assert rows(jaccard.near_duplicates(frame(spark, texts), 2, 80, 100)) == brute(list(range(300)), texts, 2, 80, 100)
+
+
+def test_the_boundary_is_where_lists_cost_least(spark, monkeypatch):
+    """Small sets that share most of their blocks make long lists of blocks; without such, lists are cheap and subsets are not."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(14)]
+    alike = [" ".join(rng.sample(words, 7)) for _ in range(4000)]
+    apart = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(9)) for _ in range(900)]
+    monkeypatch.setattr(jaccard, "PROBED", 1)
+    found = []
+    for texts in (alike, apart):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        values, first = jaccard.shingles(data, np.cumsum([0, *map(len, texts)]), 1)
+        d1, d2 = jaccard.digests(values, first)
+        made_ = [(int(a), int(b), p) for a, b, p in zip(d1.view(np.int64), d2.view(np.int64), jaccard.probes(values, first, 80, 100), strict=True)]
+        found.append(jaccard.boundary(spark.createDataFrame(made_, "d1 long, d2 long, probes array<struct<kind:int,key:long>>")))
+    schemes = jaccard.Schemes(80, 100)
+    assert found[0] > schemes.band(7) and found[1] <= schemes.band(9)
+
+
 def test_null_ids_hide_no_links(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows_ = [(None, text), (5, text), (7, text + " more"), (None, "x y z"), (None, text + " other")]
