@@ -203,23 +203,27 @@ def texts_as_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(put, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(stored: DataFrame) -> DataFrame:
-    """Sniffs the stored bytes (doc_id, n_bytes, media), reads the samples back and describes them."""
+def media_features(stored: DataFrame, declared: str | None = None) -> DataFrame:
+    """Sniffs the stored bytes (doc_id, n_bytes, media), carves the first medium out of what else is there, reads its samples back and
+    describes them. declared: a column of types as they were declared; media_type and corrected tell the type found, and whether it differs."""
+    rows = stored.select("doc_id", "n_bytes", "media", (F.col(declared) if declared else F.lit(None).cast("string")).alias("declared"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, n, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            out = []
+            for doc, n, cell, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 medium = cell.as_py()
-                (start, end, kind), *others = media_in(medium) or [(0, 0, "unknown")]
-                payload = samples(medium[start:end]) if kind == "audio/wav" else medium
+                (start, end, kind), *others = media_in(medium) or [(0, len(medium), "unknown")]
+                medium = medium[start:end]
+                payload = samples(medium) if kind == "audio/wav" else medium
                 x = np.frombuffer(payload, np.uint8)
                 level = np.bincount(x, minlength=256)
                 mean = int(level @ np.arange(256)) * 1000 // max(1, len(x))
                 feature = f"{kind};{RATE}Hz;8bit;mono;records={len(x) // RECORD};mean={mean};levels={int((level > 0).sum())};peak={int(level.argmax())};others={len(others)}"
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), end - start, hashlib.sha256(medium[start:end]).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
+                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), end - start, hashlib.sha256(medium).hexdigest(), feature, kind, kind != said))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)], names)
 
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return stored.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected"]
+    found = rows.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean")
+    return found if declared else found.drop("media_type", "corrected")
