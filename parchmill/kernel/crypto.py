@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -149,6 +150,7 @@ def cbc_encrypt(key: bytes, data: bytes, iv: bytes) -> bytes:
     return struct.pack(f">{len(out)}I", *out)
 
 
+@lru_cache(maxsize=1024)
 def hash_r6(password: bytes, salt: bytes, user: bytes, revision: int) -> bytes:
     k = hashlib.sha256(password + salt + user).digest()
     if revision < 6:

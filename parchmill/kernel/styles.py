@@ -9,6 +9,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from functools import lru_cache
 
 from parchmill.kernel import glyphs, writer
 from parchmill.kernel.layout import ACCENTS
@@ -22,10 +23,14 @@ MOST = 200
 # --- fonts: dictionaries, further objects, and the code of each character -----------------------
 
 
+@lru_cache(maxsize=1)
+def named() -> dict[str, str]:
+    return {text: name for name, text in sorted(glyphs.names().items(), key=lambda x: (-len(x[0]), x[0]))}
+
+
 def glyph_name(ch: str) -> str:
-    """A name of the glyph: by the encodings' names where it has one, else by its number."""
-    named = {text: name for name, text in sorted(glyphs.names().items(), key=lambda x: (-len(x[0]), x[0]))}
-    return named.get(ch) or (f"uni{ord(ch):04X}" if ord(ch) < 0x10000 else f"u{ord(ch):05X}")
+    """A name of the glyph: the shortest of the list where it has one, else its number."""
+    return named().get(ch) or (f"uni{ord(ch):04X}" if ord(ch) < 0x10000 else f"u{ord(ch):05X}")
 
 
 class Face:
@@ -238,7 +243,8 @@ class Page:
                 if k % 5 == 4:
                     items += [self.hex(held), str(k % 9 * 8)]
                     held = []
-            return f"[{' '.join([*items, self.hex(held)])}]"
+            items.append(self.hex(held))
+            return " TJ ".join(f"[{' '.join(items[i : i + 2000])}]" for i in range(0, len(items), 2000))
 
         out = []
         for i, x in enumerate(lines):
