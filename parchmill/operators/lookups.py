@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from parchmill.sources.tables import stored
 
+#: Widths that are sent around (under 100 bytes each); a simple font has 256.
+MOST_WIDTHS = 65_536
+
 
 def range_lookup(codes: DataFrame, ranges: DataFrame, bins: float) -> DataFrame:
     """Each code with the payload of the first range in the list (list_pos) that holds it, null for none.
@@ -48,14 +51,17 @@ def distinct_warnings(rows: DataFrame, keys: list[str], most: int = 100) -> Data
 
 
 def string_widths(strings: DataFrame, widths: DataFrame, default: float) -> DataFrame:
-    """(id, width, glyphs, spaces) of (id, text): character widths added up; widths: (ch, w), a font's table."""
-    letters = strings.select("id", F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).groupBy("id", "ch").agg(F.count(F.lit(1)).alias("n"))
-    found = letters.join(F.broadcast(widths), "ch", "left")  # a simple font has 256 codes at most
+    """(id, width, glyphs, spaces) of (id, text): character widths added up; widths: (ch, w), a font's table, joined if it is a large one. Null and
+    empty texts have width 0."""
+    letters = strings.select("id", F.explode_outer(F.filter(F.split("text", ""), lambda c: c != "")).alias("ch")).groupBy("id", "ch").agg(F.count("ch").alias("n"))
+    few = widths.limit(MOST_WIDTHS + 1).count() <= MOST_WIDTHS
+    found = letters.join(F.broadcast(widths) if few else widths, "ch", "left")
     return found.groupBy("id").agg(F.sum(F.col("n") * F.coalesce("w", F.lit(default))).alias("width"), F.sum("n").alias("glyphs"), F.sum(F.when(F.col("ch") == " ", F.col("n")).otherwise(0)).alias("spaces"))
 
 
 def page_tree(nodes: DataFrame, root: int, keys: list[str] | None = None, deepest: int = 100) -> DataFrame:
-    """(keys, node, path, resources) of the leaves of the tree of each key, to be read in the order of path; a circle isn't walked.
+    """(keys, node, path, resources) of the leaves of the tree of each key; a circle isn't walked. Pages are in the order of path, compared
+    number by number: split(path, '/') as an array of ints, not the string, in which 10 stands before 2.
 
     nodes: (keys, node, parent, place, kind, resources). A leaf without resources has those of the nearest node above. One join a level,
     each written before the next, so trees of any number and breadth are walked.

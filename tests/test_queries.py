@@ -85,6 +85,27 @@ def test_page_trees(spark):
     assert lookups.page_tree(nodes.limit(0), 0, ["node_of"]).collect() == []
 
 
+def test_pages_are_ordered_by_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from parchmill.operators import lookups
+
+    nodes = spark.createDataFrame([(0, -1, 0, "Pages", "r")] + [(i, 0, i, "Page", None) for i in range(1, 13)], "node int, parent int, place int, kind string, resources string")
+    got = lookups.page_tree(nodes, 0).orderBy(F.split("path", "/").cast("array<int>")).collect()
+    assert [r.node for r in got] == list(range(1, 13))
+
+
+@pytest.mark.parametrize("most", [0, 65_536])
+def test_widths_of_texts(spark, monkeypatch, most):
+    from parchmill.operators import lookups
+
+    monkeypatch.setattr(lookups, "MOST_WIDTHS", most)
+    strings = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "zz"), (None, " ")], "id int, text string")
+    widths = spark.createDataFrame([("a", 5.0), ("b", 7.0), (" ", 2.0)], "ch string, w double")
+    got = {r.id: tuple(r)[1:] for r in lookups.string_widths(strings, widths, 10.0).collect()}
+    assert got == {1: (14.0, 3, 1), 2: (0.0, 0, 0), 3: (0.0, 0, 0), 4: (20.0, 2, 0), None: (2.0, 1, 1)}
+
+
 def test_wide_ranges_touch_two_bins(spark):
     from parchmill.operators import lookups
 
