@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchmill.sources import tables
+from parchmill.sources.tables import BATCH_BYTES, small_batches  # noqa: F401
 
 #: Bytes of text that are worked on at once; a longer document is a block of its own.
 BLOCK = 2 << 20
@@ -22,17 +23,6 @@ WINDOWS, ROWS_A_WINDOW = 1 << 16, 1_000
 #: Rows that are worth a task of their own where rows are narrow.
 ROWS_A_TASK = 50_000
 
-#: Bytes of a batch between the JVM and Python. Both sides hold a few at a time, outside the heap.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Rows of text go to Python by bytes, not by the session's 10,000 rows, which may be any size. The setting stays, as results are
-    read lazily; one that the session has already lowered is left alone."""
-    if 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH_BYTES:
-        return
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
 
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read again: lineage ends here."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from parchmill.kernel import document
 from parchmill.kernel.document import Options
+from parchmill.sources.tables import small_batches
 
 PAGES = "array<struct<page_no:int,text:string,warnings:array<string>>>"
 RUN = "page_no int, seq int, text string, drawn string, x double, y double, ux double, uy double, size double, advance double, hlen double, glyphs int, rtl boolean, source string"
@@ -68,6 +69,7 @@ def _pages_udf(opts: Options, page_no: int | None):
 
 def extract_pages(df: DataFrame, content: str = "content", page_no: int | None = None, **opts) -> DataFrame:
     """The other columns of df with page_no, text and warnings of each page; page_no reads one page, and steps over the others."""
+    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c != content and c not in ("page_no", "text", "warnings")]
     return df.select(*keep, F.inline(_pages_udf(options(**opts), page_no)(F.col(content))))
 
@@ -125,6 +127,7 @@ def extract_runs(df: DataFrame, content: str = "content", empty_pages: bool = Fa
                 out.append(rows)
             yield pd.Series(out)
 
+    small_batches(df.sparkSession)
     taken = {n for n, _ in fields}
     return df.select(*[c for c in df.columns if c != content and c not in taken], F.inline(run(F.col(content))))
 
@@ -154,6 +157,7 @@ def _told(df: DataFrame, content: str, chosen: Options, whole: bool, separator:
             frame = pd.DataFrame(rows, columns=["status", "page_count", "is_encrypted", "info", "warnings", "text"])
             yield frame if whole else frame.drop(columns="text")
 
+    small_batches(df.sparkSession)
     names = ["status", "page_count", "is_encrypted", "info", "warnings", *(["text"] if whole else [])]
     out = df.select(*[c for c in df.columns if c != content and c not in names], F.explode(F.array(run(F.col(content)))).alias("_d")).select("*", "_d.*").drop("_d")
     return out.filter("status = 'OK'") if mode == "DROPMALFORMED" else out
@@ -171,6 +175,7 @@ def extract_documents(df: DataFrame, content: str = "content", separator: str =
 
 def spread(df: DataFrame) -> DataFrame:
     """df in at least two tasks a core: reading a PDF costs far more than moving it, and a scan of one small file is one task."""
+    small_batches(df.sparkSession)
     wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 

@@ -1,4 +1,4 @@
-"""Tables between steps, in the folder that the cluster shares."""
+"""Tables between steps, in the folder that the cluster shares, and batches of rows between the JVM and Python."""
 
 from __future__ import annotations
 
@@ -7,10 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch between the JVM and Python. Both sides hold a few at a time, outside the heap.
+BATCH_BYTES = 4 << 20
+
 _OWN: list[str] = []
 _WRITTEN: list[str] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text go to Python by bytes, not by the session's 10,000 rows, which may be any size. The setting stays, as results are
+    read lazily; one that the session has already lowered is left alone."""
+    if 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH_BYTES:
+        return
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where none is named, a temporary one: in local mode alone, as the executors of a
     cluster don't see the driver's disk."""

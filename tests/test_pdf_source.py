@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,29 @@ def test_sinks_and_observation(spark, folder, tmp_path):
 def test_sniff(spark, folder):
     got = {r.name: r.ok for r in name(pdf.files(spark, folder)).select("name", pdf.looks_like_pdf(F.col("content")).alias("ok")).collect()}
     assert not got["bad.pdf"] and got["0.pdf"] and got["locked.pdf"]
+
+
+def drawn_in_batches(spark, **how):
+    """Bytes of text that the writer gets at once, and of files that the reader gets at once."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("long")
+    def at_once(series: pd.Series) -> pd.Series:
+        return pd.Series([int(series.str.len().sum())] * len(series))
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    line = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.md5(F.concat(F.col("doc_id").cast("string"), k.cast("string")))))
+    docs = spark.range(300, numPartitions=1).withColumnRenamed("id", "doc_id").withColumn("text", F.array_join(F.array_repeat(line, 120), "\n"))
+    made = pdf.styled(docs, **how)
+    files = made.coalesce(1).select("doc_id", at_once("content").alias("n")).agg(F.max("n"), F.count("n")).first()
+    texts = docs.select(at_once("text").alias("n")).agg(F.max("n")).first()
+    return files, texts[0], docs.count()
+
+
+STYLED = {"pdf_font_widths": {"face": "widths", "drawing": "spaced"}}
+
+
+@pytest.mark.parametrize("name", STYLED)
+def test_files_go_to_python_by_bytes(spark, name):
+    (files, n), texts, all_rows = drawn_in_batches(spark, **STYLED[name])
+    assert n == all_rows and texts < 5 << 20 and files < 6 << 20
