@@ -131,7 +131,10 @@ def drawn_in_batches(spark, **how):
     return files, texts[0], docs.count()
 
 
-STYLED = {"pdf_font_widths": {"face": "widths", "drawing": "spaced"}}
+STYLED = {
+    "pdf_font_widths": {"face": "widths", "drawing": "spaced"},
+    "pdf_draw_accented": {"drawing": "accented"},
+}
 
 
 @pytest.mark.parametrize("name", STYLED)
