@@ -134,6 +134,7 @@ def drawn_in_batches(spark, **how):
 STYLED = {
     "pdf_font_widths": {"face": "widths", "drawing": "spaced"},
     "pdf_draw_accented": {"drawing": "accented"},
+    "pdf_draw_kerned": {"face": "truetype", "drawing": "kerned"},
 }
 
 
