@@ -135,6 +135,7 @@ STYLED = {
     "pdf_font_widths": {"face": "widths", "drawing": "spaced"},
     "pdf_draw_accented": {"drawing": "accented"},
     "pdf_draw_kerned": {"face": "truetype", "drawing": "kerned"},
+    "pdf_font_blanks": {"face": "blanks"},
 }
 
 
