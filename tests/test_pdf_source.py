@@ -137,6 +137,7 @@ STYLED = {
     "pdf_draw_kerned": {"face": "truetype", "drawing": "kerned"},
     "pdf_font_blanks": {"face": "blanks"},
     "pdf_draw_annotated": {"face": "truetype", "drawing": "annotated"},
+    "pdf_font_cff": {"face": "cff"},
 }
 
 
