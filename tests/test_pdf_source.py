@@ -138,6 +138,7 @@ STYLED = {
     "pdf_font_blanks": {"face": "blanks"},
     "pdf_draw_annotated": {"face": "truetype", "drawing": "annotated"},
     "pdf_font_cff": {"face": "cff"},
+    "pdf_font_ligatures": {"face": "ligatures"},
 }
 
 
