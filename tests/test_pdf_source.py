@@ -139,6 +139,7 @@ STYLED = {
     "pdf_draw_annotated": {"face": "truetype", "drawing": "annotated"},
     "pdf_font_cff": {"face": "cff"},
     "pdf_font_ligatures": {"face": "ligatures"},
+    "pdf_font_type3": {"face": "type3"},
 }
 
 
