@@ -125,7 +125,7 @@ def drawn_in_batches(spark, **how):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     line = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.md5(F.concat(F.col("doc_id").cast("string"), k.cast("string")))))
     docs = spark.range(300, numPartitions=1).withColumnRenamed("id", "doc_id").withColumn("text", F.array_join(F.array_repeat(line, 120), "\n"))
-    made = pdf.styled(docs, **how)
+    made = pdf.styled(docs, **{k: F.lit(v) if k == "damage" else v for k, v in how.items()})
     files = made.coalesce(1).select("doc_id", at_once("content").alias("n")).agg(F.max("n"), F.count("n")).first()
     texts = docs.select(at_once("text").alias("n")).agg(F.max("n")).first()
     return files, texts[0], docs.count()
@@ -140,6 +140,7 @@ STYLED = {
     "pdf_font_cff": {"face": "cff"},
     "pdf_font_ligatures": {"face": "ligatures"},
     "pdf_font_type3": {"face": "type3"},
+    "pdf_damaged": {"damage": "lengths"},
 }
 
 
