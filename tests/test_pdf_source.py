@@ -142,6 +142,7 @@ STYLED = {
     "pdf_font_type3": {"face": "type3"},
     "pdf_damaged": {"damage": "lengths"},
     "pdf_draw_forms": {"face": "truetype", "drawing": "forms"},
+    "pdf_font_differences": {"face": "differences"},
 }
 
 
