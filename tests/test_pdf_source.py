@@ -143,6 +143,7 @@ STYLED = {
     "pdf_damaged": {"damage": "lengths"},
     "pdf_draw_forms": {"face": "truetype", "drawing": "forms"},
     "pdf_font_differences": {"face": "differences"},
+    "pdf_font_truetype": {"face": "truetype"},
 }
 
 
