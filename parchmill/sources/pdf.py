@@ -133,33 +133,36 @@ def extract_runs(df: DataFrame, content: str = "content", empty_pages: bool = Fa
 
 
 def _told(df: DataFrame, content: str, chosen: Options, whole: bool, separator: str, mode: str) -> DataFrame:
+    # A function of a batch, not of an iterator: Spark runs it in the Python worker of the function that writes `content`, if there is one,
+    # so a task has one worker, and files that are made only to be read never go through the JVM.
     @F.pandas_udf("status string, page_count int, is_encrypted boolean, info map<string,string>, warnings array<string>" + ", text string" * whole)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            rows = []
-            for data in series:
-                data = None if data is None else bytes(data)
-                if whole:
-                    doc, result = document.opened(data, chosen)
-                    text = ""
-                    if doc is not None:
-                        try:
-                            result.page_count, result.info = doc.page_count(), doc.info()
-                        except document.BROKEN:
-                            pass
-                        text = separator.join(t for _, _, t in document.pages_of(doc))
-                        result.warnings = list(doc.pdf.notes.values())
-                else:
-                    result, text = document.about(data, chosen), ""
-                if mode == "FAILFAST" and result.status != "OK":
-                    raise ValueError(f"a file is {result.status}")
-                rows.append((result.status, result.page_count, result.encrypted, result.info, result.warnings, text))
-            frame = pd.DataFrame(rows, columns=["status", "page_count", "is_encrypted", "info", "warnings", "text"])
-            yield frame if whole else frame.drop(columns="text")
+    def run(series: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in series:
+            data = None if data is None else bytes(data)
+            if whole:
+                doc, result = document.opened(data, chosen)
+                text = ""
+                if doc is not None:
+                    try:
+                        result.page_count, result.info = doc.page_count(), doc.info()
+                    except document.BROKEN:
+                        pass
+                    text = separator.join(t for _, _, t in document.pages_of(doc))
+                    result.warnings = list(doc.pdf.notes.values())
+            else:
+                result, text = document.about(data, chosen), ""
+            if mode == "FAILFAST" and result.status != "OK":
+                raise ValueError(f"a file is {result.status}")
+            rows.append((result.status, result.page_count, result.encrypted, result.info, result.warnings, text))
+        frame = pd.DataFrame(rows, columns=["status", "page_count", "is_encrypted", "info", "warnings", "text"])
+        return frame if whole else frame.drop(columns="text")
 
     small_batches(df.sparkSession)
     names = ["status", "page_count", "is_encrypted", "info", "warnings", *(["text"] if whole else [])]
-    out = df.select(*[c for c in df.columns if c != content and c not in names], F.explode(F.array(run(F.col(content)))).alias("_d")).select("*", "_d.*").drop("_d")
+    keep = [c for c in df.columns if c != content and c not in names]
+    # The explode keeps filters on what is told from running the function twice; a select of its own lets the function meet the one it reads from.
+    out = df.select(*keep, run(F.col(content)).alias("_d")).select(*keep, F.explode(F.array("_d")).alias("_d")).select("*", "_d.*").drop("_d")
     return out.filter("status = 'OK'") if mode == "DROPMALFORMED" else out
 
 

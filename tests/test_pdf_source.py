@@ -151,3 +151,23 @@ STYLED = {
 def test_files_go_to_python_by_bytes(spark, name):
     (files, n), texts, all_rows = drawn_in_batches(spark, **STYLED[name])
     assert n == all_rows and texts < 5 << 20 and files < 6 << 20
+
+
+#: Queries that make files only to read them.
+IN_ONE_WORKER = ["pdf_draw_accented"]
+
+
+@pytest.mark.parametrize("name", IN_ONE_WORKER)
+def test_files_are_read_in_the_worker_that_makes_them(spark, name):
+    from parchmill.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+
+
+def test_told_of_files_without_rows_or_content(spark):
+    files = spark.createDataFrame([(1, None), (2, bytearray(b"none"))], "id int, content binary")
+    found = pdf.extract_documents(files)
+    assert sorted((r.id, r.status, r.page_count, r.text) for r in found.collect()) == [(1, "INVALID", 0, ""), (2, "INVALID", 0, "")]
+    assert found.filter("id = 2 and status = 'INVALID'").select("id").collect()[0].id == 2
+    assert pdf.extract_documents(files.limit(0)).count() == 0 and pdf.pdf_info(files, mode="DROPMALFORMED").count() == 0
