@@ -154,7 +154,7 @@ def test_files_go_to_python_by_bytes(spark, name):
 
 
 #: Queries that make files only to read them.
-IN_ONE_WORKER = ["pdf_draw_accented", "pdf_draw_kerned", "pdf_font_blanks", "pdf_draw_annotated", "pdf_font_cff"]
+IN_ONE_WORKER = ["pdf_draw_accented", "pdf_draw_kerned", "pdf_font_blanks", "pdf_draw_annotated", "pdf_font_cff", "pdf_font_ligatures"]
 
 
 @pytest.mark.parametrize("name", IN_ONE_WORKER)
