@@ -154,7 +154,7 @@ def test_files_go_to_python_by_bytes(spark, name):
 
 
 #: Queries that make files only to read them.
-IN_ONE_WORKER = ["pdf_draw_accented", "pdf_draw_kerned", "pdf_font_blanks", "pdf_draw_annotated", "pdf_font_cff", "pdf_font_ligatures", "pdf_font_type3", "pdf_damaged", "pdf_draw_forms", "pdf_font_differences"]
+IN_ONE_WORKER = ["pdf_draw_accented", "pdf_draw_kerned", "pdf_font_blanks", "pdf_draw_annotated", "pdf_font_cff", "pdf_font_ligatures", "pdf_font_type3", "pdf_damaged", "pdf_draw_forms", "pdf_font_differences", "pdf_font_truetype"]
 
 
 @pytest.mark.parametrize("name", IN_ONE_WORKER)
