@@ -171,3 +171,30 @@ def test_told_of_files_without_rows_or_content(spark):
     assert sorted((r.id, r.status, r.page_count, r.text) for r in found.collect()) == [(1, "INVALID", 0, ""), (2, "INVALID", 0, "")]
     assert found.filter("id = 2 and status = 'INVALID'").select("id").collect()[0].id == 2
     assert pdf.extract_documents(files.limit(0)).count() == 0 and pdf.pdf_info(files, mode="DROPMALFORMED").count() == 0
+
+
+@pytest.mark.parametrize("name", IN_ONE_WORKER[1:])
+def test_letters_cost_no_call_each(name):
+    """Files are made and read by strings, not letter by letter. Kerned arrays are cut every few letters."""
+    import cProfile
+
+    from parchmill.kernel import document, styles
+
+    text = "\n".join(f"Line {i} of a text of some words, some of which (these) are odd: office, x\\y, öäü." * 25 for i in range(16))
+
+    def both():
+        return [t for _, _, t in document.pages(styles.pdf_of(text, **STYLED[name]), document.Options())]
+
+    assert both() == [text]
+    profile = cProfile.Profile()
+    profile.runcall(both)
+    assert sum(s.callcount for s in profile.getstats()) < (12 if name == "pdf_draw_kerned" else 1) * len(text)
+
+
+def test_escapes_and_arrays_of_numbers():
+    from parchmill.kernel.objects import Ref, parse, unescaped
+
+    assert unescaped(rb"\134000\050\101b") == b"\\000(Ab"
+    assert unescaped(rb"\534\1\12a\\0\n\x" + b"\\\r\n\\\n\\\\\\") == b"\\\x01\na\\0\nx\\"
+    assert parse(b"[1 20  3 ]x", 0) == ([1, 20, 3], 10) and parse(b"[1 0 R 2]", 0)[0] == [Ref(1, 0), 2]
+    assert parse(b"[ ]", 0)[0] == [] and parse(b"[1 2 3 4]", 0, [2]) == ([1, 2], 6)
