@@ -158,3 +158,17 @@ UNNORMALISED = ["de\u0301 the\u0301se de der", "the\ufb01 \ufb01ne the", "\uff54
 
 def test_word_diff_takes_texts_as_they_are(spark, tmp_path):
     equal_over(spark, tmp_path, "word_diff", UNNORMALISED)
+
+
+def drawn_as(said):
+    """A text whose second line is drawn as these bytes: its letter k in order is code k of its font."""
+    letters = [chr(0x4E00 + k) for k in range(126)]
+    return "".join(letters) + "\n" + "".join(letters[ord(c) - 1] for c in said)
+
+
+#: Texts of which nothing is drawn, and texts that are drawn as what a search of a damaged file looks for.
+MISLEADING = ["", "\n\n", *map(drawn_as, ("2 0 obj x", "endobj 5 0 obj", "endstream", "endobj", "trailer << /Root 3 0 R >>", "/Length 55", "BI /W 1 ID x EI"))]
+
+
+def test_damage_is_told_and_mended_whatever_the_text(spark, tmp_path):
+    equal_over(spark, tmp_path, "pdf_damaged", [t for t in MISLEADING for _ in range(6)])
